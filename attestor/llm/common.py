@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,3 +52,75 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_attestor_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="attestor-zip-")) / "attestor_pkg.zip"
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    sc.addPyFile(str(at))
+    sc._attestor_shipped = True
+
+
+def texts_of(batch) -> list[bytes]:
+    """UTF-8 bytes of a batch's text column; null counts as empty."""
+    import pyarrow as pa
+
+    column = batch.column(batch.schema.get_field_index("text"))
+    return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def id_and_text(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text")
+
+
+def slices(batch, most: int = 24 << 20):
+    """Parts of an Arrow batch that hold about ``most`` bytes of text each, or one row."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    text = batch.column(batch.schema.get_field_index("text"))
+    sizes = pc.fill_null(pc.binary_length(text.cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows] if batch.num_rows else [0]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
+def distinct_words(text):
+    """Words between ASCII white space of an Arrow string array, numbered.
+
+    Returns the distinct words as bytes, the number of each word in order, and
+    the number of words of each text.  Null counts as empty.
+    """
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(text.cast(pa.string()), ""))
+    coded = lists.values.slice(lists.offsets[0].as_py(), lists.offsets[-1].as_py() - lists.offsets[0].as_py()).dictionary_encode()
+    known = coded.dictionary.cast(pa.binary()).to_pylist()
+    number = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = np.diff(lists.offsets.to_numpy())
+    if b"" in known:  # before leading and after trailing white space
+        keep = number != known.index(b"")
+        sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[keep], minlength=len(sizes))
+        number = number[keep]
+    return known, number, sizes
+
+
+def gathered(flat, starts, sizes, number):
+    """Concatenate the slices flat[starts[k] : starts[k] + sizes[k]] for k in number, and their lengths."""
+    import numpy as np
+
+    long = sizes[number]
+    stops = np.cumsum(long)
+    at = np.repeat(starts[number] - (stops - long), long) + np.arange(stops[-1] if len(stops) else 0)
+    return flat[at], long
