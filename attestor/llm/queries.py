@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from attestor.llm.bpe import op6_bpe_trie
 from attestor.llm.fingerprints import op2_fingerprints
+from attestor.llm.licences import op10_licence_scan
 from attestor.llm.quality import op9_quality_rules
 from attestor.llm.wavelet import op8_wavelet_shards
 
@@ -12,5 +13,6 @@ QUERIES = {
     "op6_bpe_trie": op6_bpe_trie,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,
+    "op10_licence_scan": op10_licence_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
