@@ -6,13 +6,17 @@ from attestor.llm.bpe import op6_bpe_trie
 from attestor.llm.fingerprints import op2_fingerprints
 from attestor.llm.language import op5_language_id
 from attestor.llm.licences import op10_licence_scan
+from attestor.llm.packing import op1_packing
+from attestor.llm.pii import op7_pii_pseudonyms
 from attestor.llm.quality import op9_quality_rules
 from attestor.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
+    "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
     "op5_language_id": op5_language_id,
     "op6_bpe_trie": op6_bpe_trie,
+    "op7_pii_pseudonyms": op7_pii_pseudonyms,
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
