@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from array import array
 from os.path import commonprefix
 
 import numpy as np
@@ -28,13 +29,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import distinct_words, documents, gathered, ship, slices
+from attestor.llm.common import documents, ship, slices
+from attestor.llm.memo import WordMemo, packed_ids
 
 END = "</w>"
 #: Fixed value: the pattern of the tokenizer file, with white space spelled out.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
-#: Words and pairs that a Python worker remembers, and the longest such word.
-MEMO, MEMO_BYTES = 500_000, 48
+#: Pairs that a Python worker remembers.
+MEMO_PAIRS = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -49,9 +51,10 @@ def byte_letters() -> list[str]:
     return letters
 
 
-class TrieBPE:
+class TrieBPE(WordMemo):
     """Encoder and decoder for a tokenizer file with word ends."""
 
+    most = 600_000
     _open: dict[str, TrieBPE] = {}
 
     def __init__(self, path: str):
@@ -71,8 +74,9 @@ class TrieBPE:
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.letters)})
         self.built: dict[int, tuple[int, int, int] | None | bool] = {}
         self.pairs: dict[int, bool] = {}
-        self.words: dict[bytes, tuple[list[int], bytes]] = {}
-        self.parts: dict[str, list[int]] = {}
+        self.sound = dict(self.vocab)  # tokens whose own string gives them; others leave when met
+        self.tried: set[int] = set()
+        super().__init__()
 
     @classmethod
     def at(cls, path: str) -> TrieBPE:
@@ -99,14 +103,6 @@ class TrieBPE:
             self.built[token] = last if ids == [token] else False
         return self.built[token]
 
-    def fits(self, u: int, t: int) -> bool:
-        key = u << 32 | t
-        if key not in self.pairs:
-            if len(self.pairs) > 2 * MEMO:
-                self.pairs.clear()
-            self.pairs[key] = self._fits(u, t)
-        return self.pairs[key]
-
     def _fits(self, u: int, t: int) -> bool:
         before = len(self.rank) + 1
         while True:
@@ -121,62 +117,84 @@ class TrieBPE:
             else:
                 return True
 
-    def _step(self, word: str, depth: int, end: str, last: list[int]) -> tuple[int, int]:
-        """The last token of word[:depth], and the depth before it."""
-        for start in range(max(0, depth - self.longest), depth):
-            t = self.vocab.get(word[start:depth] + end)
-            if t is not None and self.made(t) is not False and (start == 0 or self.fits(last[start], t)):
-                return t, start
-        raise ValueError(f"no encoding of {word[:depth]!r}")
+    def _token(self, piece: str) -> int | None:
+        """The token of a string, unless its own encoding is another."""
+        t = self.sound.get(piece)
+        if t is not None and t not in self.tried:
+            self.tried.add(t)
+            if self.made(t) is False:
+                del self.sound[piece]
+                return None
+        return t
 
     def encode_parts(self, parts: list[str]) -> dict[str, list[int]]:
         """Ids of distinct strings of byte letters, in one depth-first traversal."""
         out, before, done, last, back = {}, "", 0, [0], [0]
+        sound, tried, pairs, longest = self.sound, self.tried, self.pairs, self.longest
+        if len(pairs) > MEMO_PAIRS:
+            pairs.clear()
         for word in sorted(parts):
-            done = min(done, len(commonprefix((before, word))), len(word) - 1)
+            n = len(word)
+            done = min(done, len(commonprefix((before, word))), n - 1)
             del last[done + 1 :], back[done + 1 :]
-            for depth in range(done + 1, len(word)):
-                t, start = self._step(word, depth, "", last)
-                last.append(t)
-                back.append(start)
-            done, before = len(word) - 1, word
-            t, start = self._step(word, len(word), END, last)
+            for depth in range(done + 1, n + 1):
+                end = END if depth == n else ""
+                for start in range(depth - longest if depth > longest else 0, depth):
+                    piece = word[start:depth] + end
+                    t = sound.get(piece)
+                    if t is None or (t not in tried and self._token(piece) is None):
+                        continue
+                    if start:
+                        key = last[start] << 32 | t
+                        good = pairs.get(key)
+                        if good is None:
+                            good = pairs[key] = self._fits(last[start], t)
+                        if not good:
+                            continue
+                    break
+                else:
+                    raise ValueError(f"no encoding of {word[:depth]!r}")
+                if depth < n:
+                    last.append(t)
+                    back.append(start)
+            done, before = n - 1, word
             ids = [t]
             while start:
                 ids.append(last[start])
                 start = back[start]
-            out[word] = ids[::-1]
+            ids.reverse()
+            out[word] = ids
         return out
 
     def split(self, word: str) -> list[str | int]:
         """Strings of byte letters, and ids of special tokens, of a word without ASCII white space."""
-        if word.isascii() or max(word) < "İ":
-            text = word.lower()
-            if text.isalpha():
-                return [text.encode().decode("latin-1").translate(self.table)]
         out: list[str | int] = []
         for piece in self.cut.split(word) if self.cut and "<" in word else [word]:
             if piece in self.special:
                 out.append(self.special[piece])
             elif piece:
                 text = "".join(c.lower() for c in unicodedata.normalize("NFC", piece))
-                out += [p.encode().decode("latin-1").translate(self.table) for p in self.pieces.findall(text)]
+                out += map(self.lettered, self.pieces.findall(text))
         return out
 
-    def learn(self, words: list[bytes]) -> list[tuple[list[int], bytes]]:
-        """Ids and decoded text of distinct words."""
-        split = [self.split(w.decode()) for w in words]
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        new = {p for parts in split for p in parts if isinstance(p, str) and p not in self.parts}
-        self.parts.update(self.encode_parts(list(new)))
-        out = []
-        for parts in split:
-            ids = [i for p in parts for i in ([p] if isinstance(p, int) else self.parts[p])]
-            out.append((ids, self.decode(ids).encode()))
-        for p in [p for p in new if len(p) > MEMO_BYTES]:
-            del self.parts[p]
-        return out
+    def lettered(self, piece: str) -> str:
+        return piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.table)
+
+    def value(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("I", ids).tobytes(), self.decode(ids).encode()
+
+    def alphabetic(self, cores: list[str]) -> list[tuple[bytes, bytes]]:
+        parts = list(map(self.lettered, cores))
+        found = self.encode_parts(parts)
+        return [self.value(found[p]) for p in parts]
+
+    def raw(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        split = list(map(self.split, words))
+        found = self.encode_parts(list({p for parts in split for p in parts if isinstance(p, str)}))
+        return [self.value([i for p in parts for i in ([p] if isinstance(p, int) else found[p])]) for parts in split]
+
+    def join(self, left: tuple[bytes, bytes], right: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
+        return left[0] + right[0], left[1] + b" " + right[1]
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by spaces."""
@@ -184,27 +202,13 @@ class TrieBPE:
 
     def batch(self, text: pa.Array) -> tuple[pa.Array, pa.Array]:
         """Ids and decoded texts of an Arrow array of texts."""
-        known, number, n_words = distinct_words(text)
-        if len(self.words) > MEMO:
-            self.words.clear()
-        found = [self.words.get(w) for w in known]
-        new = [k for k, x in enumerate(found) if x is None and known[k]]
-        for k, x in zip(new, self.learn([known[k] for k in new])):
-            found[k] = x
-            if len(known[k]) <= MEMO_BYTES:
-                self.words[known[k]] = x
-        found = [x or ([], b"") for x in found]
-        sizes = np.fromiter((len(x[0]) for x in found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x[0]), np.int32, int(sizes.sum()))
-        ids, long = gathered(flat, np.cumsum(sizes) - sizes, sizes, number)
-        before, stops = np.concatenate(([0], np.cumsum(long))), np.cumsum(n_words)
-        shown = [x[1] for x in found]
-        if b"" in shown:  # a word of Unicode white space alone has no ids
-            texts = [b" ".join([shown[k] for k in number[a:b].tolist() if shown[k]]) for a, b in zip(stops - n_words, stops)]
-        else:
-            texts = [b" ".join([shown[k] for k in number[a:b].tolist()]) for a, b in zip(stops - n_words, stops)]
-        offsets = pa.array(before[np.concatenate(([0], stops))].astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(ids)), pa.array(texts, pa.binary()).cast(pa.string())
+        values, number, n_words = self.numbered(text, (b"", b""))
+        ids, sizes = packed_ids([x[0] for x in values], "<u4", number, n_words)
+        shown, stops = [x[1] for x in values], np.cumsum(n_words)
+        some = (lambda w: [shown[k] for k in w if shown[k]]) if b"" in shown else (lambda w: [shown[k] for k in w])
+        texts = [b" ".join(some(number[a:b].tolist())) for a, b in zip(stops - n_words, stops)]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(ids.view(np.int32))), pa.array(texts, pa.binary()).cast(pa.string())
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ first; an empty table makes no shard.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from array import array
@@ -28,14 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import distinct_words, documents, gathered, ship, slices, written
+from attestor.llm.common import documents, ship, slices, written
+from attestor.llm.memo import WordMemo, packed_ids
 
 BLOCK = 512
 END_ID = 1
 #: Ids at which a shard is closed; a document is never split.
 SHARD_IDS = 1 << 20
-#: Distinct words whose ids a Python worker remembers, and the longest such word.
-MEMO_WORDS, MEMO_BYTES = 900_000, 48
 
 
 class WaveletMatrix:
@@ -165,76 +165,54 @@ def _ranks(packed: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(per)[:-1])).astype(np.uint32)
 
 
-class WordMemo:
-    """Ids of texts by the tokenizers library, word by word.
+class LibraryMemo(WordMemo):
+    """Ids of words by the tokenizers library, as packed bytes."""
 
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words; words are encoded once for each worker.
-    """
-
-    _open: dict[str, WordMemo] = {}
+    _open: dict[str, LibraryMemo] = {}
 
     def __init__(self, path: str):
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.code = "H" if self.kind == "<u2" else "I"
-        self.memo: dict[bytes, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.tails = dict(zip(["", ".", ","], self._raw(["", ".", ","])))
+        size = self.tokenizer.get_vocab_size()
+        self.kind, self.code = ("<u2", "H") if size <= 1 << 16 else ("<u4", "I")
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        super().__init__()
 
     @classmethod
-    def at(cls, path: str) -> WordMemo:
+    def at(cls, path: str) -> LibraryMemo:
         if path not in cls._open:
             cls._open[path] = cls(path)
         return cls._open[path]
 
-    def _raw(self, words: list[str]) -> list[bytes]:
+    def raw(self, words: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(words), 20_000):
             found = self.tokenizer.encode_batch_fast(words[k : k + 20_000], add_special_tokens=False)
             out += [array(self.code, e.ids).tobytes() for e in found]
         return out
 
-    def learn(self, words: list[bytes]) -> None:
-        """Latin words, with or without a full stop or comma, share the ids of their lower-case letters."""
-        plain, cores, rest = [], set(), []
-        for w in words:
-            s = w.decode()
-            tail = s[-1] if s[-1] in ".," else ""
-            core = (s[:-1] if tail else s).lower()
-            if core.isalpha() and max(core) < "\u0250":
-                plain.append((w, core, tail))
-                cores.add(core)
-            else:
-                rest.append(w)
-        if len(self.cores) > MEMO_WORDS:
-            self.cores.clear()
-        new = [c for c in cores if c not in self.cores]
-        self.cores.update(zip(new, self._raw(new)))
-        self.memo.update((w, self.cores[core] + self.tails[tail]) for w, core, tail in plain)
-        self.memo.update(zip(rest, self._raw([w.decode() for w in rest])))
+    def alphabetic(self, cores: list[str], step: int = 2_000) -> list[bytes]:
+        """Each word of letters is one piece, so its last id is the only one that ends a word: many go in one text."""
+        out = []
+        for k in range(0, len(cores), step):
+            part = cores[k : k + step]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer has no word ends")
+            packed = ids.tobytes()
+            out += [packed[a:b] for a, b in zip([0, *cuts], cuts)]
+        return out
+
+    def join(self, left: bytes, right: bytes) -> bytes:
+        return left + right
 
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts of an Arrow array, one after another, and the number of ids of each text."""
-        known, number, n_words = distinct_words(text)
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = [w for w in known if w not in self.memo]
-        self.learn([w for w in new if w])
-        packed = [self.memo.get(w, b"") for w in known]
-        for w in new:
-            if len(w) > MEMO_BYTES:
-                del self.memo[w]
-        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // np.dtype(self.kind).itemsize
-        ids, long = gathered(np.frombuffer(b"".join(packed), self.kind), np.cumsum(sizes) - sizes, sizes, number)
-        before = np.concatenate(([0], np.cumsum(long)))
-        stops = np.cumsum(n_words)
-        return ids, before[stops] - before[stops - n_words]
+        values, number, n_words = self.numbered(text, b"")
+        return packed_ids(values, self.kind, number, n_words)
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -247,7 +225,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
     ship(spark)
 
     def encode(batches):
-        memo = WordMemo.at(path)
+        memo = LibraryMemo.at(path)
         kind = np.dtype(memo.kind)
         end = np.array([end_id], kind).tobytes()
         part, seq, ids, counts, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
