@@ -64,7 +64,7 @@ class WaveletMatrix:
             packed = np.packbits(bit, bitorder="little")
             planes.append((n - int(np.count_nonzero(bit)), _ranks(packed), packed))
             if j:
-                x = np.concatenate((x[~bit], x[bit]))
+                x = np.concatenate((x.take(np.flatnonzero(~bit)), x.take(np.flatnonzero(bit))))  # without a branch for each bit, as a mask has
         return WaveletMatrix(n, alphabet, planes)
 
     def to_bytes(self) -> bytes:
@@ -153,8 +153,8 @@ class WaveletMatrix:
         for j, (zeros, _, packed) in enumerate(reversed(self.planes)):
             bit = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             up = np.empty_like(x)
-            up[~bit] = x[:zeros]
-            up[bit] = x[zeros:] | kind(1 << j)
+            up[np.flatnonzero(~bit)] = x[:zeros]
+            up[np.flatnonzero(bit)] = x[zeros:] | kind(1 << j)
             x = up
         return self.alphabet[x] if self.n else np.zeros(0, np.uint32)
 
