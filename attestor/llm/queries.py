@@ -9,11 +9,13 @@ from attestor.llm.licences import op10_licence_scan
 from attestor.llm.packing import op1_packing
 from attestor.llm.pii import op7_pii_pseudonyms
 from attestor.llm.quality import op9_quality_rules
+from attestor.llm.suffixes import op3_suffix_dedup
 from attestor.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op5_language_id": op5_language_id,
     "op6_bpe_trie": op6_bpe_trie,
     "op7_pii_pseudonyms": op7_pii_pseudonyms,
