@@ -6,6 +6,7 @@ from attestor.llm.bpe import op6_bpe_trie
 from attestor.llm.fingerprints import op2_fingerprints
 from attestor.llm.language import op5_language_id
 from attestor.llm.licences import op10_licence_scan
+from attestor.llm.neardup import op4_jaccard_join
 from attestor.llm.packing import op1_packing
 from attestor.llm.pii import op7_pii_pseudonyms
 from attestor.llm.quality import op9_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_fingerprints": op2_fingerprints,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_language_id": op5_language_id,
     "op6_bpe_trie": op6_bpe_trie,
     "op7_pii_pseudonyms": op7_pii_pseudonyms,
