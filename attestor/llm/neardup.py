@@ -311,7 +311,8 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("thash", F.md5(F.col("text").cast("binary")))
     same = (texts["thash"] == member["thash"]) & texts["doc_id"].eqNullSafe(member["rep_id"])  # copies under other ids stay out
     lots = member.where(F.col("n_members") <= BLOCK).count() // TASK_ROWS + 1
-    out = exact_links(member.join(texts, same), lots)
+    # always by sorting both sides, so that what moves grows with the input and never jumps from a broadcast to a shuffle
+    out = exact_links(texts.join(member.hint("merge"), same), lots)
     out = written(out, "links")
     n = out.groupBy("key").agg(F.sum("n").alias("n_links"))
     return n, components(out.where("other IS NOT NULL").select(F.col("key").alias("u"), F.col("other").alias("v")))
