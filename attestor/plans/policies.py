@@ -98,21 +98,21 @@ def epsilon_top_set(t):
     return metrics.epsilon_top(t("customer"), ["c_nationkey"], "c_acctbal", 250).groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("tied"), F.min("c_custkey").alias("first_id"))
 
 
-SCORES = "SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS action, round(avg(c_acctbal) / 10000, 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3"
+SCORES = "SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS action, round(avg(c_acctbal) / 9973, 6) AS score FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3"
 
 
 def scores(t):
     d = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return d.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("action")).agg(F.round(F.avg("c_acctbal") / 10000, 6).alias("score"))
+    return d.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("action")).agg(F.round(F.avg("c_acctbal") / 9973, 6).alias("score"))
 
 
 @query("caption_necessity", f"""
 WITH s AS ({SCORES}), b AS (SELECT region, avg(m) AS adaptive FROM (SELECT region, nation, max(score) AS m FROM s GROUP BY 1, 2) GROUP BY 1),
 f AS (SELECT region, max(a) AS fixed FROM (SELECT region, action, avg(score) AS a FROM s GROUP BY 1, 2) GROUP BY 1)
-SELECT b.region AS region, round(adaptive, 6) AS adaptive, round(fixed, 6) AS static, round(adaptive - fixed, 6) AS gap FROM b JOIN f ON b.region = f.region""")
+SELECT b.region AS region, round(adaptive, 7) AS adaptive, round(fixed, 7) AS static, round(adaptive - fixed, 7) AS gap FROM b JOIN f ON b.region = f.region""")
 def caption_necessity(t):
     d = metrics.necessity(scores(t), "region", "nation", "action", "score")
-    return d.select("region", F.round("adaptive", 6).alias("adaptive"), F.round("static", 6).alias("static"), F.round("gap", 6).alias("gap"))
+    return d.select("region", F.round("adaptive", 7).alias("adaptive"), F.round("static", 7).alias("static"), F.round("gap", 7).alias("gap"))
 
 
 @query("pair_regret_switch", f"""
