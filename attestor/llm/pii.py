@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, slices
+from attestor.llm.common import documents, lean, ship, slices
 
 #: Key of the queries here; production passes its own secret.
 DEMO_KEY = b"attestor demonstration key"
@@ -139,9 +139,12 @@ def phone(m, p: Permuter, back: bool) -> str | None:
             return None
         return refill(m, cc + str(p.permute(int(rest), 10 ** len(rest), f"phone{cc}", back)).zfill(len(rest)))
     lead, rest = d[:-10], d[-10:]
-    if len(rest) < 10 or lead not in ("", "1") or not good_nanp(rest):
+    if len(rest) < 10 or lead not in ("", "1"):
         return None
-    return refill(m, lead + walk(lambda x: str(p.permute(int(x), 10**10, "nanp", back)).zfill(10), rest, good_nanp))
+    good = good_nanp(rest)
+    if not good and not re.match(r"\+1|\(", m):  # +1 or brackets show a telephone number, whatever its area code
+        return None
+    return refill(m, lead + walk(lambda x: str(p.permute(int(x), 10**10, "nanp", back)).zfill(10), rest, lambda x: good_nanp(x) == good))
 
 
 def good_ssn(d: str) -> bool:
@@ -226,17 +229,18 @@ def secret(m, p: Permuter, back: bool) -> str:
 
 def hexed(m, p: Permuter, back: bool) -> str:
     body = m.strip("\"'")
-    if re.fullmatch(r"[0-9a-f]+", body):
-        x = p.permute(int(body, 16), 16 ** len(body), "hex", back)
-        return m.replace(body, f"{x:0{len(body)}x}")
+    for digits, style in (("0-9a-f", "x"), ("0-9A-F", "X")):
+        if re.fullmatch(f"[{digits}]+", body):
+            x = p.permute(int(body, 16), 16 ** len(body), "hex", back)
+            return m.replace(body, f"{x:0{len(body)}{style}}")
     return p.spell(m, "secret", back)
 
 
 #: Kinds in order of precedence: (kind, pattern, permutation).
 KINDS = [
-    ("secret", r"\b(?:password|passwd|pwd|secret|token|api_?key)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{6,}", secret),
+    ("secret", r"\b(?i:password|passwd|pwd|secret|token|api_?key)\s*[:=]\s*[\"']?[A-Za-z0-9_\-]{6,}", secret),
     ("access_key", r"\bAKIA[0-9A-Z]{16}\b", access_key),
-    ("hex_key", r"[\"'][0-9a-f]{32,64}[\"']", hexed),
+    ("hex_key", r"[\"'](?:[0-9a-f]{32,64}|[0-9A-F]{32,64})[\"']", hexed),
     ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,24}\b", email),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?\b", iban),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)", ipv4),
@@ -249,7 +253,7 @@ KINDS = [
 ]
 COMPILED = [(k, re.compile(p), f) for k, p, f in KINDS]
 #: A text without any of these has no finding; every pattern needs a digit, an @, a key word or a name.
-MAY_HAVE = r"[0-9@]|(?:password|passwd|pwd|secret|token|api_?key)\s*[:=]"
+MAY_HAVE = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)\s*[:=]"
 
 
 def find(text: str, p: Permuter, back: bool = False) -> list[tuple[int, int, str, str]]:
@@ -308,7 +312,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, column: str = "text", f
                 columns = [text if i == at else c for i, c in enumerate(part.columns)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(places, FOUND)], [*part.schema.names, found])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
