@@ -25,7 +25,7 @@ TERMINAL = r"[.!?:;…。！？”\"'»)\]][\x20\x09-\x0D]*$"
 BOILERPLATE = (
     r"(?i)lorem ipsum|enable javascript|javascript is (?:disabled|required)|accept (?:all )?cookies|"
     r"uses cookies|cookie policy|privacy policy|terms of (?:use|service)|click here to|subscribe to our newsletter|"
-    r"all rights reserved|skip to (?:main )?content|back to top"
+    r"skip to (?:main )?content|back to top"
 )
 SEPARATORS = r"[|»›·•]"
 
