@@ -79,7 +79,6 @@ def best_static(rows: DataFrame, parent: str, group: str, id_: str, value: str)
 
 def family_best(rows: DataFrame, families: list[str], groups: DataFrame, group: str, family: str, value: str) -> DataFrame:
     """Best value in each family for each group; a family without a candidate counts 0."""
-    spark = rows.sparkSession
-    grid = groups.select(group).distinct().crossJoin(F.broadcast(spark.createDataFrame([(f,) for f in families], f"{family} string")))
+    grid = groups.select(group).distinct().withColumn(family, F.explode(F.lit(families)))
     best = rows.groupBy(group, family).agg(F.max(value).alias(value))
     return grid.join(best, [group, family], "left").withColumn(value, F.coalesce(value, F.lit(0)))

@@ -17,7 +17,7 @@ sb AS (SELECT region, action AS static_action, mean AS static FROM (SELECT *, ro
 SELECT om.region AS region, static_action, round(oracle, 6) AS oracle, round(static, 6) AS static, round(oracle - static, 6) AS gap FROM om JOIN sb ON om.region = sb.region""")
 def oracle_vs_static(t):
     """What the best action for each nation gains over the best one action for its region."""
-    s = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    s = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     s = s.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("action")).agg(F.avg((F.col("c_acctbal") > 5000).cast("double")).alias("score"))
     oracle = s.groupBy("region", "nation").agg(F.max("score").alias("best")).groupBy("region").agg(F.avg("best").alias("oracle"))
     per = s.groupBy("region", "action").agg(F.sum("score").alias("total"), F.avg("score").alias("mean"))
@@ -102,7 +102,7 @@ SCORES = "SELECT n_regionkey AS region, n_nationkey AS nation, c_mktsegment AS a
 
 
 def scores(t):
-    d = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return d.groupBy(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("nation"), F.col("c_mktsegment").alias("action")).agg(F.round(F.avg("c_acctbal") / 9973, 6).alias("score"))
 
 
@@ -132,7 +132,7 @@ def pair_regret_switch(t):
 WITH a AS (SELECT n_regionkey, n_nationkey, c_mktsegment, avg(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 3),
 b AS (SELECT n_regionkey, n_nationkey, avg(v) AS v FROM a GROUP BY 1, 2), c AS (SELECT n_regionkey, avg(v) AS v FROM b GROUP BY 1) SELECT round(avg(v), 4) AS value, count(*) AS groups_n FROM c""")
 def cluster_macro_mean(t):
-    d = t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    d = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return metrics.macro_mean(d, ["n_regionkey", "n_nationkey", "c_mktsegment"], "c_acctbal").select(F.round("value", 4).alias("value"), F.col("groups").alias("groups_n"))
 
 

@@ -191,7 +191,7 @@ def area_fraction_support(t):
     part = t("part")
     whole = t("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     most = whole.groupBy("p_brand").agg(F.max("p_size").alias("whole"))
-    d = whole.join(F.broadcast(most), "p_brand")
+    d = whole.join(most, "p_brand")
     small, truth, hit = F.col("p_size") * 4 <= F.col("whole"), F.col("l_linestatus") == "F", (F.col("l_returnflag") == "R").cast("int")
     return d.groupBy(F.col("p_brand").alias("brand")).agg(F.count_if(F.col("p_size") < F.col("whole")).alias("smaller"), F.count_if(small).alias("quarter"), F.round(F.avg(F.when(truth & small, hit)), 6).alias("recall"), F.round(F.avg(F.when(~truth & small, hit)), 6).alias("false_support"))
 
