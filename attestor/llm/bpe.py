@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, slices
+from attestor.llm.common import documents, lean, ship, slices
 from attestor.llm.memo import WordMemo, packed_ids
 
 END = "</w>"
@@ -222,7 +222,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 ids, texts = bpe.batch(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, texts], ["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>, decoded string")
 
 
 def op6_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text")
 
 
-def slices(batch, most: int = 24 << 20):
+def slices(batch, most: int = 6 << 20):
     """Parts of an Arrow batch that hold about ``most`` bytes of text each, or one row."""
     import numpy as np
     import pyarrow as pa
@@ -124,3 +124,29 @@ def gathered(flat, starts, sizes, number):
     stops = np.cumsum(long)
     at = np.repeat(starts[number] - (stops - long), long) + np.arange(stops[-1] if len(stops) else 0)
     return flat[at], long
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay, idle, beside the executor's JVM."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run``, a function of an iterator of batches, giving back memory at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped

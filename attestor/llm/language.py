@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, slices
+from attestor.llm.common import documents, lean, ship, slices
 
 ORDERS, DIMS = (1, 2, 3), 1 << 14
 #: Bound of the labelled sample that weights are trained on.
@@ -81,7 +81,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["at", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    rows = docs.select("text").mapInArrow(lean(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(ORDERS) * DIMS + 1, np.int64)
     out[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return out[:-1], int(out[-1])
@@ -113,7 +113,7 @@ def vectors(docs: DataFrame) -> pa.Table:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["lang", "place", "at", "value"])
 
     d = docs.select("lang", F.xxhash64(F.col("doc_id"), F.lit("order")).alias("place"), "text")
-    return d.mapInArrow(run, "lang string, place long, at array<int>, value array<float>").toArrow()
+    return d.mapInArrow(lean(run), "lang string, place long, at array<int>, value array<float>").toArrow()
 
 
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int) -> np.ndarray:
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) ->
                     ["doc_id", "lang_pred", "score"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm.common import distinct_words, documents, ship, slices
+from attestor.llm.common import distinct_words, documents, lean, ship, slices
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -247,7 +247,7 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows = scanner.batch(part.column(0).to_pylist(), part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), KINDS)], NAMES)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), SCHEMA)
 
 
 def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

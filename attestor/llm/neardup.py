@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import distinct_words, documents, ship, slices, written
+from attestor.llm.common import distinct_words, documents, give_back, lean, ship, slices, written
 from attestor.llm.components import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -40,7 +40,7 @@ COORDS, SMALL, DEPTH = 64, 256, 4
 #: Agreeing coordinates that make a candidate: a pair at the threshold has fewer with probability 4e-4.
 CANDIDATE = 40
 #: Rows of a block, members of small groups aimed at for each task, and columns of a dense piece.
-BLOCK, TASK_ROWS, DENSE = 512, 2_000, 1 << 14
+BLOCK, TASK_ROWS, DENSE = 512, 1_000, 1 << 13
 _rng = np.random.default_rng(5)
 PLACES = (_rng.integers(1 << 62, 1 << 63, WIDTH) | 1).astype(np.uint64)
 MIXERS = (_rng.integers(1 << 62, 1 << 63, COORDS) | 1).astype(np.uint64)
@@ -101,7 +101,7 @@ def features(docs: DataFrame) -> DataFrame:
             )
 
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("thash"))
-    return d.mapInArrow(run, "doc_id long, thash string, key binary, size int, sketch array<int>")
+    return d.mapInArrow(lean(run), "doc_id long, thash string, key binary, size int, sketch array<int>")
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -201,7 +201,7 @@ def brute(rows: DataFrame) -> DataFrame:
             yield pairs(left["path"].to_numpy(), left["key"].to_pylist(), left["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, COORDS))
 
     d = rows.select("path", "key", "sketch").repartition("path").sortWithinPartitions("path")
-    return d.mapInArrow(run, "u binary, v binary")
+    return d.mapInArrow(lean(run), "u binary, v binary")
 
 
 def in_blocks(rows: DataFrame, group: str, count: str, block: int, lots: int = 1 << 20) -> DataFrame:
@@ -296,9 +296,10 @@ def exact_links(members: DataFrame, lots: int) -> DataFrame:
             out += [(keys[k], int(c), None) for k, c in zip(left, near.sum(1)) if c]
             out += [(keys[k], int(c), None) for k, c in zip(right, near.sum(0)) if cross and c]
             out += [(keys[left[x]], 0, keys[right[y]]) for x, y in matrix_forest(near)]
+        give_back()
         return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["key", "n", "other"])
 
-    d = members.select("component", "n_members", "key", "text").mapInArrow(sets, "component binary, n_members long, key binary, shingles binary")
+    d = members.select("component", "n_members", "key", "text").mapInArrow(lean(sets), "component binary, n_members long, key binary, shingles binary")
     d = in_blocks(d, "component", "n_members", BLOCK, lots).select("task", "side", "component", "key", "shingles")
     return d.groupBy("task").applyInArrow(run, "key binary, n long, other binary")
 

@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, shared_dir, ship, slices, written
+from attestor.llm.common import documents, give_back, lean, shared_dir, ship, slices, written
 
 LENGTH, GRAM = 200, 32
 #: Texts that hold a gram beyond which its windows are counted by hash instead; suffixes aimed at for each range; suffixes sorted at a time by a task.
-HOT, RANGE_ROWS, RUN_ROWS = 200_000, 20_000, 150_000
+HOT, RANGE_ROWS, RUN_ROWS = 200_000, 20_000, 50_000
 #: Bytes of a text looked at together; positions within fit the low bits of a key.
 CHUNK, LOW_BITS = 1 << 23, 24
 _rng = np.random.default_rng(7)
@@ -261,7 +261,7 @@ def gram_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([keys, pa.array(rows, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int32()), ("p", pa.int64())])))], ["thash", "grams"])
 
     long = texts.where((F.octet_length("text") >= length)).select("thash", "text")
-    return long.mapInArrow(run, "thash string, grams array<struct<h:long,n:int,p:long>>")
+    return long.mapInArrow(lean(run), "thash string, grams array<struct<h:long,n:int,p:long>>")
 
 
 def suffix_runs(candidates: DataFrame, splitters: list[bytes], length: int, gram: int) -> DataFrame:
@@ -306,7 +306,7 @@ def suffix_runs(candidates: DataFrame, splitters: list[bytes], length: int, gram
         if held:
             yield flush()
 
-    return candidates.mapInArrow(run, "range int, blob binary")
+    return candidates.mapInArrow(lean(run), "range int, blob binary")
 
 
 def merge_ranges(runs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -335,6 +335,8 @@ def merge_ranges(runs: DataFrame, length: int, gram: int) -> DataFrame:
             members += group
         if members:
             settle(members)
+        del members, group
+        give_back()
         return pa.table([pa.array(found[0], pa.string()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.int64())], names=["thash", "first", "last"])
 
     return runs.groupBy("range").applyInArrow(merge, "thash string, first long, last long")
@@ -354,7 +356,7 @@ def hot_windows(candidates: DataFrame, length: int, gram: int) -> DataFrame:
                 a, b = rolling(data, length)[s].view(np.int64), rolling(data, length, table=1)[s].view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([thash] * len(s)), pa.array(s), pa.array(a), pa.array(b)], ["thash", "s", "a", "b"])
 
-    w = candidates.mapInArrow(run, "thash string, s long, a long, b long")
+    w = candidates.mapInArrow(lean(run), "thash string, s long, a long, b long")
     twice = w.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
     return w.join(twice, ["a", "b"]).select("thash", F.col("s").alias("first"), F.col("s").alias("last"))
 
@@ -414,7 +416,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int | No
             yield pa.RecordBatch.from_arrays([keys, pa.array(copies, pa.int64()), pa.array(sizes, pa.int64()), pa.array(gone, spans), pa.array(kept, pa.string() if as_text else pa.binary())], ["thash", "copies", "n_bytes", "spans", "kept"])
 
     joined = texts.join(windows, "thash", "left").select("thash", "text", "copies", "windows")
-    return joined.mapInArrow(cut, f"thash string, copies long, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}")
+    return joined.mapInArrow(lean(cut), f"thash string, copies long, n_bytes long, spans array<struct<start:long,stop:long>>, kept {'string' if as_text else 'binary'}")
 
 
 def text_hash():

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, ship, slices, written
+from attestor.llm.common import documents, lean, ship, slices, written
 from attestor.llm.memo import WordMemo, packed_ids
 
 BLOCK = 512
@@ -238,7 +238,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
             )
 
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 24 << 20):
                 flat, sizes = memo.encode(batch.column(1))
                 stops = np.cumsum(sizes).tolist()
                 for doc, a, b in zip(batch.column(0).to_pylist(), [0, *stops], stops):
@@ -254,7 +254,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_ids: in
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    shards = d.mapInArrow(encode, "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, blob binary")
+    shards = d.mapInArrow(lean(encode), "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, blob binary")
     return written(shards, "wavelet")
 
 
@@ -274,7 +274,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     ["part", "seq", "doc_id", "rel_start", "n_tokens", "ids_crc32"],
                 )
 
-    return shards.select("part", "seq", "doc_ids", "counts", "blob").mapInArrow(decode, "part int, seq int, doc_id long, rel_start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "seq", "doc_ids", "counts", "blob").mapInArrow(lean(decode), "part int, seq int, doc_id long, rel_start long, n_tokens long, ids_crc32 long")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
