@@ -34,9 +34,11 @@ def agreement(votes: DataFrame, a: str, b: str, image: str | None = None, adjudi
     """
     sets = sets or [[]]
     columns = sorted({c for s in sets for c in s})
+    # one pass over the votes; every grouping starts from these counts, whose shuffle is reused
+    counts = votes.groupBy(*columns, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("n"), *([F.sum(F.col(adjudicated).cast("int")).alias("adj")] if adjudicated else []))
     out = None
     for s in sets:
-        d = votes.groupBy(*s, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("n"), *([F.sum(F.col(adjudicated).cast("int")).alias("adj")] if adjudicated else []))
+        d = counts.groupBy(*s, "_a", "_b").agg(F.sum("n").alias("n"), *([F.sum("adj").alias("adj")] if adjudicated else []))
         total = d.groupBy(*s).agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("_a") == F.col("_b"), F.col("n")).otherwise(0)).alias("same"), *([F.sum("adj").alias("adj")] if adjudicated else []))
         left = d.groupBy(*s, F.col("_a").alias("label")).agg(F.sum("n").alias("l"))
         right = d.groupBy(*s, F.col("_b").alias("label")).agg(F.sum("n").alias("r"))
