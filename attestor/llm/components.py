@@ -12,7 +12,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Hang neighbours on the smallest one: the larger neighbours of a node, or the smaller ones and the node."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
     least = both.groupBy("u").agg(F.min("v").alias("m"))
-    least = least.select("u", F.least("u", "m").alias("m"))
+    # written, so that both sides of the join are plain shuffles and the rows of a hub can be split over tasks
+    least = written(least.select("u", F.least("u", "m").alias("m")), "least")
     hung = both.join(least, "u")
     if large:
         out = hung.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
