@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from attestor.llm.common import documents, give_back, lean, shared_dir, ship, slices, written
 
 LENGTH, GRAM = 200, 32
-#: Texts that hold a gram beyond which its windows are counted by hash instead; suffixes aimed at for each range; suffixes sorted at a time by a task.
-HOT, RANGE_ROWS, RUN_ROWS = 200_000, 20_000, 50_000
+#: Texts that hold a gram beyond which its windows are counted by hash instead; suffixes aimed at for each range; suffixes sorted at a time by a task; least for a range.
+HOT, RANGE_ROWS, RUN_ROWS, LEAST_ROWS = 200_000, 20_000, 50_000, 500
 #: Bytes of a text looked at together; positions within fit the low bits of a key.
 CHUNK, LOW_BITS = 1 << 23, 24
 _rng = np.random.default_rng(7)
@@ -375,7 +375,8 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, h
     )
     found = written(found, "found")
     size, n_hot = found.select(F.sum(F.size("grams")), F.sum(F.size("hot_grams"))).first()
-    ranges = max(1, (size or 0) // RANGE_ROWS)
+    # enough ranges for every task, as long as they hold a few hundred suffixes each
+    ranges = max(1, (size or 0) // RANGE_ROWS, min((size or 0) // LEAST_ROWS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     splitters: list[bytes] = []
     if ranges > 1:  # at most 10,000 quantiles of a sample of the suffixes' first bytes
         parts = [i / min(ranges, 10_000) for i in range(1, min(ranges, 10_000))]
