@@ -104,18 +104,22 @@ def features(docs: DataFrame) -> DataFrame:
     return d.mapInArrow(lean(run), "doc_id long, thash string, key binary, size int, sketch array<int>")
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect what the edges (a, b) connect, without cycles."""
-    parent, out = list(range(n)), []
-    for x, y in zip(a.tolist(), b.tolist()):
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        while parent[y] != y:
-            parent[y] = y = parent[parent[y]]
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((x, y))
-    return out
+class Forest:
+    """Edges that connect what all added edges connect, without cycles."""
+
+    def __init__(self, n: int):
+        self.parent, self.edges = list(range(n)), []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        parent = self.parent
+        for x, y in zip(a.tolist(), b.tolist()):
+            while parent[x] != x:
+                parent[x] = x = parent[parent[x]]
+            while parent[y] != y:
+                parent[y] = y = parent[parent[y]]
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                self.edges.append((x, y))
 
 
 def matrix_forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -174,18 +178,16 @@ def brute(rows: DataFrame) -> DataFrame:
     """Candidate pairs within buckets (path, key, sketch) of at most SMALL rows, as a forest for each batch."""
 
     def pairs(paths, keys, sketches):
-        a, b = [], []
+        found = Forest(len(keys))
         for d in range(1, SMALL):
             same = np.flatnonzero(paths[d:] == paths[:-d])
             if not len(same):
                 break
-            for k in range(0, len(same), 20_000):
-                at = same[k : k + 20_000]
+            for k in range(0, len(same), 5_000):
+                at = same[k : k + 5_000]
                 good = at[(sketches[at] == sketches[at + d]).sum(1) >= CANDIDATE]
-                a.append(good)
-                b.append(good + d)
-        edges = forest(len(keys), np.concatenate(a), np.concatenate(b)) if a else []
-        return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in edges], pa.binary()), pa.array([keys[y] for _, y in edges], pa.binary())], ["u", "v"])
+                found.add(good, good + d)
+        return pa.RecordBatch.from_arrays([pa.array([keys[x] for x, _ in found.edges], pa.binary()), pa.array([keys[y] for _, y in found.edges], pa.binary())], ["u", "v"])
 
     def run(batches):
         left = None
