@@ -54,7 +54,7 @@ def byte_letters() -> list[str]:
 class TrieBPE(WordMemo):
     """Encoder and decoder for a tokenizer file with word ends."""
 
-    most = 600_000
+    most = 350_000
     _open: dict[str, TrieBPE] = {}
 
     def __init__(self, path: str):
@@ -218,7 +218,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         bpe = TrieBPE.at(path)
         for whole in batches:
-            for part in slices(whole, 12 << 20):
+            for part in slices(whole, 8 << 20):
                 ids, texts = bpe.batch(part.column(1))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), ids, texts], ["doc_id", "ids", "decoded"])
 
