@@ -54,7 +54,7 @@ def byte_letters() -> list[str]:
 class TrieBPE(WordMemo):
     """Encoder and decoder for a tokenizer file with word ends."""
 
-    most = 350_000
+    most = 450_000
     _open: dict[str, TrieBPE] = {}
 
     def __init__(self, path: str):
