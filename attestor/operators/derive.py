@@ -68,7 +68,7 @@ def method_summary(rows: DataFrame) -> DataFrame:
     return d.groupBy("method", "metric").agg(F.avg("v").alias("value"), F.count("*").alias("clusters"))
 
 
-def evaluate(t: dict[str, DataFrame], baseline: str = "proposal_score", samples: int = 200, seed: int = 2271, epsilon: float = 0.01) -> DataFrame:
+def evaluate(t: dict[str, DataFrame], baseline: str = "proposal_score", samples: int = resample.SAMPLES, seed: int = 2271, epsilon: float = 0.01) -> DataFrame:
     """Long report: section, method, metric, mean, lo, hi, clusters."""
     if baseline not in policy.POLICIES or baseline == "recognition_oracle":
         raise ValueError(f"not a deployable method: {baseline}")

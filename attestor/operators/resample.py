@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from attestor.functions.numeric import finite, index_quantile
 
+#: Draws of an interval, as in the reference: some 250 estimates lie beyond each of its bounds.
+SAMPLES = 10_000
+
 
 def draws(spark, samples: int, clusters: DataFrame, seed: int) -> DataFrame:
     """b, k: for each sample as many cluster numbers, with repetition, as there are clusters (a one-row table with column g)."""
@@ -38,7 +41,7 @@ def cluster_means(df: DataFrame, cluster: str, values: list[str]) -> DataFrame:
     return d.where(" AND ".join(f"{v} IS NOT NULL" for v in values))
 
 
-def estimates(df: DataFrame, cluster: str, values: list[str], samples: int = 200, seed: int = 2271) -> DataFrame:
+def estimates(df: DataFrame, cluster: str, values: list[str], samples: int = SAMPLES, seed: int = 2271) -> DataFrame:
     """b and the mean of cluster means of each value, from one set of draws."""
     n, g = _numbered(cluster_means(df, cluster, values), cluster)
     d = draws(df.sparkSession, samples, g.where("g > 0"), seed).join(n, "k")
@@ -50,7 +53,7 @@ def percentile_ci(e: DataFrame, value: str, low: float = 0.025, high: float = 0.
     return [F.percentile(value, F.lit(low)).alias("lo"), F.percentile(value, F.lit(high)).alias("hi")]
 
 
-def ci(df: DataFrame, cluster: str, value: str, samples: int = 200, seed: int = 2271, interpolate: bool = True) -> DataFrame:
+def ci(df: DataFrame, cluster: str, value: str, samples: int = SAMPLES, seed: int = 2271, interpolate: bool = True) -> DataFrame:
     """mean, lo, hi, clusters of one value; quantiles interpolated, or the element int(n * p) of the sorted estimates."""
     m = cluster_means(df, cluster, [value]).agg(F.avg(value).alias("mean"), F.count("*").alias("clusters"))
     e = estimates(df, cluster, [value], samples, seed)
@@ -61,14 +64,14 @@ def ci(df: DataFrame, cluster: str, value: str, samples: int = 200, seed: int =
     return m.crossJoin(q).select("mean", "lo", "hi", "clusters")
 
 
-def weighted(df: DataFrame, cluster: str, samples: int = 200, seed: int = 2271) -> DataFrame:
+def weighted(df: DataFrame, cluster: str, samples: int = SAMPLES, seed: int = 2271) -> DataFrame:
     """b and the rows of drawn clusters with weight w, the times drawn: any statistic of pooled rows is a weighted aggregate."""
     n, g = _numbered(df.select(cluster).distinct(), cluster)
     w = draws(df.sparkSession, samples, g.where("g > 0"), seed).groupBy("b", "k").agg(F.count("*").alias("w")).join(n, "k")
     return w.join(df, cluster)
 
 
-def statistic_ci(df: DataFrame, cluster: str, counts: dict[str, Column], statistic, samples: int = 200, seed: int = 2271) -> DataFrame:
+def statistic_ci(df: DataFrame, cluster: str, counts: dict[str, Column], statistic, samples: int = SAMPLES, seed: int = 2271) -> DataFrame:
     """lo, hi by index quantile of a statistic of additive counts.
 
     Counts are summed by cluster before the draw, so rows are never repeated.
@@ -82,7 +85,7 @@ def statistic_ci(df: DataFrame, cluster: str, counts: dict[str, Column], statist
     return q.select(index_quantile("v", 0.025).alias("lo"), index_quantile("v", 0.975).alias("hi"))
 
 
-def numpy_ci(df: DataFrame, cluster: str, value: str, samples: int = 10_000, seed: int = 2271, most: int = 1_000_000) -> dict:
+def numpy_ci(df: DataFrame, cluster: str, value: str, samples: int = SAMPLES, seed: int = 2271, most: int = 1_000_000) -> dict:
     """mean, lo, hi, clusters with numpy's PCG64 draws, on the driver; more than ``most`` clusters raise."""
     d = cluster_means(df, cluster, [value]).orderBy(cluster)
     rows = d.limit(most + 1).collect()

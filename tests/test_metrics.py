@@ -41,6 +41,27 @@ def test_cluster_bootstrap(spark):
         resample.numpy_ci(d, "c", "v", most=1)
 
 
+def test_intervals_rest_on_all_draws(spark):
+    """10,000 draws by default, against the same draws made here."""
+    import hashlib
+    import inspect
+
+    from attestor.operators import derive
+
+    v = [0.0, 1.0, 5.0, 20.0]
+    d = spark.createDataFrame(list(enumerate(v)), "c int, v double")
+    drawn = np.array([[int(hashlib.sha256(f"2271:{b}:{x}".encode()).hexdigest()[:8], 16) % 4 for x in range(4)] for b in range(10_000)])
+    e = np.sort(np.array(v)[drawn].mean(1))
+    r = resample.ci(d, "c", "v").first()
+    assert math.isclose(r.lo, np.quantile(e, 0.025)) and math.isclose(r.hi, np.quantile(e, 0.975))
+    r = resample.ci(d, "c", "v", interpolate=False).first()
+    assert math.isclose(r.lo, e[250]) and math.isclose(r.hi, e[9750])
+    assert resample.estimates(d, "c", ["v"]).count() == resample.weighted(d, "c").select("b").distinct().count() == 10_000
+    r = resample.statistic_ci(d, "c", {"v": F.col("v")}, lambda k: k["v"] / 4).first()
+    assert math.isclose(r.lo, e[250]) and math.isclose(r.hi, e[9750])
+    assert inspect.signature(derive.evaluate).parameters["samples"].default == 10_000
+
+
 def test_statistic_equals_pooled_rows(spark):
     r = random.Random(1)
     rows = [(f"g{r.randrange(6)}", r.random() < 0.5, r.random() < 0.5) for _ in range(80)]
