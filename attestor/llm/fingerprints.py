@@ -3,13 +3,16 @@
 A window of ``k`` words is an anchor (a closed syncmer) if the smallest hash
 among its inner runs of ``s`` words lies at its first or last place.  Whether a
 window is an anchor depends on nothing outside it, so a passage has the same
-anchors wherever it stands.  The fingerprint holds the ``m`` smallest distinct
-anchor hashes; the likeness of two fingerprints estimates the Jaccard
-similarity of the texts' anchors.
+anchors wherever it stands, and of ``k - s`` windows in a row at least one is an
+anchor.  The fingerprint holds all anchors with their positions.  Two texts are
+matched by position: anchors of equal hash are paired one to one in order of
+position, and the likeness is the Jaccard similarity of the texts' anchors, each
+as often as it stands, counted from the pairs.  Pairs of equal shift that
+overlap make up a passage, words that both texts have.
 
 Defined results: null text counts as empty; an empty fingerprint is '' and is
 like another empty one to 1.0 and like any other to 0.0; a text of fewer than
-``k`` words has one anchor, its words; equal texts have equal fingerprints;
+``k`` words has one anchor, its words; texts of equal words have equal fingerprints;
 rows with equal ids are ordered by their texts; extra columns are ignored.
 """
 
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import documents, let, words
 
-K, S, M = 5, 2, 64
-#: Hashes keep 40 bits, ten hexadecimal digits in the fingerprint.
+K, S = 5, 2
+#: Hashes keep 40 bits, ten hexadecimal digits in the fingerprint; one more tells the words since the anchor before, at most K - S.
 MASK = (1 << 40) - 1
 #: Most buckets that neighbours are looked for in, and rows for each.
 MOST_BUCKETS, BUCKET_ROWS = 1 << 16, 32
@@ -50,20 +53,60 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
     return let(words(text), of)
 
 
-def sketch(text: Column, m: int = M) -> Column:
-    """The m smallest distinct anchor hashes, ascending."""
-    return F.slice(F.sort_array(F.array_distinct(F.transform(anchors(text), lambda a: a["hash"]))), 1, m)
+def as_text(a: Column) -> Column:
+    """All anchors in order: the hash, and the distance from the anchor before it (at the first, its position)."""
+    def one(x: Column, i: Column) -> Column:
+        gap = x["pos"] - F.when(i == 0, 0).otherwise(F.get(a, i - 1)["pos"])
+        return F.concat(F.lpad(F.hex(x["hash"]), 10, "0"), F.hex(gap))
 
+    return F.array_join(F.transform(a, one), "")
 
-def as_text(hashes: Column) -> Column:
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 10, "0")), "")
 
+def runs_of(c: Column, breaks, body) -> Column:
+    """array of body(run) over the runs of an array; breaks(x, before) tells where the next one starts."""
+    def of(c: Column) -> Column:
+        first = F.filter(F.transform(c, lambda x, i: F.when((i == 0) | breaks(x, F.get(c, i - 1)), i)), lambda i: i.isNotNull())
 
-def likeness(a: Column, b: Column, m: int = M) -> Column:
-    """Share of the m smallest hashes of both sketches that both have."""
-    low = F.slice(F.sort_array(F.array_union(a, b)), 1, m)
-    both = F.size(F.array_intersect(low, F.array_intersect(a, b)))
-    return F.when(F.size(low) == 0, 1.0).otherwise(both / F.size(low)).cast("double")
+        def cut(s: Column) -> Column:
+            return F.transform(s, lambda i, j: let(F.slice(c, i + 1, F.coalesce(F.get(s, j + 1), F.size(c)) - i), body))
+
+        return let(first, cut)
+
+    return let(c, of)
+
+
+def matches(a: Column, b: Column) -> Column:
+    """array<struct<at:int, shift:int>>: anchors of both texts paired one to one, by hash and then in order of position.
+
+    ``at`` is the place in the first text and ``at + shift`` that in the second.
+    """
+    def side(x: Column, n: int) -> Column:
+        return F.transform(x, lambda y: F.struct(y["hash"].alias("hash"), F.lit(n).alias("side"), y["pos"].alias("pos")))
+
+    def pair(run: Column) -> Column:
+        left, right = F.filter(run, lambda x: x["side"] == 0), F.filter(run, lambda x: x["side"] == 1)
+        both = F.zip_with(left, right, lambda x, y: F.struct(x["pos"].alias("at"), (y["pos"] - x["pos"]).alias("shift")))
+        return F.filter(both, lambda x: x["shift"].isNotNull())
+
+    hashes = [F.transform(x, lambda y: y["hash"]) for x in (a, b)]
+    found = F.flatten(runs_of(F.sort_array(F.concat(side(a, 0), side(b, 1))), lambda x, before: x["hash"] != before["hash"], pair))
+    return F.when(F.arrays_overlap(*hashes), found).otherwise(F.array().cast("array<struct<at:int,shift:int>>"))
+
+
+def likeness(a: Column, b: Column, pairs: Column) -> Column:
+    """Paired anchors over all anchors of both texts, a pair counted once."""
+    both = F.size(pairs)
+    either = F.size(a) + F.size(b) - both
+    return F.when(either == 0, 1.0).otherwise(both / either).cast("double")
+
+
+def passage(pairs: Column, text: Column, k: int = K) -> Column:
+    """Words of the longest passage: a stretch of the first text that pairs of one shift cover without a gap."""
+    order = F.sort_array(F.transform(pairs, lambda x: F.struct(x["shift"].alias("shift"), x["at"].alias("at"))))
+    spans = runs_of(order, lambda x, before: (x["shift"] != before["shift"]) | (x["at"] - before["at"] > k), lambda r: F.element_at(r, -1)["at"] - r[0]["at"])
+    # only a text of one anchor can be shorter than k
+    width = F.when(F.size(pairs) == 1, F.least(F.size(words(text)), F.lit(k))).otherwise(k)
+    return F.when(F.size(pairs) == 0, 0).otherwise(F.array_max(spans) + width).cast("long")
 
 
 def buckets(docs: DataFrame, key: str) -> Column:
@@ -88,13 +131,13 @@ def buckets(docs: DataFrame, key: str) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row of (doc_id, text, fp) with the next row's text and fp by descending doc_id; after the last comes the first.
+    """Each row of (doc_id, text) with the next row's text by descending doc_id; after the last comes the first.
 
     Rows are windowed within buckets of adjacent ids.  The first row of the
     next bucket is added to each bucket as a sentinel, so that no window spans
     the table: the bucket heads are at most MOST_BUCKETS pairs of numbers.
     """
-    d = docs.select("doc_id", "text", "fp").withColumn("bucket", buckets(docs, "doc_id")).withColumn("sentinel", F.lit(False))
+    d = docs.select("doc_id", "text").withColumn("bucket", buckets(docs, "doc_id")).withColumn("sentinel", F.lit(False))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     heads = docs.select("doc_id", "text").withColumn("bucket", buckets(docs, "doc_id"))
     heads = heads.groupBy("bucket").agg(F.max(F.struct("doc_id", (-F.xxhash64("text")).alias("t"))).alias("head"))
@@ -103,33 +146,41 @@ def with_next(docs: DataFrame) -> DataFrame:
     heads = heads.select("bucket", F.coalesce(F.lead("head").over(ring), first).alias("head"))
     heads = heads.select(F.col("bucket").alias("bucket"), F.col("head.doc_id").alias("head_id"), F.col("head.t").alias("head_t"))
     at = F.col("doc_id").eqNullSafe(F.col("head_id")) & (-F.xxhash64("text")).eqNullSafe(F.col("head_t"))
-    sentinels = docs.select("doc_id", "text", "fp").join(F.broadcast(heads), at)
+    sentinels = docs.select("doc_id", "text").join(F.broadcast(heads), at)
     # rows that repeat a head altogether would be sentinels twice, which does no harm: the nearest one is taken
-    d = d.unionByName(sentinels.select("doc_id", "text", "fp", "bucket", F.lit(True).alias("sentinel")))
+    d = d.unionByName(sentinels.select("doc_id", "text", "bucket", F.lit(True).alias("sentinel")))
     w = Window.partitionBy("bucket").orderBy("sentinel", *order)
-    d = d.withColumns({"next_text": F.lead("text").over(w), "next_fp": F.lead("fp").over(w)})
+    d = d.withColumn("next_text", F.lead("text").over(w))
     return d.where("NOT sentinel").drop("bucket", "sentinel")
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text; null text is empty."""
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_chars, fp (array of hashes)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", text.alias("text")).withColumn("fp", sketch(F.col("text")))
+    """doc_id, text, fp (array of anchors)."""
+    return texts(docs).withColumn("fp", anchors(F.col("text")))
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = with_next(fingerprints(documents(spark, sf_dir)))
+    d = with_next(texts(documents(spark, sf_dir)))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("edited"))
-    d = d.withColumn("edited_fp", sketch(F.col("edited")))
+    d = d.select("doc_id", "text", n.cast("long").alias("n_chars"), "next_text", edited.alias("edited"))
+    # anchors are made here, not before the rows move: texts are smaller than their anchors
+    d = d.withColumns({"fp": anchors(F.col("text")), "next_fp": anchors(F.col("next_text")), "edited_fp": anchors(F.col("edited"))})
+    d = d.withColumns({"with_edited": matches(F.col("fp"), F.col("edited_fp")), "with_next": matches(F.col("fp"), F.col("next_fp"))})
     return d.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         as_text(F.col("fp")).alias("fingerprint"),
         as_text(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
-        likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp"), F.col("with_edited")).alias("near_edited"),
+        likeness(F.col("fp"), F.col("next_fp"), F.col("with_next")).alias("near_next"),
+        passage(F.col("with_edited"), F.col("text")).alias("edited_passage"),
+        passage(F.col("with_next"), F.col("text")).alias("next_passage"),
     )

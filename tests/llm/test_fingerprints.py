@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+from collections import Counter
 
 from attestor.llm import fingerprints as fp
 from tests.llm.util import frame, odd_rows, save
@@ -44,3 +47,27 @@ def test_null_ids_and_empty(spark, tmp_path):
     assert fp.op2_fingerprints(spark, save(spark, tmp_path)).count() == len(odd_rows())
     assert fp.op2_fingerprints(spark, save(spark, tmp_path, [], "none")).count() == 0
     assert fp.fingerprints(frame(spark)).count() == len(odd_rows())
+
+
+def test_all_anchors_count_by_position(spark, tmp_path):
+    """Few edits and a short shared passage show in texts of 20,000 words; values against the same matching in Python."""
+    r = random.Random(5)
+    many = [f"w{r.randrange(3000)}" for _ in range(20_000)]
+    other = [f"v{r.randrange(3000)}" for _ in range(20_000)]
+    edited = [f"x{i}" if i in (5_000, 12_000) else w for i, w in enumerate(many)]
+    quoting = other[:700] + many[9_000:9_120] + other[700:]
+    texts = [many, edited, quoting, ["dup"] * 300, ["dup"] * 200, ["of", "four", "words", "here"], ["of", "four", "words", "here"], []]
+    rows = [(100 - i, " ".join(t), *[None] * 8) for i, t in enumerate(texts)]
+    d = save(spark, tmp_path, rows)
+    got = {x.doc_id: x for x in fp.op2_fingerprints(spark, d).collect()}
+    anchors = {x.doc_id: [(a.pos, a.hash) for a in x.fp] for x in fp.fingerprints(frame(spark, rows)).collect()}
+    for k, a in anchors.items():
+        assert got[k].fingerprint == "".join(f"{h:010X}{p - (a[i - 1][0] if i else 0):X}" for i, (p, h) in enumerate(a))
+        b = anchors.get(k - 1, anchors[100])
+        both = sum((Counter(h for _, h in a) & Counter(h for _, h in b)).values())
+        assert math.isclose(got[k].near_next, both / (len(a) + len(b) - both) if a or b else 1.0), k
+    assert len(anchors[100]) > 8_000 and got[100].fingerprint != got[99].fingerprint
+    assert 0.99 < got[100].near_next < 1 and 6_990 <= got[100].next_passage <= 7_999
+    assert 0 < got[99].near_next < 0.01 and 110 <= got[99].next_passage <= 120
+    assert got[97].near_next == 196 / 296 and got[97].next_passage == 200
+    assert got[95].near_next == 1 and got[95].next_passage == 4 and got[94].near_next == got[94].next_passage == 0
