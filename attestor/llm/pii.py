@@ -8,7 +8,8 @@ document; different values get different ones; the key is needed to go back.
 
 Kinds: e-mail addresses, IPv4 addresses, telephone numbers, payment cards
 (Luhn), US social security numbers, IBANs (mod 97), dates, access keys and
-passwords.
+passwords.  A card or IBAN is also found where a number or word follows that
+could belong to it, or a number stands before it.
 
 Defined results: null text stays null with no findings; text without a finding
 is returned as it is, whatever its length; equal rows give equal rows; an empty
@@ -92,8 +93,12 @@ def refill(shape: str, digits: str) -> str:
     return "".join(next(it) if c.isdigit() else c for c in shape)
 
 
+def luhn_sum(digits: str) -> int:
+    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10
+
+
 def luhn(digits: str) -> bool:
-    return sum(sum(divmod(2 * int(d), 10)) if i % 2 else int(d) for i, d in enumerate(reversed(digits))) % 10 == 0
+    return luhn_sum(digits) == 0
 
 
 def walk(step: Callable[[str], str], start: str, good: Callable[[str], bool]) -> str:
@@ -120,10 +125,26 @@ def ipv4(m, p: Permuter, back: bool) -> str | None:
 
 def card(m, p: Permuter, back: bool) -> str | None:
     d = re.sub(r"\D", "", m)
-    if not 13 <= len(d) <= 19 or not luhn(d) or len(set(d)) == 1 or d[0] not in "23456":
+    if not 13 <= len(d) <= 19 or d[0] not in "23456" or len(set(d)) == 1 or not luhn(d):
         return None
-    body = walk(lambda x: str(p.permute(int(x), 10 ** (len(d) - 1), "card", back)).zfill(len(d) - 1), d[:-1], lambda x: x[0] in "23456")
-    return refill(m, next(body + c for c in DIGITS if luhn(body + c)))
+    # the sum over the places in between is kept: a number that follows then makes a valid longer card of both or of neither
+    odd = luhn_sum(d + "0")
+
+    def whole(x: str) -> str:
+        return x + str(-luhn_sum(x + "0") % 10)
+
+    body = walk(lambda x: str(p.permute(int(x), 10 ** (len(d) - 1), "card", back)).zfill(len(d) - 1), d[:-1], lambda x: x[0] in "23456" and luhn_sum(whole(x) + "0") == odd)
+    return refill(m, whole(body))
+
+
+#: The ways cards are printed.
+PRINTED = re.compile(r"\d{13,19}|(?:\d{4}[ \-]){3,4}\d{1,4}|\d{4}[ \-]\d{6}[ \-]\d{4,5}")
+
+
+def card_ends(m: str, inner: bool) -> list[int]:
+    """Lengths at which a card may end in a match: all of it, or before a separator; ``inner``, after another number, only as cards are printed."""
+    ends = [len(m), *[i for i in range(len(m) - 1, 12, -1) if m[i] in " -"]]
+    return [n for n in ends if PRINTED.fullmatch(m, 0, n)] if inner else ends
 
 
 def good_nanp(d: str) -> bool:
@@ -169,6 +190,20 @@ def iban(m, p: Permuter, back: bool) -> str | None:
     return "".join(c if c == " " else next(whole) for c in m)
 
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
+
+
+def iban_ends(m: str, inner: bool) -> list[int]:
+    """Lengths at which an IBAN may end in a match: its country's, all of it, or before a separator."""
+    places = [i + 1 for i, c in enumerate(m) if c != " "]
+    n = IBAN_LENGTHS.get(m[:2], len(places))
+    return [*places[n - 1 : n], len(m), *[i for i in range(len(m) - 1, 14, -1) if m[i] == " "]]
+
+
 def day(y: int, m: int, d: int) -> date | None:
     try:
         return date(y, m, d) if 1900 <= y < 2100 else None
@@ -247,11 +282,15 @@ KINDS = [
     ("date", r"(?<![\d\-/.])(?:19|20)\d\d([\-/])\d{1,2}\1\d{1,2}(?![\d\-/])", iso_date),
     ("date", r"(?<![\d\-/.])\d{1,2}([\-/.])\d{1,2}\1(?:19|20)\d\d(?![\d\-/])", short_date),
     ("date", r"\b(?:\d{1,2} (?i:" + "|".join(MONTHS) + r") (?:19|20)\d\d|(?i:" + "|".join(MONTHS) + r") \d{1,2}, (?:19|20)\d\d)\b", named_date),
-    ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])", card),
+    ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?!\d)", card),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", ssn),
     ("phone", r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\w+(])(?:\(\d{3}\) ?|\d{3}[.\-])\d{3}[.\- ]\d{4}(?!\d)|(?<![\w+])\+[2-9]\d(?:[ .\-]?\d){7,12}(?!\d)", phone),
 ]
 COMPILED = [(k, re.compile(p), f) for k, p, f in KINDS]
+#: Kinds that a following word or number can be taken for a part of: where a value may end in a match.
+ENDS = {"card": card_ends, "iban": iban_ends}
+#: More characters than a match of these kinds has.
+REACH = 64
 #: A text without any of these has no finding; every pattern needs a digit, an @, a key word or a name.
 MAY_HAVE = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)\s*[:=]"
 
@@ -261,15 +300,29 @@ def find(text: str, p: Permuter, back: bool = False) -> list[tuple[int, int, str
     found: list[tuple[int, int, str, str]] = []
     taken = bytearray()
     for kind, pattern, change in COMPILED:
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if taken and any(taken[a:b]):
-                continue
-            new = change(m.group(), p, back)
-            if new is not None:
-                taken = taken or bytearray(len(text))
-                taken[a:b] = b"\1" * (b - a)
-                found.append((a, b, kind, new))
+        ends, at = ENDS.get(kind), 0
+
+        def first(text: str, at: int, shift: int = 0):
+            """The first confirmed value from ``at`` on; ``shift`` is the place of text[0] in the whole text."""
+            while m := pattern.search(text, at):
+                a, at = m.start(), m.start() + 1 if ends else m.end()
+                inner = a > 1 and text[a - 1] == " " and text[a - 2].isdigit() and not any(taken[a - 2 + shift : a - 1 + shift])
+                for n in ends(m.group(), inner) if ends else [len(m.group())]:
+                    if not any(taken[a + shift : a + n + shift]) and (new := change(m.group()[:n], p, back)) is not None:
+                        return a, a + n, new
+            return None
+
+        while got := first(text, at):
+            a, b, new = got
+            low = max(at, a - REACH)
+            start = max(low - 2, 0)
+            # a pseudonym that would be read with other bounds beside its neighbours is walked on, so that going back reads the same
+            while ends and (first(text[start:a] + new + text[b : b + REACH], low - start, start) or (0, 0))[:2] != (a - start, b - start):
+                new = change(new, p, back)
+            taken = taken or bytearray(len(text))
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b, kind, new))
+            at = b
     return sorted(found)
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -57,6 +58,38 @@ def test_what_is_not_validated_stays():
         assert pii.find(t, P) == [], t
 
 
+@pytest.mark.parametrize("kind,value,text", [
+    ("card", "4111 1111 1111 1111", "{} 12/25"), ("card", "4111 1111 1111 1111", "{} 12-25 123"), ("card", "4111111111111111", "{} 123"), ("card", "4111-1111-1111-1111", "{}-0425-123"), ("card", "3782 822463 10005", "{} 1234"), ("card", "41111 11111 111111", "{} 123"),
+    ("card", "4111111111111111", "{} 10.0.0.1"), ("card", "4111 1111 1111 1111", "no. 12 {} 12/25"), ("card", "5500 0055 5555 5559", "212 555 0199 {}"),
+    ("iban", "ES91 2100 0418 4502 0005 1332", "{} EUR"), ("iban", "ES9121000418450200051332", "{} EUR 100"), ("iban", "DE89370400440532013000", "{}EUR"), ("iban", "NO93 8601 1117 947", "{} NOK"), ("iban", "ES91 2100 0418 4502 0005 1332", "AB12 CDEF {} EUR"),
+])
+def test_what_stands_beside(kind, value, text):
+    text = f"paid with {text.format(value)} today"
+    found = pii.find(text, P)
+    assert [text[a:b] for a, b, k, _ in found if k == kind] == [value], found
+    new = pii.replaced(text, found)
+    assert value not in new and pii.replaced(new, pii.find(new, P, back=True)) == text
+
+
+def test_numbers_beside_cards():
+    """Cards are linked whatever follows, and going back gives the text again."""
+    r = random.Random(3)
+    alone = {}
+    for i in range(400):
+        body = r.choice("23456") + "".join(r.choice("0123456789") for _ in range(14))
+        c = next(body + x for x in "0123456789" if pii.luhn(body + x))
+        c = " ".join(c[k : k + 4] for k in (0, 4, 8, 12)) if i % 2 else c
+        alone[c] = pii.find(c, P)[0][3]
+        tail = f"{r.randrange(1000):03d}" if i % 3 else f"{r.randrange(100):02d}/25"
+        for text in (f"{c} {tail}", f"{r.randrange(100)} {c} {tail}"):
+            new = pii.replaced(text, pii.find(text, P))
+            assert c not in new and pii.replaced(new, pii.find(new, P, back=True)) == text, text
+        text = f"{c} {tail}"
+        a, b, _, new = pii.find(text, P)[0]
+        assert b > len(c) or (text[a:b] == c and new == alone[c]), text
+    assert len(set(alone.values())) == len(alone)
+
+
 def test_tables(spark, sf, tmp_path):
     for d in (sf, save(spark, tmp_path)):
         rows = spark.read.parquet(f"{d}/documents.parquet").collect()
