@@ -291,8 +291,8 @@ COMPILED = [(k, re.compile(p), f) for k, p, f in KINDS]
 ENDS = {"card": card_ends, "iban": iban_ends}
 #: More characters than a match of these kinds has.
 REACH = 64
-#: A text without any of these has no finding; every pattern needs a digit, an @, a key word or a name.
-MAY_HAVE = r"[0-9@]|(?i:password|passwd|pwd|secret|token|api_?key)\s*[:=]"
+#: A text without any of these has no finding; every pattern needs a digit, an @, a key word, AKIA or quoted hexadecimal letters.
+MAY_HAVE = r"[\p{Nd}@]|AKIA|[\"'][A-Fa-f]{32}|(?i:password|passwd|pwd|secret|token|api_?key)"
 
 
 def find(text: str, p: Permuter, back: bool = False) -> list[tuple[int, int, str, str]]:
