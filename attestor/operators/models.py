@@ -108,12 +108,20 @@ def scored(df: DataFrame, scorer, columns: list[str], schema: str) -> DataFrame:
 
 
 def shuffled_features(df: DataFrame, key: str, owner: str, vector: str, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """Control: each row gets the vector of the next row of another owner in hash order, within hash buckets."""
+    """Control: each row gets the vector of the next owner in hash order.
+
+    Owners are windowed within hash buckets; the last of a bucket is followed by
+    the first of the next bucket that has owners, so only a table of one owner
+    gives that owner's own vector.
+    """
     from pyspark.sql import Window
 
-    b = F.pmod(F.xxhash64(owner, F.lit(seed)), F.lit(buckets))
     per = df.groupBy(owner).agg(F.min_by(vector, key).alias("_v")).withColumn("_b", F.pmod(F.xxhash64(owner, F.lit(seed + 1)), F.lit(buckets)))
-    w = Window.partitionBy("_b").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(owner).cast("string")), 256))
-    nxt = F.coalesce(F.lead("_v").over(w), F.first("_v").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    del b
-    return df.join(per.select(owner, nxt.alias("shuffled")), owner)
+    per = per.withColumn("_o", F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(owner).cast("string")), 256), F.col(owner)))
+    # one row for each bucket: its successor's first vector
+    heads = per.groupBy("_b").agg(F.min_by("_v", "_o").alias("_first"))
+    ring = Window.orderBy("_b")
+    around = F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    heads = heads.select("_b", F.coalesce(F.lead("_first").over(ring), around).alias("_first"))
+    nxt = F.coalesce(F.lead("_v").over(Window.partitionBy("_b").orderBy("_o")), F.col("_first"))
+    return df.join(per.join(F.broadcast(heads), "_b").select(owner, nxt.alias("shuffled")), owner)

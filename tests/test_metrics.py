@@ -188,3 +188,13 @@ def test_kmeans_and_losses(spark):
     assert math.isclose(r.l, -math.log(p)) and math.isclose(r.k, (p - (1 - p)) * 1.0) and r.z == 0
     shuffled = models.shuffled_features(d.withColumn("owner", F.col("k") % 3), "k", "owner", "v", buckets=1)
     assert shuffled.count() == 5
+
+
+def test_shuffled_features_are_of_other_owners(spark):
+    """Every owner gets the vector of another one, each once, though most are alone in their bucket."""
+    for n in (2, 30):
+        d = spark.createDataFrame([(k, k % n, [float(k % n)]) for k in range(2 * n)], "k int, owner int, v array<double>")
+        for buckets in (64, 4, 1):
+            got = models.shuffled_features(d, "k", "owner", "v", buckets=buckets).collect()
+            assert len(got) == 2 * n and all(r.shuffled != r.v for r in got)
+            assert sorted({(r.owner, r.shuffled[0]) for r in got})[n - 1][0] == n - 1 and len({r.shuffled[0] for r in got}) == n
