@@ -46,26 +46,49 @@ TEMPLATES = {
     "gpl-2.0": [
         "licensed under the GNU General Public License, version 2",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
         "Licensed under the BSD License",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "SPDX-License-Identifier: BSD-3-Clause",
     ],
     "cc-by-nc-4.0": [
         "Licensed under CC BY-NC 4.0",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
     ],
     "cc-by-sa-4.0": [
         "Licensed under CC BY-SA 4.0",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ],
     "cc-by-4.0": [
         "Licensed under CC BY 4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
+        "SPDX-License-Identifier: CC-BY-4.0",
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "SPDX-License-Identifier: MPL-2.0"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "SPDX-License-Identifier: ISC"],
+    "unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
+    # short, so that the notices of the GPL do not cover them
+    "lgpl": ["GNU Lesser General Public License", "SPDX-License-Identifier: LGPL-2.1", "SPDX-License-Identifier: LGPL-3.0"],
+    "agpl": ["GNU Affero General Public License", "SPDX-License-Identifier: AGPL-3.0"],
+    "cc0-1.0": [
+        "Licensed under CC0 1.0",
+        "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal Public Domain Dedication",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "epl-2.0": ["Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0", "Commons Attribution-NoDerivatives 4.0", "SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "zlib": [
+        "Licensed under the zlib License",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "SPDX-License-Identifier: Zlib",
     ],
-    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
-    "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 #: Shortest run that counts, share of a template to cover, and words that may lie between chained runs.
 MIN_RUN, MIN_COVER, MAX_GAP = 3, 0.85, 8

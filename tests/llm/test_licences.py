@@ -52,3 +52,15 @@ def test_matching_statistics():
 
 def test_empty_table(spark):
     assert licences.scan(frame(spark, [])).count() == 0
+
+
+def test_more_licences(spark):
+    tags = ["LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "CC0-1.0", "EPL-2.0", "CC-BY-ND-4.0", "Zlib", "BSD-3-Clause"]
+    rows = [(i, f"see SPDX-License-Identifier: {t} here", *[None] * 8) for i, t in enumerate(tags)]
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(frame(spark, rows)).collect()}
+    for i, t in enumerate(tags):
+        assert {"LGPL-2.1": "lgpl", "LGPL-3.0": "lgpl", "AGPL-3.0": "agpl", "BSD-3-Clause": "bsd"}.get(t, t.lower()) in got[i], (t, got[i])
+    new = {"lgpl", "agpl", "cc0-1.0", "epl-2.0", "cc-by-nd-4.0", "zlib"}
+    rows = [(i, t, *[None] * 8) for i, t in enumerate(t for k, ts in licences.TEMPLATES.items() if k not in new for t in ts)]
+    for r in licences.scan(frame(spark, rows)).collect():
+        assert not new & set(r.labels.split(",")), r
