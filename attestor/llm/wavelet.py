@@ -3,8 +3,8 @@
 A shard holds the ids of consecutive documents.  Its distinct ids are numbered
 densely; bit plane j holds bit j (from the top) of each number, in the order
 that stable partition by the planes above leaves.  Each plane has a count of
-ones per 512 bits, so access, counting and occurrence lookup read a few bytes
-of each plane of the one blob.
+ones per 512 bits, so access, counting and select read a few bytes of each plane
+of the one blob; the list of all occurrences unpacks the planes.
 
 Blob: ``WVM1``, then little-endian u64 length, u32 levels, u32 alphabet size,
 u32[] alphabet, and per level u64 number of zeros, u32[] ones before each block
@@ -21,6 +21,7 @@ import os
 import struct
 import zlib
 from array import array
+from bisect import bisect_right
 
 import numpy as np
 import public_tokenizers
@@ -144,7 +145,23 @@ class WaveletMatrix:
 
     def select(self, value: int, k: int) -> int:
         """Position of occurrence k, counted from 0."""
-        return int(self.occurrences(value)[k])
+        found = self._range(value, 0, self.n)
+        count = found[2] - found[1] if found else 0
+        if not -count <= k < count:
+            raise IndexError(k)
+        number, at = found[0], found[1] + k % count
+        for j in range(len(self.planes) - 1, -1, -1):
+            bit = number >> (len(self.planes) - 1 - j) & 1
+            at = self._place(self.planes[j], bit, at - self.planes[j][0] if bit else at)
+        return at
+
+    def _place(self, plane, bit: int, r: int) -> int:
+        """Place of the bit with r equal ones before it: a binary search over blocks, then one block."""
+        _, ranks, packed = plane
+        block = bisect_right(range(len(ranks)), r, key=lambda b: int(ranks[b]) if bit else b * BLOCK - int(ranks[b])) - 1
+        before = int(ranks[block]) if bit else block * BLOCK - int(ranks[block])
+        bits = np.unpackbits(packed[block * BLOCK // 8 : (block + 1) * BLOCK // 8], count=min(BLOCK, self.n - block * BLOCK), bitorder="little")
+        return block * BLOCK + int(np.flatnonzero(bits == bit)[r - before])
 
     def decode(self) -> np.ndarray:
         """The whole sequence: planes are undone from the lowest to the highest."""

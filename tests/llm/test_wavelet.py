@@ -30,6 +30,17 @@ def test_structure(values):
         w.access(len(values))
 
 
+def test_select_reads_blocks(monkeypatch):
+    values = np.random.default_rng(1).integers(0, 40, 20_000)
+    w = wavelet.WaveletMatrix.from_bytes(wavelet.WaveletMatrix.build(values).to_bytes())
+    monkeypatch.setattr(wavelet.WaveletMatrix, "occurrences", None)
+    for v in (0, 17, 39):
+        at = np.flatnonzero(values == v)
+        assert [w.select(v, k) for k in range(len(at))] == at.tolist()
+        with pytest.raises(IndexError):
+            w.select(v, len(at))
+
+
 def test_equals_the_library(spark, sf, tmp_path):
     library = Tokenizer.from_file(PATH)
     for d in (sf, save(spark, tmp_path, [r for i, r in enumerate(odd_rows()) if r[0] is not None and i < 13])):
