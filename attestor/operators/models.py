@@ -1,4 +1,4 @@
-"""Small models: ridge by normal equations, cosine k-means per group, listwise losses."""
+"""Small models: ridge by normal equations, clusters of directions per group, listwise losses."""
 
 from __future__ import annotations
 
@@ -57,28 +57,47 @@ def ridge_score(vector: str, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -
     return F.aggregate(F.zip_with(col(vector), F.lit([float(x) for x in slope]), lambda x, y: x.cast("double") * y), F.lit(bias), lambda a, x: a + x)
 
 
-def cosine_kmeans(values: np.ndarray, clusters: int = 5, iterations: int = 20) -> np.ndarray:
-    """Labels by cosine k-means: seeds are each the point least like those before; empty clusters keep their centre."""
-    x = values / np.maximum(np.linalg.norm(values, axis=1, keepdims=True), 1e-12)
-    seeds = [0]
-    for _ in range(1, min(clusters, len(x))):
-        seeds.append(int((x @ x[seeds].T).max(1).argmin()))
-    centres, labels = x[seeds], None
-    for _ in range(iterations):
-        new = (x @ centres.T).argmax(1)
-        if labels is not None and np.array_equal(new, labels):
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.sqrt((rows * rows).sum(1, keepdims=True)), 1e-12)
+
+
+def _farthest_rows(points: np.ndarray, k: int) -> np.ndarray:
+    """Row 0, then again and again the row whose best similarity to the rows taken is lowest (the first of equals)."""
+    taken, best = [0], points @ points[0]
+    while len(taken) < min(k, len(points)):
+        taken.append(int(np.argmin(best)))
+        np.maximum(best, points @ points[taken[-1]], out=best)
+    return np.array(taken)
+
+
+def directions(vectors: np.ndarray, k: int = 5, rounds: int = 20) -> np.ndarray:
+    """The cluster of each vector by direction: k-means on the unit sphere from farthest-first seeds.
+
+    A cluster that loses its last vector stays where it was; fewer vectors than
+    ``k`` make as many clusters; no vector, no label.
+    """
+    if not len(vectors):
+        return np.zeros(0, np.int64)
+    points = _unit(np.asarray(vectors, float))
+    heads = points[_farthest_rows(points, k)]
+    nearest = np.argmax(points @ heads.T, axis=1)
+    for _ in range(rounds - 1):
+        sums = np.zeros_like(heads)
+        np.add.at(sums, nearest, points)
+        full = np.bincount(nearest, minlength=len(heads)) > 0
+        heads[full] = _unit(sums[full])
+        moved = np.argmax(points @ heads.T, axis=1)
+        if (moved == nearest).all():
             break
-        labels = new
-        means = np.array([x[labels == k].mean(0) if (labels == k).any() else c for k, c in enumerate(centres)])
-        centres = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
-    return labels
+        nearest = moved
+    return nearest
 
 
-def kmeans_per_group(df: DataFrame, group: str, order: str, vector: str, clusters: int = 5) -> DataFrame:
+def direction_clusters(df: DataFrame, group: str, order: str, vector: str, clusters: int = 5) -> DataFrame:
     """group, order, cluster for the vectors of each group (the patches of one image: a bounded number)."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by(order)
-        labels = cosine_kmeans(np.array(t[vector].to_pylist(), float), clusters)
+        labels = directions(np.array(t[vector].to_pylist(), float), clusters)
         return pa.table({group: t[group], order: t[order], "cluster": pa.array(labels, pa.int32())})
 
     kinds = dict(df.dtypes)
@@ -107,16 +126,18 @@ def scored(df: DataFrame, scorer, columns: list[str], schema: str) -> DataFrame:
     return df.join(once, columns)
 
 
-def shuffled_features(df: DataFrame, key: str, owner: str, vector: str, seed: int = 0, buckets: int = 64) -> DataFrame:
+def shuffled_features(df: DataFrame, key: str, owner: str, vector: str, seed: int = 0, bucket_rows: int = 4_096) -> DataFrame:
     """Control: each row gets the vector of the next owner in hash order.
 
-    Owners are windowed within hash buckets; the last of a bucket is followed by
-    the first of the next bucket that has owners, so only a table of one owner
-    gives that owner's own vector.
+    Owners are windowed within hash buckets of about ``bucket_rows``; the last
+    of a bucket is followed by the first of the next bucket that has owners, so
+    only a table of one owner gives that owner's own vector.
     """
     from pyspark.sql import Window
 
-    per = df.groupBy(owner).agg(F.min_by(vector, key).alias("_v")).withColumn("_b", F.pmod(F.xxhash64(owner, F.lit(seed + 1)), F.lit(buckets)))
+    per = df.groupBy(owner).agg(F.min_by(vector, key).alias("_v"))
+    buckets = per.count() // bucket_rows + 1
+    per = per.withColumn("_b", F.pmod(F.xxhash64(owner, F.lit(seed + 1)), F.lit(buckets)))
     per = per.withColumn("_o", F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(owner).cast("string")), 256), F.col(owner)))
     # one row for each bucket: its successor's first vector
     heads = per.groupBy("_b").agg(F.min_by("_v", "_o").alias("_first"))
@@ -124,4 +145,4 @@ def shuffled_features(df: DataFrame, key: str, owner: str, vector: str, seed: in
     around = F.first("_first").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("_b", F.coalesce(F.lead("_first").over(ring), around).alias("_first"))
     nxt = F.coalesce(F.lead("_v").over(Window.partitionBy("_b").orderBy("_o")), F.col("_first"))
-    return df.join(per.join(F.broadcast(heads), "_b").select(owner, nxt.alias("shuffled")), owner)
+    return df.join(per.join(heads, "_b").select(owner, nxt.alias("shuffled")), owner)

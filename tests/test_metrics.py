@@ -178,15 +178,17 @@ def test_ridge_equals_numpy(spark):
 
 
 def test_kmeans_and_losses(spark):
-    x = np.array([[1, 0], [0.9, 0.1], [0, 1], [0.1, 0.9], [-1, 0]], float)
-    assert models.cosine_kmeans(x, 3).tolist() == [0, 0, 2, 2, 1]
+    x = np.array([[2, 0], [1.9, 0.3], [0, 5], [0.2, 3], [-4, 0]], float)
+    assert models.directions(x[:0], 3).tolist() == [] and models.directions(x[:2], 3).tolist() == [0, 1]
+    assert models.directions(np.zeros((3, 2)), 2).tolist() == [0, 0, 0]
+    assert models.directions(x, 3).tolist() == [0, 0, 2, 2, 1]
     d = spark.createDataFrame([("a", k, list(map(float, p))) for k, p in enumerate(x)], "g string, k int, v array<double>")
-    assert {r.k: r.cluster for r in models.kmeans_per_group(d, "g", "k", "v", 3).collect()} == dict(enumerate([0, 0, 2, 2, 1]))
+    assert {r.k: r.cluster for r in models.direction_clusters(d, "g", "k", "v", 3).collect()} == dict(enumerate([0, 0, 2, 2, 1]))
     row = spark.createDataFrame([([2.0, 1.0, 5.0], [1.0, 2.0, 0.0], [True, False, False], [True, True, False])], "a array<double>, b array<double>, y array<boolean>, m array<boolean>")
     r = row.select(models.listwise_loss("a", "y", "m").alias("l"), models.symmetric_kl("a", "b", "m").alias("k"), models.symmetric_kl("a", "a", "m").alias("z")).first()
     p = math.e / (1 + math.e)
     assert math.isclose(r.l, -math.log(p)) and math.isclose(r.k, (p - (1 - p)) * 1.0) and r.z == 0
-    shuffled = models.shuffled_features(d.withColumn("owner", F.col("k") % 3), "k", "owner", "v", buckets=1)
+    shuffled = models.shuffled_features(d.withColumn("owner", F.col("k") % 3), "k", "owner", "v", bucket_rows=1_000)
     assert shuffled.count() == 5
 
 
@@ -194,7 +196,7 @@ def test_shuffled_features_are_of_other_owners(spark):
     """Every owner gets the vector of another one, each once, though most are alone in their bucket."""
     for n in (2, 30):
         d = spark.createDataFrame([(k, k % n, [float(k % n)]) for k in range(2 * n)], "k int, owner int, v array<double>")
-        for buckets in (64, 4, 1):
-            got = models.shuffled_features(d, "k", "owner", "v", buckets=buckets).collect()
+        for rows in (1, 8, 1_000):
+            got = models.shuffled_features(d, "k", "owner", "v", bucket_rows=rows).collect()
             assert len(got) == 2 * n and all(r.shuffled != r.v for r in got)
             assert sorted({(r.owner, r.shuffled[0]) for r in got})[n - 1][0] == n - 1 and len({r.shuffled[0] for r in got}) == n
