@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -29,25 +30,64 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share.
+    """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
 
-    A local folder is made only where ``spark.checkpoint.dir`` is unset, which
-    is the case in local tests.
+    Where it is unset, a local master gets a temporary folder and any other one
+    an error: executors elsewhere could not see a folder of this machine.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+#: Folders written so far and not yet deleted, and the table of each that has one.
+_MADE: dict[str, str | None] = {}
+
+
+def place(spark: SparkSession, name: str, table: str | None = None) -> str:
+    """A new path in the shared folder, which clear() deletes."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE[path] = table
+    return path
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, place(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._attestor_path = path
+    return out
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    table = _MADE.pop(path, None)
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the folders of written frames on which nothing that is still to run depends."""
+    for df in frames:
+        if path := getattr(df, "_attestor_path", None):
+            _deleted(df.sparkSession, path)
+
+
+def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete all folders and tables that operators have written, but those of ``keep``.
+
+    Results are lazy: call this when they have been stored elsewhere.
+    """
+    held = {getattr(df, "_attestor_path", None) for df in keep}
+    for path in [p for p in _MADE if p not in held]:
+        _deleted(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,8 +58,45 @@ def test_equals_brute_force(spark):
     check(spark, corpus(2), length=50, gram=12)
 
 
-def test_hot_grams(spark):
-    check(spark, corpus(3), length=60, gram=16, hot=2)
+def test_large_groups_are_divided(spark, monkeypatch):
+    """One gram in most texts, between shared and unshared bytes, and one common start of seven bytes: every level is reached."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdeé") for _ in range(r.randint(1, 6)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    common, wide = "0123456789 the common line 9876543210", [some(30) for _ in range(3)]
+    texts = ["common " + some(r.randint(5, 40)) + common + some(r.randint(0, 40)) for _ in range(40)]
+    texts += ["common " + some(3) + r.choice(wide) + common + r.choice(wide) + some(r.randint(0, 9)) for _ in range(40)]
+    texts += [common * 12, common * 12, "x" * 700, "xy" * 300, None, ""]
+    monkeypatch.setattr(sx, "LARGE", 3)
+    levels = []
+    table = sx.gram_table
+    monkeypatch.setattr(sx, "gram_table", lambda t, level, *a: levels.append(level) or table(t, level, *a))
+    check(spark, texts, length=60, gram=16)
+    assert levels == [0, 1, 2, 3]
+    check(spark, corpus(3), length=60, gram=16)
+    monkeypatch.setattr(sx, "RUN_ROWS", 7)
+    check(spark, texts)
+
+
+def test_windows_of_one_hash_are_told_apart(monkeypatch):
+    data = np.frombuffer(b"abcdefabcxefabcdef", np.uint8)
+    at = np.arange(len(data) - 5)
+    want = [data.tobytes().index(data[i : i + 6].tobytes()) for i in at]
+    assert sx.earliest(data, at, 6).tolist() == want
+    real = sx.rolling
+    monkeypatch.setattr(sx, "rolling", lambda d, n: real(d, n) & np.uint64(1))
+    assert sx.earliest(data, at, 6).tolist() == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 400), st.integers(0, 168), st.integers(0, 168), st.sampled_from(sx.WIDTHS))
+def test_bands_divide_windows(at, back, more, width):
+    first = np.array([max(0, at - max(back, more))])
+    last = np.array([max(first[0], at - min(back, more))])
+    k, start, a, b = sx.bands(np.array([at]), first, last, width)
+    assert sorted(x for s0, s1 in zip(a, b) for x in range(s0, s1 + 1)) == list(range(first[0], last[0] + 1))
+    # every window of a band covers the bytes that the band shares
+    assert all(s0 <= s1 <= p and p + 200 - width + 1 <= s0 + 200 for p, s0, s1 in zip(start, a, b))
 
 
 def test_many_ranges_runs_and_chunks(spark, monkeypatch):
@@ -106,9 +143,9 @@ def test_known_prefixes_are_not_compared_again():
     assert tree.compared < 7 * 151 + 160 * 3 * 4
 
 
-def test_runs_are_decoded(spark):
-    rows = [(b"abc", b"x", [b"0" * 20]), (b"abd", b"", [b"1" * 20, b"2" * 20])]
-    assert [(r, le, o) for r, _, (le, o) in sx.decode_run(sx.front_code(rows))] == [(r, le, b"".join(o)) for r, le, o in rows]
+def test_runs_are_decoded():
+    rows = [(b"abc", b"x", b"0" * 20), (b"abd", b"", b""), (b"abd", b"y", b"2" * 20)]
+    assert [(r, le, o) for r, _, (le, o) in sx.decode_run(sx.front_code(rows))] == rows
 
 
 def test_rolling_hash():
