@@ -13,7 +13,7 @@ else, in the same document or another; strings never cross documents.
     where the anchor's last window ends, the bytes to the left kept beside
     them), front-codes them (length shared with the one before, then the rest)
     and sends one run to each range of suffixes.  Suffixes are ordered by the
-    hash of their gram, then by their bytes, so that ranges are of equal size
+    spread hash of their gram, then by their bytes, so that ranges are of equal size
     whatever the texts, and need no sample.
 4.  Each range merges its runs with a loser tree that keeps, for every loser,
     the prefix it shares with the winner, and so never compares known prefixes
@@ -252,6 +252,12 @@ def owner(key: bytes, first: int) -> bytes:
     return OWNER.pack(key, first)
 
 
+def spread(h: np.ndarray) -> np.ndarray:
+    """Hashes of anchors, which are small as the least of many, put evenly over all numbers, different ones apart."""
+    x = h.view(np.uint64) * FACTORS[0]
+    return (x ^ (x >> np.uint64(32))) * FACTORS[1]
+
+
 def range_of(start: bytes, ranges: int) -> int:
     """The range of a string by its first four bytes."""
     return int.from_bytes(start[:4], "big") * ranges >> 32
@@ -394,7 +400,7 @@ def suffix_runs(candidates: DataFrame, ranges: int, level: int, length: int, gra
                 key = bytes.fromhex(thash)
                 start, first, last, h = entries(text, level, length, gram)
                 keep = np.isin(h, grams.values.to_numpy())
-                order = (h[keep].view(np.uint64) ^ np.uint64(1 << 63)).byteswap().tobytes()
+                order = spread(h[keep]).byteswap().tobytes()
                 for k, (a, s0, s1) in enumerate(zip(start[keep].tolist(), first[keep].tolist(), last[keep].tolist())):
                     held.setdefault((order[8 * k : 8 * k + 8] + text[a : s1 + length], text[s0:a]), []).append((key, s0, s1))
                     n += 1
