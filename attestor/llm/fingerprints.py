@@ -13,7 +13,8 @@ overlap make up a passage, words that both texts have.
 Defined results: null text counts as empty; an empty fingerprint is '' and is
 like another empty one to 1.0 and like any other to 0.0; a text of fewer than
 ``k`` words has one anchor, its words; texts of equal words have equal fingerprints;
-rows with equal ids are ordered by their texts; extra columns are ignored.
+rows with equal ids are ordered by a hash of their texts, null ids come last;
+an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import documents, let, words
+from attestor.llm.common import discard, documents, let, words, written
 
 K, S = 5, 2
 #: Hashes keep 40 bits, ten hexadecimal digits in the fingerprint; one more tells the words since the anchor before, at most K - S.
 MASK = (1 << 40) - 1
-#: Most buckets that neighbours are looked for in, and rows for each.
-MOST_BUCKETS, BUCKET_ROWS = 1 << 16, 32
+#: Rows aimed at for each bucket in which neighbours are looked for, and most buckets: beyond 6.5e8 rows a bucket grows with the table.
+BUCKET_ROWS, MOST_BUCKETS = 10_000, 1 << 16
 
 
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
@@ -109,49 +110,57 @@ def passage(pairs: Column, text: Column, k: int = K) -> Column:
     return F.when(F.size(pairs) == 0, 0).otherwise(F.array_max(spans) + width).cast("long")
 
 
-def buckets(docs: DataFrame, key: str) -> Column:
-    """A bucket number that rises with ``key``, about BUCKET_ROWS rows each.
+def place(doc_id: Column, text: Column) -> Column:
+    """A string that sorts rows by descending id, null ids last, and rows of one id by a hash of their texts."""
+    def digits(x: Column) -> Column:
+        return F.lpad(F.hex(x.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
 
-    The bounds are quantiles, two levels of at most 256, so that finding a
-    row's bucket takes a few hundred comparisons at any size.
-    """
-    n = docs.count()
-    count = min(MOST_BUCKETS, n // BUCKET_ROWS + 1)
-    side = max(1, round(count**0.5))
-    parts = [(i + 1) / (side * side) for i in range(side * side - 1)]
-    if not parts:
-        return F.lit(0)
-    row = docs.select(F.percentile_approx(key, parts, min(100_000, 10 * side * side)).alias("q")).first()
-    q = row.q or [0] * len(parts)
-    coarse = F.lit([q[i] for i in range(side - 1, len(q), side)])
-    fine = F.array(*[F.lit(q[i * side : i * side + side - 1]) for i in range(side)])
-    k = F.col(key)
-    high = F.size(F.filter(coarse, lambda x: x < k))
-    return F.when(k.isNull(), -1).otherwise(let(high, lambda h: h * side + F.size(F.filter(F.get(fine, h), lambda x: x < k))))
+    at = F.coalesce(F.concat(F.lit("0"), digits(F.bitwise_not(doc_id.cast("long")))), F.lit("1"))
+    return F.concat(at, digits(F.xxhash64(text)))
+
+
+def heads(docs: DataFrame) -> list[str]:
+    """The first place of each bucket, in order: of ranges of about BUCKET_ROWS rows, at most MOST_BUCKETS strings."""
+    spark = docs.sparkSession
+    places = written(docs.select(place(F.col("doc_id"), F.col("text")).alias("place")), "places")
+    n = places.count()
+    count = max(n // BUCKET_ROWS, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    d = places.repartitionByRange(max(1, min(count, n, MOST_BUCKETS)), "place").groupBy(F.spark_partition_id().alias("bucket")).agg(F.min("place").alias("place"))
+    found = sorted(r.place for r in d.select("place").collect())
+    discard(places)
+    return found
+
+
+def bucket_of(at: Column, first: list[str]) -> Column:
+    """Number of the bucket of a place: a search in two steps, some hundred comparisons at most."""
+    side = max(1, round(len(first) ** 0.5))
+    coarse = F.lit(first[::side])
+    fine = F.array(*[F.lit(first[i : i + side]) for i in range(0, len(first), side)])
+    high = F.size(F.filter(coarse, lambda x: x <= at)) - 1
+    return let(high, lambda h: h * side + F.size(F.filter(F.get(fine, h), lambda x: x <= at)) - 1)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row of (doc_id, text) with the next row's text by descending doc_id; after the last comes the first.
 
-    Rows are windowed within buckets of adjacent ids.  The first row of the
-    next bucket is added to each bucket as a sentinel, so that no window spans
-    the table: the bucket heads are at most MOST_BUCKETS pairs of numbers.
+    Rows are windowed within buckets of neighbours.  The first row of a bucket
+    also stands, as a sentinel, at the end of the bucket before, so that no
+    window spans the table.  Documents are read twice: for the places of the
+    buckets, and for this.
     """
-    d = docs.select("doc_id", "text").withColumn("bucket", buckets(docs, "doc_id")).withColumn("sentinel", F.lit(False))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
-    heads = docs.select("doc_id", "text").withColumn("bucket", buckets(docs, "doc_id"))
-    heads = heads.groupBy("bucket").agg(F.max(F.struct("doc_id", (-F.xxhash64("text")).alias("t"))).alias("head"))
-    ring = Window.orderBy(F.col("bucket").desc())
-    first = F.first("head").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    heads = heads.select("bucket", F.coalesce(F.lead("head").over(ring), first).alias("head"))
-    heads = heads.select(F.col("bucket").alias("bucket"), F.col("head.doc_id").alias("head_id"), F.col("head.t").alias("head_t"))
-    at = F.col("doc_id").eqNullSafe(F.col("head_id")) & (-F.xxhash64("text")).eqNullSafe(F.col("head_t"))
-    sentinels = docs.select("doc_id", "text").join(F.broadcast(heads), at)
-    # rows that repeat a head altogether would be sentinels twice, which does no harm: the nearest one is taken
-    d = d.unionByName(sentinels.select("doc_id", "text", "bucket", F.lit(True).alias("sentinel")))
-    w = Window.partitionBy("bucket").orderBy("sentinel", *order)
+    first = heads(docs)
+    if not first:
+        return docs.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+    d = docs.select("doc_id", "text", place(F.col("doc_id"), F.col("text")).alias("place"))
+    d = d.withColumn("bucket", bucket_of(F.col("place"), first))
+    here = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("sentinel"))
+    before = F.struct(F.pmod(F.col("bucket") - 1, F.lit(len(first))).alias("bucket"), F.lit(True).alias("sentinel"))
+    is_head = F.col("place") == F.get(F.lit(first), F.col("bucket"))
+    d = d.select("doc_id", "text", "place", F.inline(F.when(is_head, F.array(here, before)).otherwise(F.array(here))))
+    # rows that repeat a head altogether are sentinels too, which does no harm: the nearest one is taken
+    w = Window.partitionBy("bucket").orderBy("sentinel", "place")
     d = d.withColumn("next_text", F.lead("text").over(w))
-    return d.where("NOT sentinel").drop("bucket", "sentinel")
+    return d.where("NOT sentinel").select("doc_id", "text", "next_text")
 
 
 def texts(docs: DataFrame) -> DataFrame:

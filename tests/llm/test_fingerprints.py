@@ -3,6 +3,8 @@ import math
 import random
 from collections import Counter
 
+import xxhash
+
 from attestor.llm import fingerprints as fp
 from tests.llm.util import frame, odd_rows, save
 
@@ -71,3 +73,57 @@ def test_all_anchors_count_by_position(spark, tmp_path):
     assert 0 < got[99].near_next < 0.01 and 110 <= got[99].next_passage <= 120
     assert got[97].near_next == 196 / 296 and got[97].next_passage == 200
     assert got[95].near_next == 1 and got[95].next_passage == 4 and got[94].near_next == got[94].next_passage == 0
+
+
+def chained(words):
+    """Hash of several words as the engine's xxhash64 of several columns: each hash seeds the next."""
+    h = 42
+    for w in words:
+        h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+    return h
+
+
+def brute_anchors(text, k=fp.K, s=fp.S):
+    w = text.split()
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    if 0 < len(w) < k:
+        return [(0, None)]
+    out = []
+    for i in range(len(w) - k + 1):
+        inner = [signed(chained(w[i + j : i + j + s])) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, chained(w[i : i + k]) & fp.MASK))
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    """Syncmers of every whole document, and likeness to the next one from anchors as often as they stand."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: brute_anchors(r.text or "") for r in rows}
+    found = {r.doc_id: [(a.pos, a.hash) for a in r.fp] for r in fp.fingerprints(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    for k, a in want.items():
+        assert found[k] == a or [p for p, _ in a] == [0] == [p for p, _ in found[k]] and a[0][1] is None, k
+    order = sorted(want, reverse=True)
+    got = {r.doc_id: r for r in fp.op2_fingerprints(spark, sf).select("doc_id", "near_next").collect()}
+    for k, nxt in zip(order, [*order[1:], order[0]]):
+        a, b = (Counter(h for _, h in found[x]) for x in (k, nxt))
+        both, every = sum((a & b).values()), sum((a | b).values())
+        assert math.isclose(got[k].near_next, both / every if every else 1.0), k
+
+
+def test_neighbours_over_buckets(spark, monkeypatch):
+    """Buckets of about two rows: repeated and null ids, and exact repeats, keep one ring of all rows."""
+    monkeypatch.setattr(fp, "BUCKET_ROWS", 2)
+    r = random.Random(3)
+    rows = [(r.choice([None, 7, 7, r.randrange(-50, 50), (1 << 63) - 1, -(1 << 63)]), f"t{k}") for k in range(60)] + [(7, "same")] * 5
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = fp.with_next(d).collect()
+
+    def key(x):
+        h = xxhash.xxh64_intdigest(x[1].encode(), seed=42)
+        return (x[0] is None, -(x[0] or 0), h - (1 << 64) if h >> 63 else h)
+
+    ring = sorted(rows, key=key)
+    want = Counter((i, t, ring[(k + 1) % len(ring)][1]) for k, (i, t) in enumerate(ring))
+    assert Counter(map(tuple, got)) == want
+    assert fp.with_next(d.limit(0)).count() == 0
