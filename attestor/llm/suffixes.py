@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import discard, documents, give_back, lean, place, ship, slices, written
+from attestor.llm.common import discard, documents, give_back, lean, partitions, place, ship, slices, written
 
 LENGTH, GRAM = 200, 32
 #: Suffixes aimed at for each range; suffixes sorted at a time by a task; least for a range.
@@ -353,7 +353,7 @@ def merged(pairs, length: int, size: int) -> list[tuple[int, int]]:
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """thash, text and copies of each distinct text, bucketed by thash so that later joins need not move texts."""
     spark = docs.sparkSession
-    name, n = f"texts_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, n = f"texts_{uuid.uuid4().hex}", partitions(docs, 256, most=100_000)  # Spark allows no more buckets
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.md5(text.cast("binary")).alias("thash"), text.alias("text")).groupBy("thash").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
     d.write.option("compression", "zstd").option("path", place(spark, name, name)).bucketBy(n, "thash").sortBy("thash").saveAsTable(name)
