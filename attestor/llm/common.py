@@ -90,11 +90,11 @@ def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
         _deleted(spark, path)
 
 
-def partitions(df: DataFrame, mb: int = 64, most: int | None = None) -> int:
+def partitions(df: DataFrame, mb: int = 64, most: int = 1 << 20) -> int:
     """Partitions for a shuffle of ``df``: as many as the session sets, more where its estimated size asks for it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size >> 20, 1 << 40) // mb)
-    return n if most is None else min(n, most)
+    known = size if size < 1 << 60 else 0  # what is no file has no estimate
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min((known >> 20) // mb, most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
