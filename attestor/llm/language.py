@@ -6,8 +6,9 @@ share of the text's n-grams times log inverse document frequency.  Document
 frequencies are counted over all training documents.  Weights are trained by
 follow-the-regularised-leader with elastic-net penalties on about ``SAMPLE``
 documents, taken in equal number from each language by a hash of the id, a
-documented bound; a fifth of them is kept from training to calibrate the
-temperature.
+documented bound; a fifth of them is kept from training to choose the penalties
+(the strongest pair that is as accurate as the best one, up to TOLERANCE) and to
+calibrate the temperature.
 
 Training sees text and non-null lang of documents whose crc32(doc_id) mod 4 is
 not 2.  Prediction sees text alone.
@@ -31,7 +32,9 @@ from attestor.llm.common import documents, lean, ship, slices
 ORDERS, DIMS = (1, 2, 3), 1 << 14
 #: Bound of the labelled sample that weights are trained on.
 SAMPLE = 2_400
-EPOCHS, ALPHA, BETA, L1, L2 = 4, 1.0, 1.0, 1e-5, 1e-6
+EPOCHS, ALPHA, BETA = 4, 1.0, 1.0
+#: Elastic-net penalties to choose from, the sparsest first, and how much of the held-back accuracy the choice may cost.
+PENALTIES, TOLERANCE = [(0.1, 0.1), (0.03, 0.03), (0.01, 0.01), (0.003, 0.003), (0.001, 0.001), (1e-5, 1e-6)], 0.002
 _LETTERS: list[np.ndarray] = []
 
 
@@ -68,6 +71,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches):
         total, n = np.zeros(len(ORDERS) * DIMS, np.int64), 0
+        some, held = np.zeros(len(total), np.uint16), 0  # narrow sums are added up fast
         for whole in batches:
             for part in slices(whole, 8 << 20):
                 starts, sizes, _, hashed = columns(part.column(0))
@@ -77,7 +81,12 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
                     seen[:] = False
                     for order, h in zip(ORDERS, hashed):
                         seen[h[a : max(a, a + size - order + 1)]] = True
-                    total += seen
+                    some += seen
+                    held += 1
+                    if held == 60_000:
+                        total += some
+                        some[:], held = 0, 0
+        total += some
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["at", "n"])
 
@@ -116,14 +125,14 @@ def vectors(docs: DataFrame) -> pa.Table:
     return d.mapInArrow(lean(run), "lang string, place long, at array<int>, value array<float>").toArrow()
 
 
-def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int) -> np.ndarray:
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, width: int, l1: float, l2: float) -> np.ndarray:
     """Weights [width + 1, classes] by FTRL-proximal steps, one for each document; the last row is the bias."""
     z, n, w = np.zeros((width + 1, classes)), np.zeros((width + 1, classes)), np.zeros((width + 1, classes))
     for _ in range(EPOCHS):
         for at, value, y in rows:
             zi, ni = z[at], n[at]
-            shrunk = np.sign(zi) * L1 - zi
-            wi = np.where(np.abs(zi) <= L1, 0.0, shrunk / ((BETA + np.sqrt(ni)) / ALPHA + L2))
+            shrunk = np.sign(zi) * l1 - zi
+            wi = np.where(np.abs(zi) <= l1, 0.0, shrunk / ((BETA + np.sqrt(ni)) / ALPHA + l2))
             w[at] = wi
             p = softmax(value @ wi)
             p[y] -= 1
@@ -148,6 +157,23 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
+def chosen(rows, back, y: np.ndarray, classes: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights under the strongest penalties that are as accurate on held-back rows as the best, and the logits of these."""
+    tried = []
+    for l1, l2 in PENALTIES if len(back) else PENALTIES[-1:]:
+        w = ftrl(rows, classes, width, l1, l2)
+        logits = np.array([v @ w[a] for a, v, _ in back]).reshape(len(back), classes)
+        tried.append((float((logits.argmax(1) == y).mean()) if len(back) else 0.0, w, logits))
+    best = max(x[0] for x in tried)
+    return next((w, logits) for right, w, logits in tried if right >= best - TOLERANCE)
+
+
+def zero_share(weights: np.ndarray) -> float:
+    """Share of zeros among the weights of columns that some text has reached."""
+    used = weights[(weights != 0).any(1)]
+    return float((used == 0).mean()) if len(used) else 1.0
+
+
 def fit(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, weights of each column (idf and temperature included), and biases."""
     ship(docs.sparkSession)
@@ -163,9 +189,9 @@ def fit(docs: DataFrame, bound: int = SAMPLE) -> tuple[list[str], np.ndarray, np
         a = np.array([*at[k], len(idf)])
         rows.append((a, np.append(np.array(value[k]) * idf[a[:-1]], 1.0), langs.index(label[k])))
     back = [r for k, r in enumerate(rows) if k % 5 == 4]
-    w = ftrl([r for k, r in enumerate(rows) if k % 5 != 4], max(1, len(langs)), len(idf))
-    logits = np.array([v @ w[a] for a, v, _ in back]).reshape(len(back), w.shape[1])
-    t = temperature(logits, np.array([y for *_, y in back], int))
+    rows, y = [r for k, r in enumerate(rows) if k % 5 != 4], np.array([y for *_, y in back], int)
+    w, logits = chosen(rows, back, y, max(1, len(langs)), len(idf))
+    t = temperature(logits, y)
     return langs, (w[:-1] * idf[:, None] / t).astype(np.float32), w[-1] / t
 
 

@@ -6,6 +6,10 @@ is permuted by a keyed Feistel network over the set of values of that format.
 Equal values, however they are punctuated, get equal pseudonyms in every
 document; different values get different ones; the key is needed to go back.
 
+The key is the setting KEY_SETTING of the session.  Where it is unset, each Spark
+application draws a secret key of its own, which is stored nowhere: values stay
+linked within the application, and nobody can go back.
+
 Kinds: e-mail addresses, IPv4 addresses, telephone numbers, payment cards
 (Luhn), US social security numbers, IBANs (mod 97), dates, access keys and
 passwords.  A card or IBAN is also found where a number or word follows that
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import secrets
 from collections.abc import Callable
 from datetime import date, timedelta
 
@@ -30,8 +35,7 @@ from pyspark.sql import functions as F
 
 from attestor.llm.common import documents, lean, ship, slices
 
-#: Key of the queries here; production passes its own secret.
-DEMO_KEY = b"attestor demonstration key"
+KEY_SETTING = "spark.attestor.pseudonym.key"
 ROUNDS = 8
 DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 FIRST_DAY, DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
@@ -334,14 +338,25 @@ def replaced(text: str, found) -> str:
     return "".join(out) + text[at:]
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or else this application's own."""
+    if key := spark.conf.get(KEY_SETTING, None):
+        return key.encode()
+    sc = spark.sparkContext
+    if not hasattr(sc, "_attestor_key"):
+        sc._attestor_key = secrets.token_bytes(32)
+    return sc._attestor_key
+
+
 FOUND = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string())]))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, column: str = "text", found: str = "pii_found", back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes | None = None, column: str = "text", found: str = "pii_found", back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``column`` and a further column ``found``: array<struct<start,stop,kind>> (places in the input text)."""
     from pyspark.sql import types as T
 
     ship(docs.sparkSession)
+    key = session_key(docs.sparkSession) if key is None else key
     names = docs.columns
     at = names.index(column)
     schema = T.StructType([*docs.schema.fields, T.StructField(found, T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("kind", T.StringType())])))])

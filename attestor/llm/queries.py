@@ -10,7 +10,7 @@ from attestor.llm.licences import op10_licence_scan
 from attestor.llm.neardup import op4_jaccard_join
 from attestor.llm.packing import op1_packing
 from attestor.llm.pii import op7_pii_pseudonyms
-from attestor.llm.quality import op9_quality_rules
+from attestor.llm.quality import OP9_SQL, op9_quality_rules
 from attestor.llm.suffixes import op3_suffix_dedup
 from attestor.llm.wavelet import op8_wavelet_shards
 
@@ -28,6 +28,6 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-#: No operator of this folder has a form in SQL: verdicts of lines, sketches, tries, automata and trained weights
-#: stand in every result.  Tests compare each query with brute force, a library or held-out labels.
-ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+#: The other operators have no form in SQL: sketches, tries, automata and trained weights stand in every result.
+#: Tests compare them with brute force, a library or held-out labels.
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})

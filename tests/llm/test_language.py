@@ -20,6 +20,21 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_penalties_select(spark):
+    """Penalties are chosen on held-back rows: they leave most columns without a weight, and cost no accuracy."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(400):
+        y = int(rng.integers(2))
+        at = np.unique(np.concatenate((rng.choice(2000, 20, replace=False), [2000 + y, 2002])))
+        rows.append((np.append(at, 3000), np.append(np.full(len(at), 1 / len(at)), 1.0), y))
+    train, back = rows[:320], rows[320:]
+    w, logits = language.chosen(train, back, np.array([y for *_, y in back]), 2, 3000)
+    assert (logits.argmax(1) == [y for *_, y in back]).mean() == 1
+    weak = language.ftrl(train, 2, 3000, *language.PENALTIES[-1])
+    assert (w != 0).sum() < 0.5 * (weak != 0).sum() and np.abs(w[2000:2002]).min() > 0 and (weak[:2000] != 0).mean() > 0.9
+
+
 def test_labels_of_held_out_rows_are_not_seen(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     F = language.F

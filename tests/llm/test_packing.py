@@ -58,6 +58,20 @@ def test_many_salts(spark, monkeypatch, sf):
     check(packing.pack(docs).collect(), {r.doc_id: r.text for r in docs.collect()}, packing.MAX_LEN, packing.BUDGET)
 
 
+def test_pieces_hold_the_texts(spark):
+    got = {}
+    for r in packing.pack(frame(spark), max_len=7, with_text=True).collect():
+        got.setdefault((r.doc_id, r.n_tokens >= 0), []).append(r)
+    texts = Counter()
+    for r in odd_rows():
+        texts[r[0]] += len(r[1] or "")
+    for (k, _), rows in got.items():
+        assert sum(len(r.text) for r in rows) == texts[k]
+        assert all(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) == r.n_tokens for r in rows)
+    long = sorted(got[8, True], key=lambda r: r.piece)
+    assert "".join(r.text for r in long) == odd_rows()[8][1] and len(long) == -(-20_000 // 7)
+
+
 def test_repeats_and_empty(spark):
     assert packing.pack(frame(spark)).select("doc_id").count() >= len(odd_rows())
     assert packing.pack(frame(spark, [])).count() == 0

@@ -1,3 +1,6 @@
+import datetime
+import hashlib
+import ipaddress
 import random
 import re
 
@@ -103,10 +106,82 @@ def test_tables(spark, sf, tmp_path):
     for d in (sf, save(spark, tmp_path)):
         rows = spark.read.parquet(f"{d}/documents.parquet").collect()
         got = pii.op7_pii_pseudonyms(spark, d).collect()
-        perm = pii.Permuter(pii.DEMO_KEY)
+        perm = pii.Permuter(pii.session_key(spark))
         found = {id(r): pii.find(r.text or "", perm) for r in rows}
         want = sorted(str((r.doc_id, r.text and pii.replaced(r.text, found[id(r)]), len(found[id(r)]))) for r in rows)
         assert sorted(str((r.doc_id, r.text, r.n_found)) for r in got) == want
     out = pii.stage(spark, frame(spark))
     assert out.columns == frame(spark).columns and out.count() == len(odd_rows())
     assert pii.pseudonymise(frame(spark, [])).count() == 0
+
+
+def walked(value, n, tweak, key):
+    """The permutation, written anew: eight Feistel rounds of keyed BLAKE2b over two halves, walked into range."""
+    half = max(1, ((n - 1).bit_length() + 1) // 2)
+    size, salt = -(-half // 8), hashlib.blake2b(f"{tweak}/{n}".encode(), digest_size=16).digest()
+    secret = hashlib.blake2b(key, digest_size=32).digest()
+    while True:
+        a, b = divmod(value, 1 << half)
+        for r in range(8):
+            f = hashlib.blake2b(b.to_bytes(size, "big"), key=secret, person=bytes([r, 0]), salt=salt).digest()
+            a, b = b, a ^ int.from_bytes(f[:size], "big") % (1 << half)
+        value = a << half | b
+        if value < n:
+            return value
+
+
+def expected(text, key):
+    """Addresses, social security numbers, ISO dates and addresses of machines in a text, found and replaced by other means."""
+    def machine(m):
+        x = ipaddress.ip_address(m[0])
+        return str(ipaddress.ip_address(walked(int(x), 1 << 32, "ipv4", key)))
+
+    def day(m):
+        first = datetime.date(1900, 1, 1).toordinal()
+        n = datetime.date(2100, 1, 1).toordinal() - first
+        return datetime.date.fromordinal(first + walked(datetime.date.fromisoformat(m[0]).toordinal() - first, n, "date", key)).isoformat()
+
+    def number(m):
+        x = int(m[0].replace("-", ""))
+        while True:
+            x = walked(x, 10**9, "ssn", key)
+            a, b, c = x // 10**6, x // 10**4 % 100, x % 10**4
+            if a not in (0, 666) and a < 900 and b and c:
+                return f"{a:03d}-{b:02d}-{c:04d}"
+
+    for pattern, change in ((r"\b(?:\d+\.){3}\d+\b", machine), (r"\b\d{4}-\d\d-\d\d\b", day), (r"\b\d{3}-\d\d-\d{4}\b", number)):
+        text = re.sub(pattern, change, text)
+    return text
+
+
+def test_pseudonyms_equal_brute_force(spark):
+    """The operator's texts against finders and permutation of their own; equal values stay linked, others stay apart."""
+    r = random.Random(8)
+    machines = [".".join(str(r.randrange(256)) for _ in range(4)) for _ in range(30)]
+    days = [datetime.date(r.randrange(1900, 2100), r.randrange(1, 13), r.randrange(1, 29)).isoformat() for _ in range(30)]
+    numbers = [f"{r.randrange(1, 666):03d}-{r.randrange(1, 100):02d}-{r.randrange(1, 10_000):04d}" for _ in range(30)]
+    values = machines + days + numbers
+    rows = [(k, "; ".join(r.choice(["on", "host", "see", "und am"]) + " " + r.choice(values) for _ in range(r.randrange(0, 9))), *[None] * 8) for k in range(80)]
+    key = b"a key of the test"
+    got = {x.doc_id: x for x in pii.pseudonymise(frame(spark, rows), key).collect()}
+    links = {}
+    for k, text, *_ in rows:
+        assert got[k].text == expected(text, key), text
+        before, after = re.findall(r"[\d.\-]{9,}", text), re.findall(r"[\d.\-]{9,}", got[k].text)
+        assert len(before) == len(after) == len(got[k].pii_found)
+        for a, b in zip(before, after):
+            assert links.setdefault(a, b) == b
+    assert len(set(links.values())) == len(links) > 60
+
+
+def test_key_of_the_session(spark):
+    docs = frame(spark, [(1, "mail jo@example.com now", *[None] * 8)])
+    own = pii.session_key(spark)
+    assert len(own) == 32 and own == pii.session_key(spark)
+    drawn = pii.pseudonymise(docs).first().text
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        named = pii.pseudonymise(docs).first().text
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    assert named == pii.pseudonymise(docs, b"another").first().text != drawn == pii.pseudonymise(docs, own).first().text

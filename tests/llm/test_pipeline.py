@@ -33,9 +33,11 @@ def test_stages(spark, sf):
     rows, removed = brute(sorted(clean.items()))
     assert dict(rows) == single and set(cut) == set(single)
     assert all(len(cut[k].encode()) <= removed[k][0] - removed[k][1] <= len(cut[k].encode()) + 6 for k in cut)
-    p = pii.Permuter(pii.DEMO_KEY)
+    p = pii.Permuter(pii.session_key(spark))
     assert private == {k: pii.replaced(t, pii.find(t, p)) for k, t in cut.items()}
     final = corpus_pipeline.run(spark, sf).collect()
+    text = {k: "".join(r.text for r in sorted((r for r in final if r.doc_id == k), key=lambda r: r.piece)) for k in private}
+    assert text == private  # the packed pieces are the whole texts
     tokens = {k: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for k, t in private.items()}
     assert {k: sum(r.n_tokens for r in final if r.doc_id == k) for k in tokens} == tokens
     assert {r.doc_id for r in final} == set(tokens) and max(r.n_tokens for r in final) <= packing.MAX_LEN

@@ -1,8 +1,10 @@
 import re
 from collections import Counter
 
+import duckdb
+
 from attestor.llm import quality
-from tests.llm.util import frame, save
+from tests.llm.util import frame, odd_rows, save
 
 
 def brute(text):
@@ -50,3 +52,20 @@ def test_verdict(spark):
 def test_empty_table(spark):
     assert quality.assess(frame(spark, [])).count() == 0
     assert quality.clean(spark, frame(spark, [])).count() == 0
+
+
+def test_query_equals_sql(spark, tmp_path):
+    """Figures, verdicts and lost characters of every whole document, line rules included, against SQL."""
+    lines = ["a | b | c | d", "one › two › three four", "x" * 30, "no closing mark", "short. ", "ends here)\t", "!!! ??? {x}", "a^b=c~d", "We use cookies. Accept all cookies", "it's PRIVACY POLICY time for all of us here", "", "  "]
+    prose = [" ".join(f"word{i}{j}" for j in range(9)) + "." for i in range(40)]
+    odd = odd_rows()[:13] + [(100 + k, "\n".join([*prose[k : k + 8], *lines[: k % 13], *lines[: (3 * k) % 5], *["see home | about | news | contact now"] * (k % 4 * 4)]), *[None] * 8) for k in range(26)]
+    for d in ("/root/testdata/sf0.01", save(spark, tmp_path, [r for r in odd if r[0] is not None])):
+        con = duckdb.connect()
+        at = d + "/documents.parquet"
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{at if d.startswith('/root/testdata') else at + '/*.parquet'}')")
+        want = con.execute(quality.OP9_SQL)
+        names = [x[0] for x in want.description]
+        got = quality.op9_quality_rules(spark, d)
+        assert got.columns == names
+        assert Counter(map(tuple, got.collect())) == Counter(want.fetchall())
+    assert {r.kept for r in got.where("doc_id >= 100").collect()} == {True, False}
