@@ -80,12 +80,17 @@ def discard(*frames: DataFrame) -> None:
             _deleted(df.sparkSession, path)
 
 
-def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = ()) -> None:
-    """Delete all folders and tables that operators have written, but those of ``keep``.
+def made() -> frozenset[str]:
+    """The folders that operators have written and not deleted."""
+    return frozenset(_MADE)
+
+
+def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = (), but: frozenset[str] = frozenset()) -> None:
+    """Delete the folders and tables that operators have written, but those of ``keep`` and those ``made()`` before.
 
     Results are lazy: call this when they have been stored elsewhere.
     """
-    held = {getattr(df, "_attestor_path", None) for df in keep}
+    held = {getattr(df, "_attestor_path", None) for df in keep} | but
     for path in [p for p in _MADE if p not in held]:
         _deleted(spark, path)
 
