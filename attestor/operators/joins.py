@@ -36,41 +36,40 @@ def pairs_within(df: DataFrame, group: list[str], key: str, columns: list[str])
     return left.join(right, group).where(F.col(key + "_l") < F.col(key + "_r"))
 
 
-def bands(h, width: int = 64, most: int = 4) -> Column:
-    """most + 1 bands of a bit string, each with its number: two strings that differ in at most ``most`` bits share one."""
-    n, out, at = most + 1, [], 0
+def band_pairs(h, width: int = 64, most: int = 4) -> Column:
+    """Pairs of most + 2 bands of a bit string, each with its number: strings that differ in at most ``most`` bits share two bands."""
+    n, bands, at = most + 2, [], 0
     h = F.col(h) if isinstance(h, str) else h
     for k in range(n):
         size = width // n + (k < width % n)
-        mask = (1 << size) - 1
-        out.append(F.struct(F.lit(k).alias("k"), F.shiftrightunsigned(h, at).bitwiseAND(F.lit(mask).cast("long")).alias("v")))
+        bands.append(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
         at += size
-    return F.array(*out)
+    both = [(i, j) for i in range(n) for j in range(i + 1, n)]
+    return F.array(*[F.struct(F.lit(k).alias("k"), bands[i].alias("v"), bands[j].alias("w")) for k, (i, j) in enumerate(both)])
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, id_: str, h: str, most: int = 4, width: int = 64, upper: bool = True) -> DataFrame:
     """id_l, id_r, distance of hashes that differ in at most ``most`` bits.
 
-    An equi-join on bands instead of comparing all pairs; equal hashes are
-    joined once as a group of their own key, and a pair that shares several
-    bands is reported at the first.
+    Distinct hashes are compared, each once, however many rows have them: those
+    that share two of most + 2 bands meet in an equi-join, and a pair that
+    shares several is taken at the first.  Rows then meet their hashes' pairs.
     """
-    a = left.select(F.col(id_).alias("id_l"), F.col(h).alias("h_l"), F.explode(bands(h, width, most)).alias("b"))
-    b = right.select(F.col(id_).alias("id_r"), F.col(h).alias("h_r"), F.explode(bands(h, width, most)).alias("b"))
+    a, b = (d.select(F.col(h).alias(f"h_{s}")).distinct().withColumn("b", F.explode(band_pairs(f"h_{s}", width, most))) for d, s in ((left, "l"), (right, "r")))
     d = a.join(b, "b").withColumn("distance", F.bit_count(F.col("h_l").bitwiseXOR(F.col("h_r")))).where(F.col("distance") <= most)
-    if upper:
-        d = d.where("id_l < id_r")
-    first = F.array_position(F.zip_with(bands("h_l", width, most), bands("h_r", width, most), lambda x, y: x["v"] == y["v"]), True) - 1
-    return d.where(first == F.col("b.k")).select("id_l", "id_r", "distance")
+    same = F.zip_with(band_pairs("h_l", width, most), band_pairs("h_r", width, most), lambda x, y: x == y)
+    d = d.where(F.array_position(same, True) - 1 == F.col("b.k")).select("h_l", "h_r", "distance")
+    d = d.join(left.select(F.col(id_).alias("id_l"), F.col(h).alias("h_l")), "h_l").join(right.select(F.col(id_).alias("id_r"), F.col(h).alias("h_r")), "h_r")
+    return (d.where("id_l < id_r") if upper else d).select("id_l", "id_r", "distance")
 
 
-def first_sibling(rows: DataFrame, siblings: DataFrame, parent: str, order: str, good: Column) -> DataFrame:
-    """Each row with its first sibling, by ``order``, for which ``good`` holds (columns of siblings prefixed s_); null if none."""
+def first_sibling(rows: DataFrame, siblings: DataFrame, parent: str, order: str, good: Column, key: list[str]) -> DataFrame:
+    """Each row, known by ``key``, with its first sibling, by ``order``, for which ``good`` holds (columns of siblings prefixed s_); null if none."""
     s = siblings.select(*[F.col(c).alias("s_" + c) for c in siblings.columns])
-    d = rows.withColumn("_row", F.monotonically_increasing_id())
-    hits = d.join(s, F.col(parent) == F.col("s_" + parent)).where(good)
-    best = hits.groupBy("_row").agg(F.min_by(F.struct(*s.columns), "s_" + order).alias("_s"))
-    return d.join(best, "_row", "left").select(*rows.columns, "_s.*")
+    d = rows.join(s, (F.col(parent) == F.col("s_" + parent)) & good, "left")
+    rest = [F.first(c).alias(c) for c in rows.columns if c not in key]
+    best = F.min_by(F.struct(*s.columns), F.when(F.col("s_" + parent).isNotNull(), F.struct("s_" + order))).alias("_s")
+    return d.groupBy(*key).agg(*rest, best).select(*rows.columns, "_s.*")
 
 
 def budgeted(candidates: DataFrame, budgets: DataFrame, group: list[str], cost: str, budget: str) -> DataFrame:
@@ -83,24 +82,58 @@ def first_n(df: DataFrame, group: list[str], order: list[Column], n: int) -> Dat
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
-def phrase_hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame, item: str, phrase: str, anchor: int = 5) -> DataFrame:
+def phrase_hits(docs: DataFrame, doc: str, text: str, phrases: DataFrame, item: str, phrase: str, anchor: int = 5, most: int = 100_000) -> DataFrame:
     """doc, item for every document whose words contain a phrase's words in a row.
 
-    Phrases meet documents by an equi-join on their first words, at most
-    ``anchor``; the whole phrase is then checked.  A phrase without a word is
-    in no document.
+    Phrases meet documents by an equi-join on a hash of their first words, at
+    most ``anchor``; the words from there on travel with the place and are then
+    compared.  Up to ``most`` hashes of anchors are a set by which places are
+    sifted before they become rows; beyond that all places become rows.  A
+    phrase without a word is in no document.
     """
     from attestor.functions.strings import norm_words
 
-    p = phrases.select(item, norm_words(phrase).alias("_p")).where(F.size("_p") > 0).withColumn("_a", F.array_join(F.slice("_p", 1, anchor), " "))
-    sizes = sorted(r[0] for r in p.select(F.least(F.size("_p"), F.lit(anchor))).distinct().collect())  # at most ``anchor`` numbers
+    p = phrases.select(item, norm_words(phrase).alias("_p")).where(F.size("_p") > 0)
+    p = p.withColumn("_n", F.least(F.size("_p"), F.lit(anchor))).withColumn("_a", F.xxhash64(F.expr("slice(_p, 1, _n)")))
+    longest, sizes = p.agg(F.max(F.size("_p")), F.collect_set("_n")).first()  # at most ``anchor`` numbers
+    known = [r[0] for r in p.select("_a").distinct().limit(most + 1).collect()]
     d = docs.select(doc, norm_words(text).alias("_w"))
 
-    def spans(n: int) -> Column:
+    def places(n: int) -> Column:
         at = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, n), " "))
+        every = F.transform(at, lambda i: F.struct(i.alias("i"), F.xxhash64(F.slice("_w", i + 1, n)).alias("_a")))
+        return F.filter(every, lambda x: x["_a"].isin(known)) if len(known) <= most else every
 
-    every = F.array_distinct(F.concat(*[spans(n) for n in sizes])) if sizes else F.array().cast("array<string>")
-    hits = d.select(doc, F.explode(every).alias("_a")).join(p, "_a").select(doc, item, "_p")
-    whole = hits.join(d, doc).where(F.contains(F.concat(F.lit(" "), F.array_join("_w", " "), F.lit(" ")), F.concat(F.lit(" "), F.array_join("_p", " "), F.lit(" "))))
-    return whole.select(doc, item).distinct()
+    none = F.array().cast("array<struct<i:int,_a:bigint>>")
+    d = d.select(doc, "_w", F.explode(F.concat(*[places(n) for n in sorted(sizes)]) if sizes else none).alias("x"))
+    d = d.select(doc, "x._a", F.slice("_w", F.col("x.i") + 1, longest or 1).alias("_w")).join(p, "_a")
+    return d.where(F.slice("_w", F.lit(1), F.size("_p")) == F.col("_p")).select(doc, item).distinct()
+
+
+def gathered(features: DataFrame, row: str, index: DataFrame, at: str, what: str = "a feature row") -> DataFrame:
+    """Rows of an index with the feature row that each points to; a row that points nowhere fails the query."""
+    f = features.withColumnRenamed(row, at)
+    return asserted(index, f, [at], what)
+
+
+def stacked(parts: dict[str, DataFrame], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, ranges): tables one after another, numbered from 0 in ``order`` within each, and part, start, stop of each one's numbers.
+
+    Numbers are counted by part and range of the order, so no window spans a table.
+    """
+    from functools import reduce
+
+    names = list(parts)
+    tagged = reduce(DataFrame.unionByName, [d.withColumn("part", F.lit(k)) for k, d in enumerate(parts.values())])
+    keys = [F.col("part"), *[F.col(c) for c in order]]
+    n = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
+    d = d.withColumn("_bin", F.shiftright("_id", 33))
+    bins = d.groupBy("_bin").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    d = d.join(bins, "_bin").withColumn("row", F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_bin", "_n", "_first", "_before")
+    label = F.element_at(F.lit(names), F.col("part") + 1)
+    ranges = tagged.groupBy("part").agg(F.count("*").alias("n"))
+    stop = F.sum("n").over(Window.orderBy("part"))
+    ranges = ranges.select(label.alias("part"), (stop - F.col("n")).alias("start"), stop.alias("stop"))
+    return d.withColumn("part", label), ranges

@@ -190,3 +190,16 @@ def unique_match(df: DataFrame, column: str, part: str) -> DataFrame:
     d = df.where(F.contains(F.lower(column), F.lit(part.lower()))).agg(F.collect_set(column).alias("s"))
     bad = F.raise_error(F.concat(F.lit(f"not exactly one value contains {part}: "), F.to_json("s")))
     return d.select(F.when(F.size("s") == 1, F.get("s", F.lit(0))).otherwise(bad.cast("string")).alias("value"))
+
+
+def completion(sheet: DataFrame, required: dict[str, Column], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """rows, filled, required and rate of the fields that each row must fill: ``required`` tells for each field in which rows.
+
+    A field is filled if it is more than white space; the rate is null where nothing is required.
+    """
+    full = {f: F.coalesce(F.length(F.btrim(f, F.lit(" \t\r\n"))) > 0, F.lit(False)) for f in required}
+    want = {f: F.coalesce(c, F.lit(False)) for f, c in required.items()}
+    need = sum((c.cast("long") for c in want.values()), F.lit(0))
+    done = sum(((full[f] & c).cast("long") for f, c in want.items()), F.lit(0))
+    d = sheet.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(done).alias("filled"), F.sum(need).alias("required"))
+    return d.withColumn("rate", ratio("filled", "required"))

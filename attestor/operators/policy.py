@@ -77,8 +77,11 @@ def best_static(rows: DataFrame, parent: str, group: str, id_: str, value: str)
     return per.groupBy(parent).agg(largest_id_wins(id_, "_total").alias(id_))
 
 
-def family_best(rows: DataFrame, families: list[str], groups: DataFrame, group: str, family: str, value: str) -> DataFrame:
-    """Best value in each family for each group; a family without a candidate counts 0."""
-    grid = groups.select(group).distinct().withColumn(family, F.explode(F.lit(families)))
+def family_best(rows: DataFrame, families: DataFrame, groups: DataFrame, group: str, family: str, value: str) -> DataFrame:
+    """Best value in each family (a table with that column) for each group; a family without a candidate counts 0.
+
+    Families are a few names, so each group meets all of them.
+    """
+    grid = groups.select(group).distinct().crossJoin(families.select(family).distinct())
     best = rows.groupBy(group, family).agg(F.max(value).alias(value))
     return grid.join(best, [group, family], "left").withColumn(value, F.coalesce(value, F.lit(0)))

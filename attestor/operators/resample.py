@@ -85,7 +85,7 @@ def statistic_ci(df: DataFrame, cluster: str, counts: dict[str, Column], statist
     return q.select(index_quantile("v", 0.025).alias("lo"), index_quantile("v", 0.975).alias("hi"))
 
 
-def numpy_ci(df: DataFrame, cluster: str, value: str, samples: int = SAMPLES, seed: int = 2271, most: int = 1_000_000) -> dict:
+def numpy_ci(df: DataFrame, cluster: str, value: str, samples: int = SAMPLES, seed: int = 2271, most: int = 100_000) -> dict:
     """mean, lo, hi, clusters with numpy's PCG64 draws, on the driver; more than ``most`` clusters raise."""
     d = cluster_means(df, cluster, [value]).orderBy(cluster)
     rows = d.limit(most + 1).collect()
@@ -93,6 +93,8 @@ def numpy_ci(df: DataFrame, cluster: str, value: str, samples: int = SAMPLES, se
         raise ValueError(f"more than {most} clusters; use ci()")
     if not rows:
         return {"mean": None, "lo": None, "hi": None, "clusters": 0}
-    v = np.array([r[value] for r in rows])
-    e = v[np.random.default_rng(seed).integers(0, len(v), size=(samples, len(v)))].mean(1)
+    v, rng, e = np.array([r[value] for r in rows]), np.random.default_rng(seed), np.empty(samples)
+    step = max(1, 4_000_000 // len(v))  # some 32 MB of draws at a time; the generator goes on where it was
+    for k in range(0, samples, step):
+        e[k : k + step] = v[rng.integers(0, len(v), size=(min(step, samples - k), len(v)))].mean(1)
     return {"mean": float(v.mean()), "lo": float(np.quantile(e, 0.025)), "hi": float(np.quantile(e, 0.975)), "clusters": len(v)}

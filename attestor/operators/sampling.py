@@ -105,3 +105,12 @@ def unique_picks(df: DataFrame, category: str, owner: str, order: list[Column],
         now = d.select(owner)
         taken = now if taken is None else taken.unionByName(now)
     return out
+
+
+def early_exit(df: DataFrame, good: Column, n: int) -> DataFrame:
+    """The first n rows, in the order of the table's files, for which ``good`` holds.
+
+    Partitions are read a few at a time until n rows are found, so most of a
+    large table is never read; n rows pass the driver.
+    """
+    return df.sparkSession.createDataFrame(df.where(good).take(n), df.schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,25 +19,18 @@ def grid_candidates(images: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def suppress(detections: DataFrame, key: str, iou: float = 0.70, most: int = 6) -> DataFrame:
-    """Non-maximum suppression within each image: greedy by score, so grouped in Python; an image's detections are few."""
-    def run(t: pa.Table) -> pa.Table:
-        rows = sorted(t.to_pylist(), key=lambda r: (-r["score"], r["ord"]))
-        kept = []
-        for r in rows:
-            if len(kept) == most:
-                break
-            if all(_iou(r["box"], k["box"]) <= iou for k in kept):
-                kept.append(r)
-        return pa.Table.from_pylist(kept, schema=t.schema)
-
-    return detections.groupBy(key).applyInArrow(run, detections.schema)
-
-
-def _iou(a, b) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    if w <= 0 or h <= 0:
-        return 0.0
-    return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
+    """Non-maximum suppression within each image: greedy by score, one fold over an image's detections, which are few."""
+    names = [c for c in detections.columns if c != key]
+    row = F.struct((-F.col("score")).alias("_rank"), F.col("ord").alias("_ord"), F.struct(*names).alias("r"))
+    d = detections.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["r"]).alias("all"))
+    kind = f"array<{detections.select(F.struct(*names).alias('r')).schema['r'].dataType.simpleString()}>"
+
+    def step(kept, x):
+        free = F.forall(kept, lambda k: F.coalesce(g.iou(x["box"], k["box"]), F.lit(0.0)) <= iou)
+        return F.when((F.size(kept) < most) & free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    d = d.select(key, F.inline(F.aggregate("all", F.array().cast(kind), step)))
+    return d.select(*detections.columns)
 
 
 def evidence_views(images: DataFrame, detections: DataFrame, key: str = "image_id", unions: int = 2, largest: float = 0.85) -> DataFrame:

@@ -200,18 +200,15 @@ def ranking_taxonomy(t):
     return w.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.round(F.sum("cost"), 2).alias("total_cost"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.max("cost").alias("max_cost"))
 
 
-DRAWS = """d AS (SELECT b, CAST(('0x' || substr(sha256('2271:' || CAST(b AS VARCHAR) || ':' || CAST(x AS VARCHAR)), 1, 8)) AS BIGINT) % g AS k FROM (SELECT unnest(range(0, 200)) AS b), (SELECT g, unnest(range(0, g)) AS x FROM (SELECT count(*) AS g FROM {0}))),
+DRAWS = """d AS (SELECT b, CAST(('0x' || substr(sha256('2271:' || CAST(b AS VARCHAR) || ':' || CAST(x AS VARCHAR)), 1, 8)) AS BIGINT) % g AS k FROM (SELECT unnest(range(0, 10000)) AS b), (SELECT g, unnest(range(0, g)) AS x FROM (SELECT count(*) AS g FROM {0}))),
 k AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS k FROM {0})"""
 
-#: The draws that DRAWS fixes. The operators' own default is resample.SAMPLES.
-SQL_SAMPLES = 200
-
 
 @query("bootstrap_cluster_ci", f"""
 WITH m AS (SELECT c_nationkey AS c, avg(c_acctbal) AS v FROM customer GROUP BY 1), {DRAWS.format("m")}, e AS (SELECT b, avg(v) AS v FROM d JOIN k USING (k) GROUP BY b)
 SELECT round((SELECT avg(v) FROM m), 4) AS mean, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi, (SELECT count(*) FROM m) AS clusters FROM e""")
 def bootstrap_cluster_ci(t):
-    d = resample.ci(t("customer"), "c_nationkey", "c_acctbal", SQL_SAMPLES)
+    d = resample.ci(t("customer"), "c_nationkey", "c_acctbal")
     return d.select(*[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")], "clusters")
 
 
@@ -224,7 +221,7 @@ def bootstrap_paired_ci(t):
     first = F.broadcast(y.agg(F.min("y").alias("a")))
     a, b = (y.join(first, F.col("y") == F.col("a") + k).select("u", "v") for k in (0, 1))
     d = metrics.paired_difference(b, a, ["u"], "v").withColumn("c", F.col("u") % 20)
-    return resample.ci(d, "c", "difference", SQL_SAMPLES).select(*[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")], "clusters")
+    return resample.ci(d, "c", "difference").select(*[F.round(c, 4).alias(c) for c in ("mean", "lo", "hi")], "clusters")
 
 
 @query("bootstrap_index_quantile", f"""
@@ -232,19 +229,19 @@ WITH m AS (SELECT doc_id AS c, CAST(quality AS DOUBLE) AS v FROM labels), {DRAWS
 SELECT round((SELECT avg(v) FROM m), 6) AS mean, round(v[CAST(floor(len(v) * 0.025) AS INTEGER) + 1], 6) AS lo, round(v[CAST(floor(len(v) * 0.975) AS INTEGER) + 1], 6) AS hi, (SELECT count(*) FROM m) AS clusters FROM l""")
 def bootstrap_index_quantile(t):
     d = t("labels").select("doc_id", F.col("quality").cast("double").alias("quality"))
-    return resample.ci(d, "doc_id", "quality", SQL_SAMPLES, interpolate=False).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "clusters")
+    return resample.ci(d, "doc_id", "quality", interpolate=False).select(*[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "clusters")
 
 
 @query("bootstrap_statistic_f1", f"""
 WITH x AS (SELECT source AS c, quality AS y, CASE WHEN n_chars > 1000 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id)),
 m AS (SELECT c, count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn FROM x GROUP BY c), {DRAWS.format("m")},
 e AS (SELECT b, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM d JOIN k USING (k) GROUP BY b), f AS (SELECT list_sort(list(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0))) AS v FROM e)
-SELECT round(v[6], 6) AS lo, round(v[196], 6) AS hi FROM f""")
+SELECT round(v[251], 6) AS lo, round(v[9751], 6) AS hi FROM f""")
 def bootstrap_statistic_f1(t):
     d = t("labels").join(t("documents").select("doc_id", "source", "n_chars"), "doc_id").select(F.col("source").alias("c"), (F.col("quality") == 1).alias("y"), (F.col("n_chars") > 1000).alias("p"))
     y, p = F.col("y"), F.col("p")
     counts = {"tp": (y & p).cast("int"), "fp": (~y & p).cast("int"), "fn": (y & ~p).cast("int")}
-    out = resample.statistic_ci(d, "c", counts, lambda k: metrics.f1_columns(k["tp"], k["fp"], k["fn"])["f1"], SQL_SAMPLES)
+    out = resample.statistic_ci(d, "c", counts, lambda k: metrics.f1_columns(k["tp"], k["fp"], k["fn"])["f1"])
     return out.select(F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
@@ -254,6 +251,6 @@ e AS (SELECT b, avg(v1) AS v1, avg(v2) AS v2 FROM d JOIN k USING (k) GROUP BY b)
 SELECT method, round(quantile_cont(v, 0.025), 4) AS lo, round(quantile_cont(v, 0.975), 4) AS hi FROM l GROUP BY method""")
 def bootstrap_joint_methods(t):
     d = t("orders").select((F.col("o_custkey") % 25).alias("c"), F.col("o_totalprice").alias("all"), F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice")).otherwise(0.0).alias("urgent"))
-    e = resample.estimates(d, "c", ["all", "urgent"], SQL_SAMPLES).withColumn("all_minus_urgent", F.col("all") - F.col("urgent"))
+    e = resample.estimates(d, "c", ["all", "urgent"]).withColumn("all_minus_urgent", F.col("all") - F.col("urgent"))
     long = e.unpivot("b", ["all", "urgent", "all_minus_urgent"], "method", "v")
     return long.groupBy("method").agg(F.round(F.percentile("v", F.lit(0.025)), 4).alias("lo"), F.round(F.percentile("v", F.lit(0.975)), 4).alias("hi"))

@@ -191,7 +191,7 @@ SELECT a.conv_id AS conv_id, a.turn AS turn, min(b.turn) AS sibling FROM convers
 def sibling_lateral_first(t):
     c = t("conversations").select("conv_id", "turn", "role", F.length("text").alias("n"))
     good = (F.col("s_turn") != F.col("turn")) & (F.col("s_role") == F.col("role")) & (F.col("s_n") < F.col("n"))
-    return joins.first_sibling(c, c, "conv_id", "turn", good).select("conv_id", "turn", F.col("s_turn").alias("sibling"))
+    return joins.first_sibling(c, c, "conv_id", "turn", good, ["conv_id", "turn"]).select("conv_id", "turn", F.col("s_turn").alias("sibling"))
 
 
 @query("keyed_not_positional_join", """

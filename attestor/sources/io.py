@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,15 +18,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def raw_lines(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1, in file order) and raw text of the non-blank lines of a JSONL file or folder.
+    """file, line (from 1, within the file) and raw text of the non-blank lines of a JSONL file or folder.
 
-    Lines are numbered within each file by their offset: zipWithIndex over the
-    partitions of one file keeps that order without a global sort.
+    Rows of a block of a file are read in order by one task, so a row's number
+    within its block is its distance from the block's first; the lines of the
+    blocks before are summed over a table of one row a block.
     """
-    lines = spark.read.text(path).select(F.col("value").alias("raw"))
-    schema = T.StructType([T.StructField("raw", T.StringType()), T.StructField("line", T.LongType(), False)])
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    return spark.createDataFrame(numbered, schema).where(F.btrim(F.col("raw"), F.lit(" \t\r\n\x0b\x0c")) != "")
+    at, block, row = F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
+    lines = spark.read.text(path).select(F.col("value").alias("raw"), at.alias("file"), block.alias("block"), row.alias("row"))
+    blocks = lines.groupBy("file", "block").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = lines.join(blocks, ["file", "block"]).select("raw", (F.col("row") - F.col("first") + F.col("before") + 1).alias("line"), "file")
+    return numbered.where(F.btrim(F.col("raw"), F.lit(" \t\r\n\x0b\x0c")) != "")
 
 
 def record_problem(raw: Column, required: list[str], optional: list[str]) -> Column:
@@ -46,7 +50,7 @@ def record_problem(raw: Column, required: list[str], optional: list[str]) -> Col
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: str, optional: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
-    """(rows with _source_line, problems (line, problem)) of a JSONL table with exactly the schema's keys.
+    """(rows with _source_line, problems (line, problem, file)) of a JSONL table with exactly the schema's keys.
 
     A value of the wrong type is a problem too: true is no number, 1.5 no whole
     number, and an array of objects on a line is not taken apart.
@@ -55,7 +59,7 @@ def strict_jsonl(spark: SparkSession, path: str, schema: str, optional: tuple[st
     lines = raw_lines(spark, path).withColumn("form", record_problem(F.col("raw"), [n for n in names if n not in optional], list(optional)))
     parsed = lines.withColumn("row", F.from_json("raw", schema + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
     problem = F.coalesce(F.col("form"), F.when(F.col("row._corrupt").isNotNull(), "value of the wrong type"))
-    problems = parsed.where(problem.isNotNull()).select("line", problem.alias("problem"))
+    problems = parsed.where(problem.isNotNull()).select("line", problem.alias("problem"), "file")
     rows = parsed.where(F.col("form").isNull()).select(*[F.col(f"row.`{n}`").alias(n) for n in names], F.col("line").alias("_source_line"))
     return rows, problems
 
@@ -163,3 +167,26 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
 
 def is_missing(error: Exception) -> bool:
     return isinstance(error, AnalysisException) and "PATH_NOT_FOUND" in str(error)
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A small report as one JSON document: an array of rows, keys in sorted order, in the order of the rows."""
+    names = sorted(report.columns)
+    d = report.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("r"))
+    d = d.agg(F.to_json(F.array_sort(F.collect_list("r")), {"ignoreNullFields": "false"}).alias("value"))
+    d.coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown(report: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """A report as one text (column value): a heading and a table; null cells are empty, bars in cells are escaped."""
+    names = report.columns
+    cells = [F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in names]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = report.select(F.struct(*[F.col(c) for c in order], line.alias("line")).alias("r"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["line"]), "\n")
+    head = f"# {title}\n\n| " + " | ".join(names) + " |\n|" + " --- |" * len(names) + "\n"
+    return rows.agg(F.concat(F.lit(head), body, F.lit("\n")).alias("value"))
+
+
+def write_markdown(report: DataFrame, path: str, title: str, order: list[str]) -> None:
+    markdown(report, title, order).coalesce(1).write.mode("overwrite").text(path)

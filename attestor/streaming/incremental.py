@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,24 +78,46 @@ def append_samples(stream: DataFrame, path: str, checkpoint: str, once: bool = T
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def upsert_stream(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str):
-    """Keep the last row of each key: every micro-batch merges into a new version, so a repeated batch changes nothing."""
+def upsert_stream(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64):
+    """Keep the last row of each key in a state of hash buckets; a micro-batch rewrites the buckets that it touches.
+
+    Each batch writes to a folder of its own, then a mark that names the folder
+    of every bucket.  A batch that is repeated starts from the mark of the batch
+    before it and leaves the folders of its first attempt alone.
+    """
     from attestor.operators.sampling import last_wins
 
     schema = stream.schema
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        mark, new = f"{path}/current", f"{path}/v{epoch}"
-        old = spark.read.schema(schema).parquet(json.loads(spark.read.text(mark).first()[0])["at"]) if exists(spark, mark) else spark.createDataFrame([], schema)
-        last_wins(old.unionByName(batch), keys, order).write.mode("overwrite").parquet(new)
-        spark.createDataFrame([(json.dumps({"at": new}),)], "value string").coalesce(1).write.mode("overwrite").text(mark)
+        spark, at = batch.sparkSession, _marks(batch.sparkSession, path, epoch)
+        tagged = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in tagged.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+        old = [at[str(b)] for b in touched if str(b) in at]
+        state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+        new = f"{path}/v{epoch}-{uuid.uuid4().hex}"
+        merged = last_wins(state.unionByName(batch), keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        merged.write.partitionBy("_bucket").parquet(new)
+        at |= {str(b): f"{new}/_bucket={b}" for b in touched}
+        mark = json.dumps({"epoch": epoch, "buckets": at})
+        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/marks/{epoch:012d}-{uuid.uuid4().hex}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _marks(spark: SparkSession, path: str, before: int | None = None) -> dict[str, str]:
+    """The folder of each bucket by the last whole mark, or the last one of a batch before ``before``."""
+    if not exists(spark, f"{path}/marks"):
+        return {}
+    rows = spark.read.text(f"{path}/marks/*").select(F.from_json("value", "epoch long, buckets map<string,string>").alias("m"), F.col("_metadata.file_modification_time").alias("t"))
+    rows = rows if before is None else rows.where(F.col("m.epoch") < before)
+    last = rows.orderBy(F.desc("m.epoch"), F.desc("t")).select("m.buckets").first()
+    return dict(last[0]) if last else {}
+
+
 def current(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(json.loads(spark.read.text(f"{path}/current").first()[0])["at"])
+    at = _marks(spark, path)
+    return spark.read.schema(schema).parquet(*at.values()) if at else spark.createDataFrame([], schema)
 
 
 def windowed_counts(stream: DataFrame, ts: str, keys: list[str], width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
