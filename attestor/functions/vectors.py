@@ -16,6 +16,11 @@ def norm(v) -> Column:
     return F.sqrt(F.aggregate(col(v), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``: inside a lambda a plain expression is evaluated for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unit(v) -> Column:
     """v / |v|; null for the zero vector."""
     n = norm(v)
@@ -53,6 +58,12 @@ def symmetric_margin(forward, swapped) -> Column:
 def log_softmax(logits, mask) -> Column:
     """Log-softmax over the places where the mask is true; null elsewhere."""
     x = F.transform(F.arrays_zip(col(logits).alias("x"), col(mask).alias("m")), lambda p: F.when(p["m"], p["x"].cast("double")))
-    top = F.array_max(x)
-    total = F.aggregate(x, F.lit(0.0), lambda s, v: s + F.coalesce(F.exp(v - top), F.lit(0.0)))
-    return F.transform(x, lambda v: v - top - F.log(total))
+
+    def of(v: Column) -> Column:
+        def shifted(top: Column) -> Column:
+            total = F.aggregate(v, F.lit(0.0), lambda s, y: s + F.coalesce(F.exp(y - top), F.lit(0.0)))
+            return bound(total, lambda t: F.transform(v, lambda y: y - top - F.log(t)))
+
+        return bound(F.array_max(v), shifted)
+
+    return bound(x, of)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions.numeric import col
-from attestor.functions.vectors import log_softmax
+from attestor.functions.vectors import bound, log_softmax
 
 
 def gram(df: DataFrame, vector: str, target: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -106,15 +106,15 @@ def direction_clusters(df: DataFrame, group: str, order: str, vector: str, clust
 
 def listwise_loss(logits, positive, valid) -> Column:
     """Minus the log of the probability mass on the positive places; null without one."""
-    p = F.arrays_zip(log_softmax(logits, valid).alias("l"), col(positive).alias("y"), col(valid).alias("m"))
-    mass = F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x["y"] & x["m"], F.exp(x["l"])).otherwise(0.0))
-    return F.when(mass > 0, -F.log(mass))
+    p = F.zip_with(log_softmax(logits, valid), F.zip_with(col(positive), col(valid), lambda y, m: y & m), lambda x, y: F.when(y, F.exp(x)).otherwise(0.0))
+    mass = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    return bound(mass, lambda m: F.when(m > 0, -F.log(m)))
 
 
 def symmetric_kl(left, right, valid) -> Column:
     """Mean of both Kullback-Leibler divergences of two masked softmaxes."""
-    p = F.arrays_zip(log_softmax(left, valid).alias("a"), log_softmax(right, valid).alias("b"))
-    return F.aggregate(p, F.lit(0.0), lambda s, x: s + F.coalesce((F.exp(x["a"]) - F.exp(x["b"])) * (x["a"] - x["b"]), F.lit(0.0))) / 2.0
+    p = F.zip_with(log_softmax(left, valid), log_softmax(right, valid), lambda x, y: F.coalesce((F.exp(x) - F.exp(y)) * (x - y), F.lit(0.0)))
+    return F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / 2.0
 
 
 def scored(df: DataFrame, scorer, columns: list[str], schema: str) -> DataFrame:

@@ -113,14 +113,26 @@ def mean_feature_renormalise(t):
 
 
 @query("probability_argmax", """
-WITH x AS (SELECT vec_id, embedding[1] AS a, embedding[2] AS b, embedding[3] AS c FROM embeddings)
-SELECT CASE WHEN a >= b AND a >= c THEN 'a' WHEN b >= c THEN 'b' ELSE 'c' END AS label, count(*) AS n, max(vec_id) AS last_id FROM x GROUP BY 1""")
+SELECT 'c' || lpad(CAST(list_position(embedding, list_max(embedding)) - 1 AS VARCHAR), 2, '0') AS label, count(*) AS n, max(vec_id) AS last_id FROM embeddings GROUP BY 1""")
 def probability_argmax(t):
-    e = F.col("embedding")
-    m = F.create_map(F.lit("a"), e[0], F.lit("b"), e[1], F.lit("c"), e[2])
+    names = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.concat(F.lit("c"), F.lpad(i.cast("string"), 2, "0")))
+    m = F.map_from_arrays(names, F.col("embedding"))
     return t("embeddings").groupBy(v.top_label(m).alias("label")).agg(F.count("*").alias("n"), F.max("vec_id").alias("last_id"))
 
 
+@query("ridge_closed_form", """
+WITH x AS (SELECT p_partkey AS k, p_size * 1.0::DOUBLE AS a, p_retailprice AS b, (p_partkey % 97) * 1.0::DOUBLE AS y FROM part),
+m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, greatest(stddev_samp(a), 1e-6) AS sa, greatest(stddev_samp(b), 1e-6) AS sb, sum(y) AS sy FROM x),
+z AS (SELECT k, y, (a - ma) / sa AS a, (b - mb) / sb AS b, n, sy FROM x, m),
+c AS (SELECT sum(a * a) + 10 AS aa, sum(a * b) AS ab, sum(b * b) + 10 AS bb, sum(a * y) AS ay, sum(b * y) AS by_, max(sy / (n + 10)) AS bias FROM z)
+SELECT k, round(bias + a * (ay * bb - by_ * ab) / (aa * bb - ab * ab) + b * (by_ * aa - ay * ab) / (aa * bb - ab * ab), 6) AS score FROM z, c""")
+def ridge_closed_form(t):
+    """Ridge on two features, whose normal equations have a closed form."""
+    d = t("part").select(F.col("p_partkey").alias("k"), F.array(F.col("p_size").cast("double"), "p_retailprice").alias("x"), (F.col("p_partkey") % 97).cast("double").alias("y"))
+    model = models.ridge(d, "x", "y", 2, 10.0)
+    return d.select("k", F.round(models.ridge_score("x", model), 6).alias("score"))
+
+
 @query("ridge_scores")
 def ridge_scores(t):
     """Ridge of label on the embedding, fitted on the train split, for every row; tests compare it with numpy."""

@@ -82,3 +82,30 @@ def test_ledger_and_utilisation(spark):
     assert (r.samples, r["mean"], r["max"], r.nonzero) == (2, 5.0, 10, 0.5)
     none = io.utilisation(spark.createDataFrame([("none",)], "value string")).first()
     assert (none.samples, none["mean"]) == (0, None)
+
+
+def test_lines_are_numbered_by_file(spark, tmp_path):
+    """Each file's lines count from 1, whatever the number and order of files and of the blocks they are read in."""
+    at = tmp_path / "many"
+    at.mkdir()
+    want = {}
+    for name, n in (("a", 3), ("b", 5_000), ("c", 1)):
+        lines = [f'{{"id": {k}}}' if k % 7 else "  " for k in range(1, n + 1)]
+        (at / f"{name}.jsonl").write_text("\n".join(lines) + ("\n" if name != "c" else ""))
+        want |= {(name, k): x for k, x in enumerate(lines, 1) if x.strip()}
+    for size in ("1g", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            rows = io.raw_lines(spark, str(at)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert {(r.file.rsplit("/", 1)[1][0], r.line): r.raw for r in rows} == want and len(rows) == len(want)
+
+
+def test_reports(spark, tmp_path):
+    d = spark.createDataFrame([("b|c", 2, None), ("a", 1, 0.5)], "name string, n int, x double")
+    assert io.markdown(d, "Title", ["n"]).first().value == "# Title\n\n| name | n | x |\n| --- | --- | --- |\n| a | 1 | 0.5 |\n| b\\|c | 2 |  |\n"
+    io.write_markdown(d, str(tmp_path / "md"), "Title", ["n"])
+    assert spark.read.text(str(tmp_path / "md"), wholetext=True).count() == 1
+    io.write_report(d, str(tmp_path / "json"))
+    assert sorted(map(str, io.json_document(spark, str(tmp_path / "json"), "name string, n int, x double").collect())) == sorted(map(str, d.collect()))

@@ -200,3 +200,32 @@ def test_shuffled_features_are_of_other_owners(spark):
             got = models.shuffled_features(d, "k", "owner", "v", bucket_rows=rows).collect()
             assert len(got) == 2 * n and all(r.shuffled != r.v for r in got)
             assert sorted({(r.owner, r.shuffled[0]) for r in got})[n - 1][0] == n - 1 and len({r.shuffled[0] for r in got}) == n
+
+
+def test_completion_and_stacking(spark):
+    from attestor.operators import joins, sampling
+
+    sheet = spark.createDataFrame([("a", "x", None, True), ("a", " ", "y", False), ("b", "", None, False)], "g string, p string, q string, need boolean")
+    got = {r.g: (r.rows, r.filled, r.required, r.rate) for r in metrics.completion(sheet, {"p": F.lit(True), "q": F.col("need")}, ["g"]).collect()}
+    assert got == {"a": (2, 1, 3, 1 / 3), "b": (1, 0, 1, 0.0)}
+    assert metrics.completion(sheet, {"q": F.lit(False)}).first().rate is None
+    d = spark.range(1000).repartition(7).withColumn("s", F.col("id") % 3)
+    rows, ranges = joins.stacked({"one": d.where("s = 1"), "none": d.where("false"), "two": d.where("s = 2")}, ["id"])
+    assert {r.part: (r.start, r.stop) for r in ranges.collect()} == {"one": (0, 333), "two": (333, 666)}
+    assert [r.id for r in rows.orderBy("row").collect()] == [k for k in range(1000) if k % 3 == 1] + [k for k in range(1000) if k % 3 == 2]
+    assert [r.row for r in rows.orderBy("row").collect()] == list(range(666))
+    assert joins.gathered(d, "id", spark.createDataFrame([(7, 5), (8, 5)], "item int, at long"), "at").count() == 2
+    assert sampling.early_exit(d, F.col("s") == 2, 4).count() == 4
+
+
+def test_hashes_meet_once(spark):
+    """Many rows of one hash are compared as one hash; pairs equal those of all comparisons."""
+    from attestor.operators import joins
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 62, 40)
+    h = [int(base[k % 40] ^ (1 << int(rng.integers(60))) ^ (1 << int(rng.integers(60)))) if k % 3 else int(base[k % 40]) for k in range(240)]
+    d = spark.createDataFrame(list(enumerate(h)), "id long, h long")
+    want = {(i, j, (h[i] ^ h[j]).bit_count()) for i in range(240) for j in range(i + 1, 240) if (h[i] ^ h[j]).bit_count() <= 4}
+    got = joins.hamming_pairs(d, d, "id", "h").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
