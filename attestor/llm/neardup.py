@@ -5,15 +5,26 @@ Each text is a set of hashes of ``WIDTH`` consecutive words, embedded as
 samples coordinates, 1 / THRESHOLD on average, from its own path, and sends each
 set to one child per sampled coordinate, named by the set's value there: sets
 that share sampled tokens stay together.  Buckets of at most ``SMALL`` sets are
-compared by brute force; what is still larger after ``DEPTH`` splits is compared
-in blocks.  A pair at the threshold survives a split with probability
-``survival()``; runs are repeated until the chance of missing it in all of them
-is below 1 - ``RECALL``.
+compared by brute force.  A larger bucket first has a leader: sets as near to it
+as candidates are hang on it, and those which, by the triangle inequality, can
+be near to no set outside the leader's group leave.  What is still larger after
+``DEPTH`` splits is compared in blocks, but not within a leader's group.  A pair
+at the threshold survives a split with probability ``survival()``; runs are
+repeated until the chance of missing it in all of them is below 1 - ``RECALL``.
 
 Equal sets are one class from the start, so copies cost nothing.  Runs leave a
 forest of candidate edges, never all pairs; inside each connected group of
-candidates all pairs are then checked on the full sets, in blocks, which gives
-the exact links of every class.
+candidates links are then counted exactly on the full sets.  Groups of one
+block are compared pair by pair.  In a larger one every set is written as its
+differences from a base, the shingles that most of a sample have (any base
+gives the right result, a good one gives it soon).  With p / q the threshold, b
+the size of the base, and r base shingles missing from a set of s, two sets
+without a common difference are linked if and only if their sums of
+(p + q) r + p s are at most (p + q) b, so a running count over the sums links
+them all at once, and all those links meet in the set with the least sum.
+Common differences can only add links: block by block, in order of the sums,
+pairs beyond the bound are compared by their differences, and blocks that the
+bound decides are passed over.
 
 Defined results: a text of one to four words has one shingle, its words; null
 texts, and texts without a word, stand alone; rows with equal ids are told
@@ -24,23 +35,30 @@ gives none; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attestor.llm.common import distinct_words, documents, give_back, lean, ship, slices, written
+from attestor.llm.common import discard, distinct_words, documents, give_back, lean, ship, slices, written
 from attestor.llm.components import components
 
 WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDS, SMALL, DEPTH = 64, 256, 4
 #: Agreeing coordinates that make a candidate: a pair at the threshold has fewer with probability 4e-4.
 CANDIDATE = 40
-#: Rows of a block, members of small groups aimed at for each task, and columns of a dense piece.
-BLOCK, TASK_ROWS, DENSE = 512, 1_000, 1 << 13
+#: Rows and bytes of a block, bytes of small groups aimed at for each task, and columns of a dense piece.
+BLOCK, BLOCK_BYTES, TASK_BYTES, DENSE = 512, 16 << 20, 4 << 20, 1 << 13
+#: Sets of a large group from whose shingles its base is taken.
+SAMPLE = 64
+#: Mark of sets that hang on no leader.
+ALONE = 99
+#: The threshold as numerator and denominator.
+P, Q = Fraction(THRESHOLD).limit_denominator(1000).as_integer_ratio()
 _rng = np.random.default_rng(5)
 PLACES = (_rng.integers(1 << 62, 1 << 63, WIDTH) | 1).astype(np.uint64)
 MIXERS = (_rng.integers(1 << 62, 1 << 63, COORDS) | 1).astype(np.uint64)
@@ -147,31 +165,63 @@ def split(rows: DataFrame) -> DataFrame:
     first = F.pmod(F.xxhash64("path", F.lit("a")), F.lit(COORDS)).cast("int")
     other = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit("b")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
     picked = F.when(second, F.array(first, other)).otherwise(F.array(first))
-    d = rows.select("path", "key", F.col("sketch"), F.explode(picked).alias("c"))
-    return d.select(F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)).alias("path"), "key")
+    d = rows.select("path", "key", "mark", F.col("sketch"), F.explode(picked).alias("c"))
+    return d.select(F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)).alias("path"), "key", "mark")
+
+
+def led(big: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) from the sets near to their bucket's leader, and the rows (path, key, mark) that must still be compared.
+
+    Sets of a bucket with one mark are connected.  Sketches of a candidate pair
+    differ in at most ``far`` places, a metric, so a set stays only if some set
+    of another mark can be that near to it, judged by their distances from the
+    leader.
+    """
+    far = COORDS - CANDIDATE
+    first = F.max_by(F.struct(F.col("key").alias("leader"), F.col("sketch").alias("of")), F.struct("mark", F.xxhash64("path", "key")))
+    leaders = written(big.groupBy("path").agg(first.alias("l")).select("path", "l.*"), "leaders")
+    apart = F.size(F.filter(F.zip_with("sketch", "of", lambda x, y: x != y), lambda x: x))
+    d = big.join(leaders, "path").select("path", "key", "mark", "leader", apart.alias("apart"))
+    d = written(d.withColumn("mark", F.when((F.col("mark") == ALONE) & (F.col("apart") <= far), level).otherwise(F.col("mark"))), "led")
+    discard(leaders)
+    span = d.groupBy("path", "mark").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
+    spans = written(span.groupBy("path").agg(F.collect_list(F.struct("mark", "low", "high")).alias("spans")), "spans")
+    beside = F.exists("spans", lambda x: (x["mark"] != F.col("mark")) & (F.col("apart") >= x["low"] - far) & (F.col("apart") <= x["high"] + far))
+    rest = d.join(spans, "path").where((F.col("mark") == ALONE) | beside).select("path", "key", "mark")
+    return d.where((F.col("apart") <= far) & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")), rest
 
 
 def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
     """u, v: a forest of candidate pairs of classes (key, sketch)."""
     runs = runs_needed() if runs is None else runs
-    d = classes.select("key", "sketch", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
-    rows = split(d.select(F.xxhash64("run", F.lit("root")).alias("path"), "key", "sketch"))
-    small, big = [], None
+    sketches = classes.select("key", "sketch")
+    d = sketches.withColumn("mark", F.lit(ALONE)).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    rows = split(d.select(F.xxhash64("run", F.lit("root")).alias("path"), "key", "mark", "sketch"))
+    small, edges, spent, rest = [], [], [], None
     for level in range(DEPTH):
-        counts = rows.groupBy("path").count().where("count > 1")
+        # written, so that both sides of the join are plain shuffles and the rows of one path can be split over tasks
+        counts = written(rows.groupBy("path").count().where("count > 1"), "counts")
         rows = written(rows.join(counts, "path"), "paths")
+        spent += [counts, rows]
         small.append(rows.where(F.col("count") <= SMALL).select("path", "key"))
-        big = rows.where(F.col("count") > SMALL).select("path", "key", "count")
-        if level == DEPTH - 1 or big.isEmpty():
+        big = rows.where(F.col("count") > SMALL).select("path", "key", "mark")
+        if big.isEmpty():
+            rest = None
             break
-        rows = split(big.join(classes.select("key", "sketch"), "key").select("path", "key", "sketch"))
+        found, rest = led(big.join(sketches, "key"), level)
+        edges.append(found)
+        rows = split(rest.join(sketches, "key").select("path", "key", "mark", "sketch"))
     every = small[0]
-    for s in small[1:]:
-        every = every.unionByName(s)
-    edges = brute(every.join(classes.select("key", "sketch"), "key"))
-    if not big.isEmpty():
-        edges = edges.unionByName(blocks(big.join(classes.select("key", "sketch"), "key")))
-    return edges
+    for x in small[1:]:
+        every = every.unionByName(x)
+    out = brute(every.join(sketches, "key"))
+    for x in edges:
+        out = out.unionByName(x)
+    if rest is not None:
+        out = out.unionByName(blocks(rest.join(sketches, "key")))
+    out = written(out.distinct(), "candidates")
+    discard(*spent)
+    return out
 
 
 def brute(rows: DataFrame) -> DataFrame:
@@ -206,21 +256,26 @@ def brute(rows: DataFrame) -> DataFrame:
     return d.mapInArrow(lean(run), "u binary, v binary")
 
 
-def in_blocks(rows: DataFrame, group: str, count: str, block: int, lots: int = 1 << 20) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, outer: str, inner: str | None = None, lots: int = 1 << 20) -> DataFrame:
     """Rows once for each pair of blocks that theirs is in: task, side (1 left, 2 right, 3 both).
 
-    Groups of one block share ``lots`` tasks.
+    ``outer`` blocks meet all blocks of their group, and ``inner`` ones, for
+    rows with a column ``within``, only the outer ones.  Groups of one block
+    share ``lots`` tasks.
     """
-    n = F.ceil(F.col(count) / block).cast("int")
-    own = F.pmod(F.xxhash64("key"), n).cast("int")
-    d = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
-    task = F.when(n == 1, F.pmod(F.xxhash64(group), F.lit(lots))).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
+    n, m = F.col(outer).cast("int"), F.col(inner).cast("int") if inner else F.lit(0)
+    within = F.col("within") if inner else F.lit(False)
+    hashed = F.xxhash64("key", F.lit("block"))
+    own = F.when(within, n + F.pmod(hashed, F.greatest(m, F.lit(1)))).otherwise(F.pmod(hashed, F.greatest(n, F.lit(1)))).cast("int")
+    last = F.when(within, n).otherwise(n + m) - 1
+    d = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    task = F.when(n + m == 1, F.pmod(F.xxhash64(group), F.lit(lots))).otherwise(F.xxhash64(group, F.least("own", "other"), F.greatest("own", "other")))
     side = F.when(F.col("own") < F.col("other"), 1).when(F.col("own") > F.col("other"), 2).otherwise(3)
     return d.withColumns({"task": task, "side": side}).drop("own", "other")
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Candidate pairs within large buckets, block by block."""
+    """Candidate pairs within large buckets (path, key, mark, sketch), block by block, but for those of the bucket's most frequent leader's group."""
 
     def run(table: pa.Table) -> pa.Table:
         side, keys = table["side"].to_numpy(), table["key"].to_pylist()
@@ -233,8 +288,14 @@ def blocks(rows: DataFrame) -> DataFrame:
         edges = [(keys[left[x]], keys[right[y]]) for x, y in matrix_forest(near)]
         return pa.table([pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary())], names=["u", "v"])
 
-    d = in_blocks(rows, "path", "count", BLOCK)
-    return d.select("task", "side", "key", "sketch").groupBy("task").applyInArrow(run, "u binary, v binary")
+    per = rows.groupBy("path", "mark").agg(F.count("*").alias("n"))
+    top = F.max_by(F.col("mark"), F.when(F.col("mark") != ALONE, F.struct("n", "mark")))
+    most = F.max(F.when(F.col("mark") != ALONE, F.col("n")))
+    per = per.groupBy("path").agg(F.sum("n").alias("all"), top.alias("top"), F.coalesce(most, F.lit(0)).alias("most"))
+    # at least one block of others, so that a group alone in its bucket makes no task
+    per = written(per.where("all > most").select("path", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outer"), F.ceil(F.col("most") / BLOCK).alias("inner")), "shares")
+    d = rows.join(per, "path").withColumn("within", F.coalesce(F.col("mark") == F.col("top"), F.lit(False)))
+    return in_blocks(d, "path", "outer", "inner").select("task", "side", "key", "sketch").groupBy("task").applyInArrow(run, "u binary, v binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -266,20 +327,41 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], threshold: float = T
     return both >= threshold * union - 1e-9
 
 
-def exact_links(members: DataFrame, lots: int) -> DataFrame:
-    """key, n (links found in one task), other (a link that a forest needs, or null) from (component, n_members, key, text)."""
+FOUND = ["key", "n", "other"]
+
+
+def found_links(keys, left, right, near) -> list[tuple]:
+    """(key, links, other) of a matrix of links between rows left and right: counts, and a forest."""
+    cross = not np.array_equal(left, right)
+    out = [(keys[k], int(c), None) for k, c in zip(left, near.sum(1)) if c]
+    out += [(keys[k], int(c), None) for k, c in zip(right, near.sum(0)) if cross and c]
+    return out + [(keys[left[x]], 0, keys[right[y]]) for x, y in matrix_forest(near)]
+
+
+def link_table(out: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=FOUND)
+
+
+def member_sets(members: DataFrame) -> DataFrame:
+    """component, key, shingles (packed) of each class in a group, from (component, key, text)."""
 
     def sets(batches):
         before = None
         for part in chain.from_iterable(map(slices, batches)):
-            keys, at = part.column(2).to_pylist(), []
+            keys, at = part.column(1).to_pylist(), []
             for k, key in enumerate(keys):  # rows of one text follow one another after the join
                 if key != before:
                     at.append(k)
                 before = key
             part = part.take(pa.array(at, pa.int64()))
-            packed = [b"" if s is None else s.tobytes() for s in shingle_sets(part.column(3))]
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array(packed, pa.binary())], ["component", "n_members", "key", "shingles"])
+            packed = [b"" if s is None else s.tobytes() for s in shingle_sets(part.column(2))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())], ["component", "key", "shingles"])
+
+    return members.select("component", "key", "text").mapInArrow(lean(sets), "component binary, key binary, shingles binary")
+
+
+def pair_links(sets: DataFrame, lots: int) -> DataFrame:
+    """key, n (links found in one task), other (a link that a forest needs, or null) within groups, all pairs of sets compared."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, side, groups = table["key"].to_pylist(), table["side"].to_numpy(), {}
@@ -293,30 +375,117 @@ def exact_links(members: DataFrame, lots: int) -> DataFrame:
             if not len(left) or not len(right):
                 continue
             a, b = ([np.frombuffer(packed[k], np.uint64) for k in x] for x in (left, right))
-            near = linked(a, b) & (left[:, None] != right[None, :])
-            cross = not np.array_equal(left, right)
-            out += [(keys[k], int(c), None) for k, c in zip(left, near.sum(1)) if c]
-            out += [(keys[k], int(c), None) for k, c in zip(right, near.sum(0)) if cross and c]
-            out += [(keys[left[x]], 0, keys[right[y]]) for x, y in matrix_forest(near)]
+            out += found_links(keys, left, right, linked(a, b) & (left[:, None] != right[None, :]))
+        give_back()
+        return link_table(out)
+
+    d = in_blocks(sets, "component", "n_blocks", None, lots).select("task", "side", "component", "key", "shingles")
+    return d.groupBy("task").applyInArrow(run, "key binary, n long, other binary")
+
+
+def bases(sets: DataFrame) -> DataFrame:
+    """component, base: the shingles that more than half of a sample of a large group have; SAMPLE sets, more or less, and the first one."""
+
+    def majority(table: pa.Table) -> pa.Table:
+        packed = table["shingles"].to_pylist()
+        values, times = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in packed]), return_counts=True)
+        return pa.table([table["component"][:1], pa.array([values[2 * times > len(packed)].tobytes()], pa.binary())], names=["component", "base"])
+
+    draw = F.pmod(F.xxhash64("key", F.lit("base")), F.lit(1 << 30)) * F.col("n_members") < SAMPLE * (1 << 30)
+    some = sets.where(draw | (F.col("key") == F.col("component"))).select("component", "shingles")
+    return written(some.groupBy("component").applyInArrow(majority, "component binary, base binary"), "bases")
+
+
+def differences(sets: DataFrame) -> DataFrame:
+    """component, n_blocks, key, c (the sum of the bound), t (the bound), edits (packed): each set against its group's base."""
+
+    def run(batches):
+        for batch in batches:
+            c, t, edits, known = [], [], [], {}
+            for shingles, base in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                have = np.frombuffer(shingles, np.uint64)
+                want = known.setdefault(base, np.frombuffer(base, np.uint64))
+                gone, more = np.setdiff1d(want, have, True), np.setdiff1d(have, want, True)
+                c.append((P + Q) * len(gone) + P * len(have))
+                t.append((P + Q) * len(want))
+                edits.append(np.concatenate((gone, more)).tobytes())  # a shingle of the base can only be gone, another one only be more
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(c, pa.int64()), pa.array(t, pa.int64()), pa.array(edits, pa.binary())], ["component", "n_blocks", "key", "c", "t", "edits"])
+
+    d = sets.join(bases(sets), "component").select("component", "n_blocks", "key", "shingles", "base")
+    return written(d.mapInArrow(lean(run), "component binary, n_blocks long, key binary, c long, t long, edits binary"), "edits")
+
+
+def bound_links(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (key, n, other) of pairs within the bound, and the sets with their block, in order of c."""
+    hist = edits.groupBy("component", "c", "t").agg(F.count("*").alias("n"))
+    # counts at c and questions at t - c, in one order: how many sets have a sum of at most t - c
+    asked = hist.select("component", (F.col("t") - F.col("c")).alias("x"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), "c", "t", F.col("n").alias("same"))
+    given = hist.select("component", F.col("c").alias("x"), F.lit(0).alias("kind"), "n", "c", "t", F.col("n").alias("same"))
+    w = Window.partitionBy("component").orderBy("x", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = given.unionByName(asked).withColumn("upto", F.sum("n").over(w))
+    itself = (2 * F.col("c") <= F.col("t")).cast("long")
+    answer = F.max(F.when(F.col("kind") == 1, F.col("upto") - itself))
+    place = F.max(F.when(F.col("kind") == 0, F.col("upto") - F.col("n")))
+    totals = ordered.groupBy("component", "c", "same").agg(answer.alias("links"), place.alias("before"))
+    least = edits.groupBy("component").agg(F.min(F.struct("c", "key")).alias("least"), F.count("*").alias("all"))
+    totals = written(totals.join(least, "component"), "totals")
+    d = edits.join(totals, ["component", "c"])
+    hub = (F.col("c") + F.col("least.c") <= F.col("t")) & (F.col("key") != F.col("least.key"))
+    links = d.where("links > 0").select("key", F.col("links").alias("n"), F.when(hub, F.col("least.key")).alias("other"))
+    at = (F.col("before") + F.pmod(F.xxhash64("key", F.lit("block")), F.col("same"))) * F.col("n_blocks") / F.col("all")
+    return links, d.select("component", "key", "c", "t", "edits", F.floor(at).cast("int").alias("block"))
+
+
+def shared_links(sets: DataFrame) -> DataFrame:
+    """Links (key, n, other) of pairs beyond the bound that common differences bring back, from pairs of blocks that can hold any."""
+    sets = written(sets, "ordered")
+    size = F.octet_length("edits") / 8
+    per = written(sets.groupBy("component", "t", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(size).alias("size")), "spans")
+    a, b = (per.select("component", "t", *[F.col(x).alias(f"{x}_{s}") for x in ("block", "low", "high", "size")]) for s in "ab")
+    pairs = a.join(b, ["component", "t"]).where(
+        (F.col("block_a") <= F.col("block_b")) & (F.col("high_a") + F.col("high_b") > F.col("t")) & (F.col("low_a") + F.col("low_b") - F.col("t") <= (P + Q) * F.least("size_a", "size_b"))
+    )
+    task = F.xxhash64("component", "block_a", "block_b").alias("task")
+    both = F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.col("block_a").alias("block"), F.lit(3).alias("side"))))
+    both = both.otherwise(F.array(F.struct(F.col("block_a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(2).alias("side"))))
+    tasks = written(pairs.select("component", task, F.inline(both)), "tasks")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, side, c, t = table["key"].to_pylist(), table["side"].to_numpy(), table["c"].to_numpy(), table["t"].to_numpy()
+        edits = table["edits"].to_pylist()
+        left, right = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
+        out: list[tuple] = []
+        if len(left) and len(right):
+            a, b = ([np.frombuffer(edits[k], np.uint64) for k in x] for x in (left, right))
+            beyond = c[left][:, None] + c[right][None, :] - t[0]
+            near = (beyond > 0) & ((P + Q) * overlaps(a, b) >= beyond) & (left[:, None] != right[None, :])
+            out = found_links(keys, left, right, near)
         give_back()
-        return pa.table([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["key", "n", "other"])
+        return link_table(out)
 
-    d = members.select("component", "n_members", "key", "text").mapInArrow(lean(sets), "component binary, n_members long, key binary, shingles binary")
-    d = in_blocks(d, "component", "n_members", BLOCK, lots).select("task", "side", "component", "key", "shingles")
+    d = sets.join(tasks, ["component", "block"]).select("task", "side", "key", "c", "t", "edits")
     return d.groupBy("task").applyInArrow(run, "key binary, n long, other binary")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, n_links) and (node, component) over exact links."""
     found = components(candidates(classes))
-    sizes = found.groupBy("component").agg(F.count("*").alias("n_members"))
-    member = written(found.join(sizes, "component").withColumnRenamed("node", "key").join(classes.select("key", "rep"), "key").select("component", "n_members", "key", F.col("rep.thash").alias("thash"), F.col("rep.doc_id").alias("rep_id")), "members")
+    member = written(found.withColumnRenamed("node", "key").join(classes.select("key", "rep"), "key").select("component", "key", F.col("rep.thash").alias("thash"), F.col("rep.doc_id").alias("rep_id")), "members")
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("thash", F.md5(F.col("text").cast("binary")))
     same = (texts["thash"] == member["thash"]) & texts["doc_id"].eqNullSafe(member["rep_id"])  # copies under other ids stay out
-    lots = member.where(F.col("n_members") <= BLOCK).count() // TASK_ROWS + 1
     # always by sorting both sides, so that what moves grows with the input and never jumps from a broadcast to a shuffle
-    out = exact_links(texts.join(member.hint("merge"), same), lots)
+    sets = written(member_sets(texts.join(member.hint("merge"), same)), "sets")
+    sizes = sets.groupBy("component").agg(F.count_distinct("key").alias("n_members"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    n_blocks = F.greatest(F.ceil(F.col("n_members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("long")
+    sizes = written(sizes.withColumn("n_blocks", n_blocks), "sizes")
+    total, large = sizes.select(F.sum(F.when(F.col("n_members") <= BLOCK, F.col("bytes"))), F.max("n_members")).first()
+    sized = sets.join(sizes, "component")
+    out = pair_links(sized.where(F.col("n_members") <= BLOCK), (total or 0) // TASK_BYTES + 1)
+    if (large or 0) > BLOCK:
+        bound, rest = bound_links(differences(sized.where(F.col("n_members") > BLOCK).dropDuplicates(["component", "key"])))
+        out = out.unionByName(bound).unionByName(shared_links(rest))
     out = written(out, "links")
+    discard(member, sets, sizes)
     n = out.groupBy("key").agg(F.sum("n").alias("n_links"))
     return n, components(out.where("other IS NOT NULL").select(F.col("key").alias("u"), F.col("other").alias("v")))
 

@@ -76,19 +76,65 @@ def test_equals_brute_force(spark):
         assert run(spark, rows) == sorted(map(str, brute(rows)))
 
 
+def family(seed, n, base, edits, words):
+    """Near copies of a text, some with edits in common."""
+    r = random.Random(seed)
+    versions = [list(base) for _ in range(3)]
+    for v in versions[1:]:
+        for _ in range(3):
+            v[r.randrange(len(v))] = f"v{r.randrange(words)}"
+    out = []
+    for _ in range(n):
+        w = list(r.choice(versions))
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(len(w))] = f"x{r.randrange(words)}"
+        out.append(" ".join(w))
+    return out
+
+
 def test_large_buckets_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(nd, "SMALL", 6)
-    monkeypatch.setattr(nd, "BLOCK", 7)
-    monkeypatch.setattr(nd, "TASK_ROWS", 5)
+    """Leaders, blocks and groups over a block, with a good base, with a base of nothing, and with several versions."""
+    for k, v in (("SMALL", 6), ("BLOCK", 7), ("TASK_BYTES", 4_000), ("SAMPLE", 5)):
+        monkeypatch.setattr(nd, k, v)
     base = [f"t{i}" for i in range(80)]
-    r = random.Random(3)
-    rows = []
-    for k in range(60):
-        w = list(base)
-        for _ in range(r.randint(0, 2)):
-            w[r.randrange(80)] = f"x{r.randrange(9)}"
-        rows.append((k, " ".join(w)))
-    assert run(spark, rows) == sorted(map(str, brute(rows)))
+    rows = family(3, 60, base, 2, 9)
+    assert run(spark, list(enumerate(rows))) == sorted(map(str, brute(list(enumerate(rows)))))
+    rows += family(4, 40, [f"s{i}" for i in range(200)], 4, 5) + [t for _, t in corpus(6, 60)]
+    assert run(spark, list(enumerate(rows))) == sorted(map(str, brute(list(enumerate(rows)))))
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 2_000)
+    monkeypatch.setattr(nd, "bases", lambda sets: sets.select("component").distinct().withColumn("base", nd.F.lit(b"")))
+    assert run(spark, list(enumerate(rows))) == sorted(map(str, brute(list(enumerate(rows)))))
+
+
+def test_leaders_connect_what_candidates_connect(spark, monkeypatch):
+    """With buckets led, split and compared in blocks, candidates connect the same classes as with brute force in large buckets."""
+    monkeypatch.setattr(nd, "SMALL", 5)
+    monkeypatch.setattr(nd, "BLOCK", 6)
+    r = np.random.default_rng(4)
+    heads = r.integers(0, 50, (4, nd.COORDS))
+    keys, sketches = [], []
+    for k in range(120):
+        s = heads[k % 4].copy()
+        at = r.choice(nd.COORDS, r.integers(0, 34), replace=False)
+        s[at] = r.integers(0, 50, len(at))
+        keys.append(bytes([k]) * 16)
+        sketches.append([int(x) for x in s])
+    classes = spark.createDataFrame(list(zip(keys, sketches)), "key binary, sketch array<int>")
+    rows = classes.select(nd.F.lit(1).cast("long").alias("path"), "key", nd.F.lit(nd.ALONE).alias("mark"), "sketch")
+    edges, rest = nd.led(rows, 0)
+    pairs = [(bytes(e.u), bytes(e.v)) for e in edges.collect()] + [(bytes(e.u), bytes(e.v)) for e in nd.blocks(rest.join(classes, "key")).collect()]
+    near = [(keys[i], keys[j]) for i in range(120) for j in range(i) if sum(x == y for x, y in zip(sketches[i], sketches[j])) >= nd.CANDIDATE]
+
+    def parts(edges):
+        of = {k: {k} for k in keys}
+        for a, b in edges:
+            if of[a] is not of[b]:
+                of[a] |= of[b]
+                for k in of[b]:
+                    of[k] = of[a]
+        return {frozenset(x) for x in of.values()}
+
+    assert set(pairs) <= set(near) | {(b, a) for a, b in near} and parts(pairs) == parts(near) and rest.count() < 120
 
 
 def test_query_and_odd_rows(spark, tmp_path):
