@@ -5,11 +5,10 @@ Each text is a set of hashes of ``WIDTH`` consecutive words, embedded as
 samples coordinates, 1 / THRESHOLD on average, from its own path, and sends each
 set to one child per sampled coordinate, named by the set's value there: sets
 that share sampled tokens stay together.  Buckets of at most ``SMALL`` sets are
-compared by brute force.  A larger bucket first has a leader: sets as near to it
-as candidates are hang on it, and those which, by the triangle inequality, can
-be near to no set outside the leader's group leave.  What is still larger after
-``DEPTH`` splits is compared in blocks, but not within a leader's group.  A pair
-at the threshold survives a split with probability ``survival()``; runs are
+compared by brute force.  What is still larger after ``DEPTH`` splits has a
+leader: sets as near to it as candidates are hang on it, and those which, by the
+triangle inequality, can be near to no other set leave; the rest is compared in
+blocks, but not within the leader's group.  A pair at the threshold survives a split with probability ``survival()``; runs are
 repeated until the chance of missing it in all of them is below 1 - ``RECALL``.
 
 Equal sets are one class from the start, so copies cost nothing.  Runs leave a
@@ -51,12 +50,10 @@ WIDTH, THRESHOLD, RECALL = 5, 0.8, 0.999
 COORDS, SMALL, DEPTH = 64, 256, 4
 #: Agreeing coordinates that make a candidate: a pair at the threshold has fewer with probability 4e-4.
 CANDIDATE = 40
-#: Rows and bytes of a block, bytes of small groups aimed at for each task, and columns of a dense piece.
-BLOCK, BLOCK_BYTES, TASK_BYTES, DENSE = 512, 16 << 20, 4 << 20, 1 << 13
+#: Rows and bytes of a block, rows of one of differences, bytes of small groups aimed at for each task, and columns of a dense piece.
+BLOCK, BLOCK_BYTES, EDIT_BLOCK, TASK_BYTES, DENSE = 512, 16 << 20, 256, 4 << 20, 1 << 13
 #: Sets of a large group from whose shingles its base is taken.
 SAMPLE = 64
-#: Mark of sets that hang on no leader.
-ALONE = 99
 #: The threshold as numerator and denominator.
 P, Q = Fraction(THRESHOLD).limit_denominator(1000).as_integer_ratio()
 _rng = np.random.default_rng(5)
@@ -165,60 +162,55 @@ def split(rows: DataFrame) -> DataFrame:
     first = F.pmod(F.xxhash64("path", F.lit("a")), F.lit(COORDS)).cast("int")
     other = F.pmod(first + 1 + F.pmod(F.xxhash64("path", F.lit("b")), F.lit(COORDS - 1)).cast("int"), F.lit(COORDS))
     picked = F.when(second, F.array(first, other)).otherwise(F.array(first))
-    d = rows.select("path", "key", "mark", F.col("sketch"), F.explode(picked).alias("c"))
-    return d.select(F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)).alias("path"), "key", "mark")
+    d = rows.select("path", "key", F.col("sketch"), F.explode(picked).alias("c"))
+    return d.select(F.xxhash64("path", "c", F.element_at("sketch", F.col("c") + 1)).alias("path"), "key")
 
 
-def led(big: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) from the sets near to their bucket's leader, and the rows (path, key, mark) that must still be compared.
+def led(big: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) from the sets near to their bucket's leader, and the rows (path, key, led) that must still be compared.
 
-    Sets of a bucket with one mark are connected.  Sketches of a candidate pair
-    differ in at most ``far`` places, a metric, so a set stays only if some set
-    of another mark can be that near to it, judged by their distances from the
-    leader.
+    Sets with the same leader (``led``) are connected.  Sketches of a candidate
+    pair differ in at most ``far`` places, a metric, so a led set stays only if
+    some other set of the bucket can be that near to it, judged by their
+    distances from the leader.
     """
     far = COORDS - CANDIDATE
-    first = F.max_by(F.struct(F.col("key").alias("leader"), F.col("sketch").alias("of")), F.struct("mark", F.xxhash64("path", "key")))
+    first = F.max_by(F.struct(F.col("key").alias("leader"), F.col("sketch").alias("of")), F.xxhash64("path", "key"))
     leaders = written(big.groupBy("path").agg(first.alias("l")).select("path", "l.*"), "leaders")
     apart = F.size(F.filter(F.zip_with("sketch", "of", lambda x, y: x != y), lambda x: x))
-    d = big.join(leaders, "path").select("path", "key", "mark", "leader", apart.alias("apart"))
-    d = written(d.withColumn("mark", F.when((F.col("mark") == ALONE) & (F.col("apart") <= far), level).otherwise(F.col("mark"))), "led")
-    discard(leaders)
-    span = d.groupBy("path", "mark").agg(F.min("apart").alias("low"), F.max("apart").alias("high"))
-    spans = written(span.groupBy("path").agg(F.collect_list(F.struct("mark", "low", "high")).alias("spans")), "spans")
-    beside = F.exists("spans", lambda x: (x["mark"] != F.col("mark")) & (F.col("apart") >= x["low"] - far) & (F.col("apart") <= x["high"] + far))
-    rest = d.join(spans, "path").where((F.col("mark") == ALONE) | beside).select("path", "key", "mark")
-    return d.where((F.col("apart") <= far) & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")), rest
+    d = written(big.join(leaders, "path").select("path", "key", "leader", apart.alias("apart"), (apart <= far).alias("led")), "led")
+    nearest = d.where("NOT led").groupBy("path").agg(F.min("apart").alias("nearest"))
+    nearest = written(nearest, "nearest")
+    rest = d.join(nearest, "path").where(~F.col("led") | (F.col("apart") >= F.col("nearest") - far)).select("path", "key", "led")
+    return d.where(F.col("led") & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")), rest
 
 
 def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
     """u, v: a forest of candidate pairs of classes (key, sketch)."""
     runs = runs_needed() if runs is None else runs
     sketches = classes.select("key", "sketch")
-    d = sketches.withColumn("mark", F.lit(ALONE)).withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    rows = split(d.select(F.xxhash64("run", F.lit("root")).alias("path"), "key", "mark", "sketch"))
-    small, edges, spent, rest = [], [], [], None
+    d = sketches.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    rows = split(d.select(F.xxhash64("run", F.lit("root")).alias("path"), "key", "sketch"))
+    small, spent, big = [], [], None
     for level in range(DEPTH):
         # written, so that both sides of the join are plain shuffles and the rows of one path can be split over tasks
         counts = written(rows.groupBy("path").count().where("count > 1"), "counts")
         rows = written(rows.join(counts, "path"), "paths")
         spent += [counts, rows]
         small.append(rows.where(F.col("count") <= SMALL).select("path", "key"))
-        big = rows.where(F.col("count") > SMALL).select("path", "key", "mark")
+        big = rows.where(F.col("count") > SMALL).select("path", "key")
         if big.isEmpty():
-            rest = None
+            big = None
             break
-        found, rest = led(big.join(sketches, "key"), level)
-        edges.append(found)
-        rows = split(rest.join(sketches, "key").select("path", "key", "mark", "sketch"))
+        if level < DEPTH - 1:
+            rows = split(big.join(sketches, "key").select("path", "key", "sketch"))
     every = small[0]
     for x in small[1:]:
         every = every.unionByName(x)
     out = brute(every.join(sketches, "key"))
-    for x in edges:
-        out = out.unionByName(x)
-    if rest is not None:
-        out = out.unionByName(blocks(rest.join(sketches, "key")))
+    if big is not None:
+        found, rest = led(big.join(sketches, "key"))
+        out = out.unionByName(found).unionByName(blocks(rest.join(sketches, "key")))
     out = written(out.distinct(), "candidates")
     discard(*spent)
     return out
@@ -275,7 +267,7 @@ def in_blocks(rows: DataFrame, group: str, outer: str, inner: str | None = None,
 
 
 def blocks(rows: DataFrame) -> DataFrame:
-    """Candidate pairs within large buckets (path, key, mark, sketch), block by block, but for those of the bucket's most frequent leader's group."""
+    """Candidate pairs within large buckets (path, key, led, sketch), block by block, but for those of sets with one leader."""
 
     def run(table: pa.Table) -> pa.Table:
         side, keys = table["side"].to_numpy(), table["key"].to_pylist()
@@ -288,13 +280,9 @@ def blocks(rows: DataFrame) -> DataFrame:
         edges = [(keys[left[x]], keys[right[y]]) for x, y in matrix_forest(near)]
         return pa.table([pa.array([x for x, _ in edges], pa.binary()), pa.array([y for _, y in edges], pa.binary())], names=["u", "v"])
 
-    per = rows.groupBy("path", "mark").agg(F.count("*").alias("n"))
-    top = F.max_by(F.col("mark"), F.when(F.col("mark") != ALONE, F.struct("n", "mark")))
-    most = F.max(F.when(F.col("mark") != ALONE, F.col("n")))
-    per = per.groupBy("path").agg(F.sum("n").alias("all"), top.alias("top"), F.coalesce(most, F.lit(0)).alias("most"))
-    # at least one block of others, so that a group alone in its bucket makes no task
-    per = written(per.where("all > most").select("path", "top", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("outer"), F.ceil(F.col("most") / BLOCK).alias("inner")), "shares")
-    d = rows.join(per, "path").withColumn("within", F.coalesce(F.col("mark") == F.col("top"), F.lit(False)))
+    per = rows.groupBy("path").agg(F.count_if(~F.col("led")).alias("free"), F.count_if("led").alias("tied"))
+    per = written(per.select("path", F.ceil(F.col("free") / BLOCK).alias("outer"), F.ceil(F.col("tied") / BLOCK).alias("inner")), "shares")
+    d = rows.join(per, "path").withColumn("within", F.col("led"))
     return in_blocks(d, "path", "outer", "inner").select("task", "side", "key", "sketch").groupBy("task").applyInArrow(run, "u binary, v binary")
 
 
@@ -476,7 +464,7 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # always by sorting both sides, so that what moves grows with the input and never jumps from a broadcast to a shuffle
     sets = written(member_sets(texts.join(member.hint("merge"), same)), "sets")
     sizes = sets.groupBy("component").agg(F.count_distinct("key").alias("n_members"), F.sum(F.octet_length("shingles")).alias("bytes"))
-    n_blocks = F.greatest(F.ceil(F.col("n_members") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("long")
+    n_blocks = F.greatest(F.ceil(F.col("n_members") / F.when(F.col("n_members") <= BLOCK, BLOCK).otherwise(EDIT_BLOCK)), F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("long")
     sizes = written(sizes.withColumn("n_blocks", n_blocks), "sizes")
     total, large = sizes.select(F.sum(F.when(F.col("n_members") <= BLOCK, F.col("bytes"))), F.max("n_members")).first()
     sized = sets.join(sizes, "component")

@@ -94,7 +94,7 @@ def family(seed, n, base, edits, words):
 
 def test_large_buckets_and_blocks(spark, monkeypatch):
     """Leaders, blocks and groups over a block, with a good base, with a base of nothing, and with several versions."""
-    for k, v in (("SMALL", 6), ("BLOCK", 7), ("TASK_BYTES", 4_000), ("SAMPLE", 5)):
+    for k, v in (("SMALL", 6), ("BLOCK", 7), ("TASK_BYTES", 4_000), ("SAMPLE", 5), ("EDIT_BLOCK", 4)):
         monkeypatch.setattr(nd, k, v)
     base = [f"t{i}" for i in range(80)]
     rows = family(3, 60, base, 2, 9)
@@ -120,8 +120,8 @@ def test_leaders_connect_what_candidates_connect(spark, monkeypatch):
         keys.append(bytes([k]) * 16)
         sketches.append([int(x) for x in s])
     classes = spark.createDataFrame(list(zip(keys, sketches)), "key binary, sketch array<int>")
-    rows = classes.select(nd.F.lit(1).cast("long").alias("path"), "key", nd.F.lit(nd.ALONE).alias("mark"), "sketch")
-    edges, rest = nd.led(rows, 0)
+    rows = classes.select(nd.F.lit(1).cast("long").alias("path"), "key", "sketch")
+    edges, rest = nd.led(rows)
     pairs = [(bytes(e.u), bytes(e.v)) for e in edges.collect()] + [(bytes(e.u), bytes(e.v)) for e in nd.blocks(rest.join(classes, "key")).collect()]
     near = [(keys[i], keys[j]) for i in range(120) for j in range(i) if sum(x == y for x, y in zip(sketches[i], sketches[j])) >= nd.CANDIDATE]
 
