@@ -51,7 +51,7 @@ COORDS, SMALL, DEPTH = 64, 256, 4
 #: Agreeing coordinates that make a candidate: a pair at the threshold has fewer with probability 4e-4.
 CANDIDATE = 40
 #: Rows and bytes of a block, rows of one of differences, bytes of small groups aimed at for each task, and columns of a dense piece.
-BLOCK, BLOCK_BYTES, EDIT_BLOCK, TASK_BYTES, DENSE = 512, 16 << 20, 256, 4 << 20, 1 << 13
+BLOCK, BLOCK_BYTES, EDIT_BLOCK, TASK_BYTES, DENSE = 512, 16 << 20, 256, 1 << 19, 1 << 13
 #: Sets of a large group from whose shingles its base is taken.
 SAMPLE = 64
 #: The threshold as numerator and denominator.
@@ -167,7 +167,7 @@ def split(rows: DataFrame) -> DataFrame:
 
 
 def led(big: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Edges (u, v) from the sets near to their bucket's leader, and the rows (path, key, led) that must still be compared.
+    """Edges (u, v) from the sets near to their bucket's leader, and the rows (path, key, led, sketch) that must still be compared.
 
     Sets with the same leader (``led``) are connected.  Sketches of a candidate
     pair differ in at most ``far`` places, a metric, so a led set stays only if
@@ -178,10 +178,10 @@ def led(big: DataFrame) -> tuple[DataFrame, DataFrame]:
     first = F.max_by(F.struct(F.col("key").alias("leader"), F.col("sketch").alias("of")), F.xxhash64("path", "key"))
     leaders = written(big.groupBy("path").agg(first.alias("l")).select("path", "l.*"), "leaders")
     apart = F.size(F.filter(F.zip_with("sketch", "of", lambda x, y: x != y), lambda x: x))
-    d = written(big.join(leaders, "path").select("path", "key", "leader", apart.alias("apart"), (apart <= far).alias("led")), "led")
+    d = written(big.join(leaders, "path").select("path", "key", "sketch", "leader", apart.alias("apart"), (apart <= far).alias("led")), "led")
     nearest = d.where("NOT led").groupBy("path").agg(F.min("apart").alias("nearest"))
     nearest = written(nearest, "nearest")
-    rest = d.join(nearest, "path").where(~F.col("led") | (F.col("apart") >= F.col("nearest") - far)).select("path", "key", "led")
+    rest = d.join(nearest, "path").where(~F.col("led") | (F.col("apart") >= F.col("nearest") - far)).select("path", "key", "led", "sketch")
     return d.where(F.col("led") & (F.col("key") != F.col("leader"))).select(F.col("key").alias("u"), F.col("leader").alias("v")), rest
 
 
@@ -210,7 +210,7 @@ def candidates(classes: DataFrame, runs: int | None = None) -> DataFrame:
     out = brute(every.join(sketches, "key"))
     if big is not None:
         found, rest = led(big.join(sketches, "key"))
-        out = out.unionByName(found).unionByName(blocks(rest.join(sketches, "key")))
+        out = out.unionByName(found).unionByName(blocks(rest))
     out = written(out.distinct(), "candidates")
     discard(*spent)
     return out
@@ -470,7 +470,9 @@ def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     sized = sets.join(sizes, "component")
     out = pair_links(sized.where(F.col("n_members") <= BLOCK), (total or 0) // TASK_BYTES + 1)
     if (large or 0) > BLOCK:
-        bound, rest = bound_links(differences(sized.where(F.col("n_members") > BLOCK).dropDuplicates(["component", "key"])))
+        # by key, and written: else all rows of a group would follow its key into one task
+        many = written(sized.where(F.col("n_members") > BLOCK).dropDuplicates(["key"]), "many")
+        bound, rest = bound_links(differences(many))
         out = out.unionByName(bound).unionByName(shared_links(rest))
     out = written(out, "links")
     discard(member, sets, sizes)

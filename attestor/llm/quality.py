@@ -132,7 +132,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
     """
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
-    d = assess(docs.select(row.alias("doc_id"), F.col("text"))).where("kept")
+    # a generator keeps the verdict from being evaluated once as a filter and once more as a result
+    verdict = F.inline_outer(F.array(F.struct("kept", "clean_text")))
+    d = assess(docs.select(row.alias("doc_id"), F.col("text"))).select("doc_id", verdict).where("kept")
     put = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}
     return d.select(*[put[c].alias(c) if c in put else F.col("doc_id").getField(c).alias(c) for c in names])
 
