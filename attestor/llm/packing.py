@@ -74,16 +74,16 @@ def word_parts(text: Column, max_len: int) -> Column:
 
 def pieces(docs: DataFrame, length: Column, max_len: int, with_text: bool = False) -> DataFrame:
     """doc_id, row (a hash of the text, to tell rows of one id apart), piece, first_token, n_tokens, and the piece's text if asked for."""
-    n = length.cast("long")
-    last = F.greatest(F.ceil(n / max_len), F.lit(1)) - 1
+    text = F.coalesce(F.col("text"), F.lit(""))
+    # lengths first, so that they are not found once more for the pieces
+    d = docs.select("doc_id", length.cast("long").alias("n"), F.xxhash64("text").alias("row"), *([text.alias("text")] if with_text else []))
+    last = F.greatest(F.ceil(F.col("n") / max_len), F.lit(1)) - 1
     each = F.sequence(F.lit(0).cast("long"), last)
     if with_text:
-        text = F.coalesce(F.col("text"), F.lit(""))
-        parts = F.when(last == 0, F.array(text)).otherwise(word_parts(text, max_len))
-        each = F.transform(each, lambda i: F.struct(i.alias("piece"), F.get(parts, i.cast("int")).alias("text")))
-        d = docs.select("doc_id", n.alias("n"), F.xxhash64("text").alias("row"), F.inline(each))
+        parts = F.when(last == 0, F.array("text")).otherwise(word_parts(F.col("text"), max_len))
+        d = d.select("doc_id", "n", "row", F.posexplode(parts).alias("piece", "text")).withColumn("piece", F.col("piece").cast("long"))
     else:
-        d = docs.select("doc_id", n.alias("n"), F.xxhash64("text").alias("row"), F.explode(each).alias("piece"))
+        d = d.select("doc_id", "n", "row", F.explode(each).alias("piece"))
     first = F.col("piece") * max_len
     kept = ["doc_id", "row", "piece", first.alias("first_token"), F.least(F.col("n") - first, F.lit(max_len)).cast("long").alias("n_tokens")]
     return d.select(*kept, *(["text"] if with_text else []))
