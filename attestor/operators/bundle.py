@@ -11,16 +11,23 @@ from attestor.functions.geometry import total_area, valid
 from attestor.functions.hashing import cache_key, table_fingerprint
 from attestor.functions.strings import span_valid, strip
 from attestor.operators import derive, metrics, rules
+from attestor.session import scratch
 from attestor.sources import io, schemas
 
 
 def read(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Tables with line numbers, and the violations met in reading them."""
+    """Tables with line numbers, and the violations met in reading them.
+
+    Tables are parsed once and kept as Parquet in the shared folder, as the
+    rules read each of them many times.
+    """
     tables, bad = {}, []
     for folder, names in (("public", schemas.PUBLIC), ("gold", schemas.GOLD)):
         for name in names:
             rows, problems = io.strict_jsonl(spark, f"{root}/{folder}/{name}.jsonl", schemas.SCHEMAS[name], tuple(schemas.OPTIONAL.get(name, ())))
-            tables[name] = rows
+            path = scratch(spark, name)
+            rows.write.parquet(path)
+            tables[name] = spark.read.schema(rows.schema).parquet(path)
             bad.append(problems.select(F.lit("form").alias("rule"), F.lit(name).alias("table"), F.col("line").cast("string").alias("key"), F.col("problem").alias("detail")))
     return tables, rules.every(*bad)
 
