@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from attestor.llm.bpe import op6_bpe_trie
+from attestor.llm.conversations import OP12_SQL, op12_conversation_repair
 from attestor.llm.fingerprints import op2_fingerprints
 from attestor.llm.importance import OP13_SQL, op13_importance
 from attestor.llm.language import op5_language_id
@@ -26,10 +27,11 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_importance": op13_importance,
     "pipeline": corpus_pipeline.run,
 }
 
 #: The other operators have no form in SQL: sketches, tries, automata and trained weights stand in every result.
 #: Tests compare them with brute force, a library or held-out labels.
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL, "op13_importance": OP13_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": OP9_SQL, "op12_conversation_repair": OP12_SQL, "op13_importance": OP13_SQL} | ({} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL})
