@@ -14,6 +14,7 @@ from attestor.llm.packing import op1_packing
 from attestor.llm.pii import op7_pii_pseudonyms
 from attestor.llm.quality import OP9_SQL, op9_quality_rules
 from attestor.llm.suffixes import op3_suffix_dedup
+from attestor.llm.toxicity import op11_toxicity
 from attestor.llm.wavelet import op8_wavelet_shards
 
 QUERIES = {
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_wavelet_shards": op8_wavelet_shards,
     "op9_quality_rules": op9_quality_rules,
     "op10_licence_scan": op10_licence_scan,
+    "op11_toxicity": op11_toxicity,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_importance": op13_importance,
     "pipeline": corpus_pipeline.run,
