@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor.session import stored
+
 
 def asserted(left: DataFrame, right: DataFrame, keys: list[str], what: str) -> DataFrame:
     """Inner join in which every left row must find its match; else the query fails, naming the key."""
@@ -36,29 +38,46 @@ def pairs_within(df: DataFrame, group: list[str], key: str, columns: list[str])
     return left.join(right, group).where(F.col(key + "_l") < F.col(key + "_r"))
 
 
-def band_pairs(h, width: int = 64, most: int = 4) -> Column:
-    """Pairs of most + 2 bands of a bit string, each with its number: strings that differ in at most ``most`` bits share two bands."""
-    n, bands, at = most + 2, [], 0
+def bands(h, width: int, parts: list[tuple[int, ...]], n: int) -> Column:
+    """Keys by which bit strings meet: for each combination its number and the bits of those of the n bands that it names."""
+    each, at = [], 0
     h = F.col(h) if isinstance(h, str) else h
     for k in range(n):
         size = width // n + (k < width % n)
-        bands.append(F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
+        each.append((at, size))
         at += size
-    both = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    return F.array(*[F.struct(F.lit(k).alias("k"), bands[i].alias("v"), bands[j].alias("w")) for k, (i, j) in enumerate(both)])
+
+    def key(combination):
+        out, shift = F.lit(0).cast("long"), 0
+        for k in combination:
+            start, size = each[k]
+            bits = F.shiftrightunsigned(h, start).bitwiseAND(F.lit((1 << size) - 1).cast("long"))
+            out, shift = out.bitwiseOR(F.shiftleft(bits, shift)), shift + size
+        return out
+
+    return F.array(*[F.struct(F.lit(k).alias("k"), key(c).alias("v")) for k, c in enumerate(parts)])
 
 
 def hamming_pairs(left: DataFrame, right: DataFrame, id_: str, h: str, most: int = 4, width: int = 64, upper: bool = True) -> DataFrame:
     """id_l, id_r, distance of hashes that differ in at most ``most`` bits.
 
-    Distinct hashes are compared, each once, however many rows have them: those
-    that share two of most + 2 bands meet in an equi-join, and a pair that
-    shares several is taken at the first.  Rows then meet their hashes' pairs.
+    Strings that differ in at most ``most`` bits agree in one of most + 1 bands,
+    and in two of most + 2.  One band of 64 bits is 12 or 13 bits, which tells
+    apart a few thousand hashes; so up to ``2^bits / 4`` distinct ones meet on
+    single bands, and more on pairs.  Distinct hashes are compared, each once,
+    however many rows have them; a pair that shares several keys is taken at the
+    first.  Only rows whose hash has a partner are joined back.
     """
-    a, b = (d.select(F.col(h).alias(f"h_{s}")).distinct().withColumn("b", F.explode(band_pairs(f"h_{s}", width, most))) for d, s in ((left, "l"), (right, "r")))
-    d = a.join(b, "b").withColumn("distance", F.bit_count(F.col("h_l").bitwiseXOR(F.col("h_r")))).where(F.col("distance") <= most)
-    same = F.zip_with(band_pairs("h_l", width, most), band_pairs("h_r", width, most), lambda x, y: x == y)
-    d = d.where(F.array_position(same, True) - 1 == F.col("b.k")).select("h_l", "h_r", "distance")
+    same = left is right
+    a = left.select(F.col(h).alias("h_l")).distinct()
+    b = a.select(F.col("h_l").alias("h_r")) if same else right.select(F.col(h).alias("h_r")).distinct()
+    few = a.count() <= (1 << width // (most + 1)) // 4
+    n, parts = (most + 1, [(k,) for k in range(most + 1)]) if few else (most + 2, [(i, j) for i in range(most + 2) for j in range(i + 1, most + 2)])
+    keys = lambda c: bands(c, width, parts, n)
+    d = a.withColumn("b", F.explode(keys("h_l"))).join(b.withColumn("b", F.explode(keys("h_r"))), "b")
+    d = d.withColumn("distance", F.bit_count(F.col("h_l").bitwiseXOR(F.col("h_r")))).where(F.col("distance") <= most)
+    agree = F.zip_with(keys("h_l"), keys("h_r"), lambda x, y: x == y)
+    d = d.where(F.array_position(agree, True) - 1 == F.col("b.k")).select("h_l", "h_r", "distance")
     d = d.join(left.select(F.col(id_).alias("id_l"), F.col(h).alias("h_l")), "h_l").join(right.select(F.col(id_).alias("id_r"), F.col(h).alias("h_r")), "h_r")
     return (d.where("id_l < id_r") if upper else d).select("id_l", "id_r", "distance")
 
@@ -119,7 +138,9 @@ def gathered(features: DataFrame, row: str, index: DataFrame, at: str, what: str
 def stacked(parts: dict[str, DataFrame], order: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows, ranges): tables one after another, numbered from 0 in ``order`` within each, and part, start, stop of each one's numbers.
 
-    Numbers are counted by part and range of the order, so no window spans a table.
+    The rows are sorted by range and written once, so that the ranges that are
+    counted are the ones that are numbered; no window spans a table.  Rows that
+    are equal in ``order`` follow each other in no stated order.
     """
     from functools import reduce
 
@@ -127,13 +148,13 @@ def stacked(parts: dict[str, DataFrame], order: list[str]) -> tuple[DataFrame, D
     tagged = reduce(DataFrame.unionByName, [d.withColumn("part", F.lit(k)) for k, d in enumerate(parts.values())])
     keys = [F.col("part"), *[F.col(c) for c in order]]
     n = int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id())
-    d = d.withColumn("_bin", F.shiftright("_id", 33))
-    bins = d.groupBy("_bin").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
-    bins = bins.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.join(bins, "_bin").withColumn("row", F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_bin", "_n", "_first", "_before")
+    d = tagged.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    d = stored(d.withColumn("_bin", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "stacked")
+    bins = d.groupBy("_bin").agg(F.count("*").alias("_n"))  # one row for each partition
+    bins = bins.select("_bin", F.coalesce(F.sum("_n").over(Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     label = F.element_at(F.lit(names), F.col("part") + 1)
-    ranges = tagged.groupBy("part").agg(F.count("*").alias("n"))
+    ranges = d.groupBy("part").agg(F.count("*").alias("n"))
     stop = F.sum("n").over(Window.orderBy("part"))
     ranges = ranges.select(label.alias("part"), (stop - F.col("n")).alias("start"), stop.alias("stop"))
-    return d.withColumn("part", label), ranges
+    rows = d.join(bins, "_bin").withColumn("row", F.col("_at") + F.col("_before")).drop("_bin", "_at", "_before")
+    return rows.withColumn("part", label), ranges

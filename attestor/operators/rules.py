@@ -90,30 +90,97 @@ def leaks(df: DataFrame, table: str, key: str, split: str = "split", inactive: t
     return _violations(d, f"leak:{key}", table, key, F.array_join("s", ","))
 
 
+def _bad(name: Column, parts: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(name), F.lit(p)) for p in parts])
+
+
+def holds_names(t: T.DataType) -> bool:
+    """Whether values of a type may bring names of their own: maps and variants, at any depth."""
+    if isinstance(t, T.StructType):
+        return any(holds_names(f.dataType) for f in t.fields)
+    if isinstance(t, T.ArrayType):
+        return holds_names(t.elementType)
+    return isinstance(t, (T.MapType, T.VariantType))
+
+
+def _text_keys(t: T.DataType) -> T.DataType:
+    """The type with texts as the keys of its maps, as variants have them."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _text_keys(f.dataType)) for f in t.fields])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_text_keys(t.elementType))
+    return T.MapType(T.StringType(), _text_keys(t.valueType)) if isinstance(t, T.MapType) else t
+
+
+NODES = "array<struct<path:string,key:string,value:variant>>"
+
+
+def variant_names(value: Column, root: Column, depth: Column) -> Column:
+    """path and key of every name in a variant, at any depth up to ``depth``: a fold that goes down one level at a time.
+
+    Names are joined to paths by dots; steps into lists read [].
+    """
+
+    def children(x: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(x["value"], "$", "map<string,variant>"))
+        named = F.transform(fields, lambda f: F.struct(F.concat(x["path"], F.lit("."), f["key"]).alias("path"), f["key"].alias("key"), f["value"].alias("value")))
+        items = F.transform(F.try_variant_get(x["value"], "$", "array<variant>"), lambda v: F.struct(F.concat(x["path"], F.lit("[]")).alias("path"), F.lit(None).cast("string").alias("key"), v.alias("value")))
+        return F.coalesce(named, items, F.array().cast(NODES))
+
+    def down(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["level"], children))
+        return F.transform(F.array(below), lambda n: F.struct(F.concat(state["found"], F.transform(F.filter(n, lambda y: y["key"].isNotNull()), lambda y: F.struct(y["path"].alias("path"), y["key"].alias("key")))).alias("found"), n.alias("level")))[0]
+
+    none = F.array().cast("array<struct<path:string,key:string>>")
+    top = F.array(F.struct(root.alias("path"), F.lit(None).cast("string").alias("key"), value.alias("value"))).cast(NODES)
+    return F.aggregate(F.sequence(F.lit(1), depth), F.struct(none.alias("found"), top.alias("level")), down, lambda s: s["found"])
+
+
+def nesting(json: Column) -> Column:
+    """How deep a JSON text is nested, one more than its brackets open at once."""
+    bare = F.regexp_replace(F.regexp_replace(json, r'"(?:[^"\\]|\\.)*"', ""), r"[^\[\]{}]", "")
+    signs = F.transform(F.split(bare, ""), lambda c: F.when(c.isin("{", "["), 1).when(c == "", 0).otherwise(-1))
+    state = F.struct(F.lit(0).alias("at"), F.lit(0).alias("most"))
+    return F.aggregate(signs, state, lambda s, x: F.struct((s["at"] + x).alias("at"), F.greatest(s["most"], s["at"] + x).alias("most")), lambda s: s["most"] + 1)
+
+
 def forbidden_keys(df: DataFrame, table: str, parts: list[str]) -> DataFrame:
-    """Column and field names, at any depth, that contain a forbidden part; and map keys that do."""
-    spark, found, maps = df.sparkSession, [], []
+    """Names, at any depth, that contain a forbidden part: columns, fields, and keys of maps and of variants, with their paths.
+
+    Names of columns and fields come from the schema alone.  Columns that hold
+    maps or variants anywhere are read, once; their rows become variants, so that
+    any nesting of maps, lists and structs is one case.
+    """
+    spark, found = df.sparkSession, set()
 
-    def walk(t, path: str, at: Column | None) -> None:
+    def walk(t, path: str) -> None:
         if isinstance(t, T.StructType):
             for f in t.fields:
                 if any(p in f.name.lower() for p in parts):
-                    found.append(f"{path}.{f.name}")
-                walk(f.dataType, f"{path}.{f.name}", F.col(f"`{f.name}`") if at is None and path == "record" else None)
+                    found.add(f"{path}.{f.name}")
+                walk(f.dataType, f"{path}.{f.name}")
         elif isinstance(t, T.ArrayType):
-            walk(t.elementType, path + "[]", None)
-        elif isinstance(t, T.MapType):
-            if at is not None:
-                maps.append((path, at))
-            walk(t.valueType, path + "{}", None)
-
-    walk(df.schema, "record", None)
-    out = spark.createDataFrame([("forbidden_key", table, p, None) for p in found], SCHEMA)
-    for path, at in maps:
-        bad = F.filter(F.map_keys(at), lambda k: reduce(lambda a, b: a | b, [F.contains(F.lower(k), F.lit(p)) for p in parts]))
-        d = df.select(F.explode(bad).alias("k")).distinct()
-        out = out.unionByName(_violations(d, "forbidden_key", table, F.concat(F.lit(path + "."), F.col("k")), F.lit(None)))
-    return out
+            walk(t.elementType, path + "[]")
+
+    walk(df.schema, "record")
+    out = spark.createDataFrame([("forbidden_key", table, p, None) for p in sorted(found)], SCHEMA)
+    for f in df.schema.fields:
+        if holds_names(f.dataType):
+            x = F.col(f"`{f.name}`")
+            x = x if isinstance(f.dataType, T.VariantType) else F.to_variant_object(x.cast(_text_keys(f.dataType)))
+            out = out.unionByName(_named(df.select(x.alias("v")), F.lit(f"record.{f.name}"), table, parts))
+    return out.distinct()
+
+
+def forbidden_json_keys(df: DataFrame, table: str, column: str, parts: list[str]) -> DataFrame:
+    """Names at any depth of a column of JSON texts; a text that is no JSON has none."""
+    return _named(df.select(F.try_parse_json(column).alias("v")), F.lit("record"), table, parts)
+
+
+def _named(values: DataFrame, root: Column, table: str, parts: list[str]) -> DataFrame:
+    json = F.to_json("v")
+    d = values.where(F.col("v").isNotNull()).select(F.explode(F.filter(variant_names(F.col("v"), root, nesting(json)), lambda y: _bad(y["key"], parts))).alias("x"))
+    return _violations(d.select("x.path").distinct(), "forbidden_key", table, "path", F.lit(None))
 
 
 def every(*violations: DataFrame) -> DataFrame:

@@ -151,11 +151,26 @@ def box_validity(t):
 
 
 @query("forbidden_keys", """
+WITH e AS (SELECT *, 'k' || user_id % 3 AS outer_key FROM events)
 SELECT DISTINCT 'record.props.' || k AS key FROM (SELECT unnest(json_keys(props)) AS k FROM events) WHERE contains(lower(k), 'k')
-UNION ALL SELECT 'record.who.user_key' UNION ALL SELECT 'record.Ranked[].kind'""")
+UNION SELECT 'record.who.user_key' UNION SELECT 'record.Ranked' UNION SELECT 'record.Ranked[].kind'
+UNION SELECT 'record.who.types.' || event_type FROM e WHERE contains(event_type, 'k') UNION SELECT 'record.lists[][].' || event_type FROM e WHERE contains(event_type, 'k')
+UNION SELECT 'record.deep.' || outer_key FROM e UNION SELECT 'record.deep.' || outer_key || '.' || event_type FROM e WHERE contains(event_type, 'k')""")
 def forbidden_keys(t):
-    e = t("events").select("event_id", F.from_json("props", "map<string,string>").alias("props"), F.struct(F.col("user_id").alias("user_key"), "ts").alias("who"), F.array(F.struct(F.col("event_type").alias("kind"))).alias("Ranked"))
-    return rules.forbidden_keys(e, "events", ["k"]).select("key").where("key <> 'record.Ranked'")
+    """Names in columns, structs, and in maps within lists, structs and other maps."""
+    types = F.create_map("event_type", F.lit(1))
+    deep = F.create_map(F.concat(F.lit("k"), (F.col("user_id") % 3).cast("string")), types)
+    e = t("events").select("event_id", F.from_json("props", "map<string,string>").alias("props"), F.struct(F.col("user_id").alias("user_key"), "ts", types.alias("types")).alias("who"), F.array(F.struct(F.col("event_type").alias("kind"))).alias("Ranked"), F.array(F.array(types)).alias("lists"), deep.alias("deep"))
+    return rules.forbidden_keys(e, "events", ["k"]).select("key")
+
+
+@query("forbidden_json_keys", """
+WITH j AS (SELECT '{"a": [1, ' || props || ', [{"' || event_type || '": {"b": ' || props || '}}]], "t": "\\"k\\": {"}' AS j FROM events)
+SELECT DISTINCT 'record' || regexp_replace(substr(x.fullkey, 2), '\[\d+\]', '[]', 'g') AS key FROM j, json_tree(j.j) AS x WHERE contains(lower(CAST(x.key AS VARCHAR)), 'k')""")
+def forbidden_json_keys(t):
+    """Names within JSON texts of any shape, with their paths."""
+    j = F.concat(F.lit('{"a": [1, '), "props", F.lit(', [{"'), "event_type", F.lit('": {"b": '), "props", F.lit('}}]], "t": "\\"k\\": {"}'))
+    return rules.forbidden_json_keys(t("events").select(j.alias("j")), "events", "j", ["k"]).select("key")
 
 
 @query("exactly_once", """
@@ -270,14 +285,17 @@ def index_gather(t):
 
 
 @query("stacked_ranges", """
-WITH p AS (SELECT 0 AS i, 'returned' AS part, l_orderkey AS o, l_linenumber AS l FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 1, 'late', l_orderkey, l_linenumber FROM lineitem WHERE l_discount > 0.08),
-r AS (SELECT *, row_number() OVER (ORDER BY i, o, l) - 1 AS row FROM p), g AS (SELECT part, min(row) AS start, max(row) + 1 AS stop FROM r GROUP BY 1)
-SELECT r.part AS part, start, stop, count(*) AS n, min(o) FILTER (WHERE row = start) AS first_order, max(o) FILTER (WHERE row = stop - 1) AS last_order FROM r JOIN g ON r.part = g.part GROUP BY 1, 2, 3""")
+WITH p AS (SELECT 0 AS i, 'returned' AS part, l_orderkey AS o, l_linenumber AS l, l_partkey AS k, l_suppkey AS s, CAST(l_quantity AS BIGINT) AS q FROM lineitem WHERE l_returnflag = 'R'
+UNION ALL SELECT 1, 'late', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) FROM lineitem WHERE l_discount > 0.08),
+r AS (SELECT *, row_number() OVER (ORDER BY i, o, l, k, s) - 1 AS row FROM p), g AS (SELECT part, min(row) AS start, max(row) + 1 AS stop FROM r GROUP BY 1)
+SELECT r.part AS part, start, stop, count(*) AS n, count(DISTINCT row) AS numbers, CAST(sum(row % 1009 * q) AS BIGINT) AS weighed, min(q) FILTER (WHERE row = start) AS first_quantity, max(q) FILTER (WHERE row = stop - 1) AS last_quantity FROM r JOIN g ON r.part = g.part GROUP BY 1, 2, 3""")
 def stacked_ranges(t):
-    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_discount")
-    rows, ranges = joins.stacked({"returned": d.where("l_returnflag = 'R'"), "late": d.where("l_discount > 0.08")}, ["l_orderkey", "l_linenumber"])
-    j = rows.join(ranges, "part")
-    return j.groupBy("part", "start", "stop").agg(F.count("*").alias("n"), F.min(F.when(F.col("row") == F.col("start"), F.col("l_orderkey"))).alias("first_order"), F.max(F.when(F.col("row") == F.col("stop") - 1, F.col("l_orderkey"))).alias("last_order"))
+    """Two selections of lines one after another, with a column that is no key; every number once."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    d = t("lineitem").select(*order, "l_returnflag", "l_discount", F.col("l_quantity").cast("long").alias("q"))
+    rows, ranges = joins.stacked({"returned": d.where("l_returnflag = 'R'"), "late": d.where("l_discount > 0.08")}, order)
+    ends = [F.min(F.when(F.col("row") == at, F.col("q"))).alias(name) for name, at in (("first_quantity", F.col("start")), ("last_quantity", F.col("stop") - 1))]
+    return rows.join(ranges, "part").groupBy("part", "start", "stop").agg(F.count("*").alias("n"), F.count_distinct("row").alias("numbers"), F.sum(F.col("row") % 1009 * F.col("q")).alias("weighed"), *ends)
 
 
 @query("completion_rate", """

@@ -1,11 +1,12 @@
-"""Session defaults for local runs; a cluster sets its own."""
+"""Session defaults for local runs (a cluster sets its own) and the folder for tables on the way."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -26,12 +27,47 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share; on a local master a temporary folder will do."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a temporary folder and any other one
+    an error: executors elsewhere could not see a folder of this machine.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="attestor-")
         spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def application_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder, which is deleted when its JVM ends."""
+    sc, path = spark.sparkContext, f"{shared_dir(spark)}/attestor-{spark.sparkContext.applicationId}"
+    known = sc.__dict__.setdefault("_attestor_dirs", set())
+    if path not in known:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        known.add(path)
+    return path
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table on the way."""
+    return f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` for the rest of the application and read it back."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
