@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.session import removed, scratch
+
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -29,29 +31,20 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a temporary folder and any other one
-    an error: executors elsewhere could not see a folder of this machine.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="attestor-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Folders written so far and not yet deleted, and the table of each that has one; a run has a list of its own.
+_MADE: dict[str, str | None] = {}
+_RUN: ContextVar[dict[str, str | None] | None] = ContextVar("attestor_run", default=None)
 
 
-#: Folders written so far and not yet deleted, and the table of each that has one.
-_MADE: dict[str, str | None] = {}
+def _made() -> dict[str, str | None]:
+    run = _RUN.get()
+    return _MADE if run is None else run
 
 
 def place(spark: SparkSession, name: str, table: str | None = None) -> str:
-    """A new path in the shared folder, which clear() deletes."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _MADE[path] = table
+    """A new path in the application's folder, which clear() deletes, or the run it belongs to."""
+    path = scratch(spark, name)
+    _made()[path] = table
     return path
 
 
@@ -65,34 +58,49 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     return out
 
 
-def _deleted(spark: SparkSession, path: str) -> None:
-    table = _MADE.pop(path, None)
+def _deleted(spark: SparkSession, made: dict[str, str | None], path: str) -> None:
+    table = made.pop(path, None)
     if table:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    removed(spark, path)
 
 
 def discard(*frames: DataFrame) -> None:
     """Delete the folders of written frames on which nothing that is still to run depends."""
     for df in frames:
         if path := getattr(df, "_attestor_path", None):
-            _deleted(df.sparkSession, path)
-
+            _deleted(df.sparkSession, _made(), path)
 
-def made() -> frozenset[str]:
-    """The folders that operators have written and not deleted."""
-    return frozenset(_MADE)
 
+@contextmanager
+def own_run(spark: SparkSession):
+    """What is written inside belongs to this run alone and is deleted at its end, but for frames given to keep().
 
-def clear(spark: SparkSession, keep: tuple[DataFrame, ...] = (), but: frozenset[str] = frozenset()) -> None:
-    """Delete the folders and tables that operators have written, but those of ``keep`` and those ``made()`` before.
-
-    Results are lazy: call this when they have been stored elsewhere.
+    Other threads, and other runs, have lists of their own.
+    """
+    mine: dict[str, str | None] = {}
+    before = _RUN.set(mine)
+    kept: list[DataFrame] = []
+    try:
+        yield kept.append
+    finally:
+        _RUN.reset(before)
+        for df in kept:
+            path = getattr(df, "_attestor_path", None)
+            if path in mine:
+                _made()[path] = mine.pop(path)
+        for path in list(mine):
+            _deleted(spark, mine, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the folders and tables that operators have written outside of runs.
+
+    Results are lazy: call this when they have been stored elsewhere.  Whatever
+    is left goes with the application.
     """
-    held = {getattr(df, "_attestor_path", None) for df in keep} | but
-    for path in [p for p in _MADE if p not in held]:
-        _deleted(spark, path)
+    for path in list(_MADE):
+        _deleted(spark, _MADE, path)
 
 
 def partitions(df: DataFrame, mb: int = 64, most: int = 1 << 20) -> int:

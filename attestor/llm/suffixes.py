@@ -528,5 +528,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> Da
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["stop"] - x["start"])
-    per_text = dedup(docs).select("thash", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    with own_run(spark) as keep:  # the table of texts and all on the way go once the spans are known
+        per_text = written(dedup(docs).select("thash", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")), "spans")
+        keep(per_text)
     return docs.select("doc_id", text_hash().alias("thash")).join(per_text, "thash").drop("thash")
