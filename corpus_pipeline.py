@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from attestor.llm import neardup, packing, pii, quality, suffixes
-from attestor.llm.common import clear, discard, documents, made, written
+from attestor.llm.common import discard, documents, own_run, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,10 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents."""
-    docs, earlier = documents(spark, sf_dir), made()
-    for name, stage in STAGES:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name)
-        discard(before)
-    clear(spark, keep=(docs,), but=earlier)
+    """Apply STAGES to documents; what this run has written goes with its end, and nothing else does."""
+    with own_run(spark) as keep:
+        docs = documents(spark, sf_dir)
+        for name, stage in STAGES:
+            before, docs = docs, written(stage(spark, docs, sf_dir), name)
+            discard(before)
+        keep(docs)
     return docs
