@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import zipfile
 from contextlib import contextmanager
 from contextvars import ContextVar
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.session import removed, scratch
+from attestor.session import removed, scratch, ship  # noqa: F401
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -114,20 +111,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_attestor_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="attestor-zip-")) / "attestor_pkg.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for p in sorted(root.rglob("*.py")):
-            z.write(p, str(p.relative_to(root.parent)))
-    sc.addPyFile(str(at))
-    sc._attestor_shipped = True
-
-
 def texts_of(batch) -> list[bytes]:
     """UTF-8 bytes of a batch's text column; null counts as empty."""
     import pyarrow as pa

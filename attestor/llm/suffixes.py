@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.llm.common import discard, documents, give_back, lean, partitions, place, ship, slices, written
+from attestor.llm.common import discard, documents, give_back, lean, own_run, partitions, place, ship, slices, written
 
 LENGTH, GRAM = 200, 32
 #: Suffixes aimed at for each range; suffixes sorted at a time by a task; least for a range.
