@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.hashing import hash_order
 from attestor.functions.numeric import col
+from attestor.session import stored
 
 
 def ranked(df: DataFrame, group: list[str], order: list[Column], name: str = "rn") -> DataFrame:
@@ -93,18 +94,27 @@ def by_custom_order(df: DataFrame, column: str, names: list[str], *then) -> Data
 def unique_picks(df: DataFrame, category: str, owner: str, order: list[Column], each: int, categories: list[str]) -> DataFrame:
     """For each category in turn its first rows whose owner was not picked before, one row per owner.
 
-    One job for each category: what a category may take depends on the ones before.
+    Proposals in rounds: every category asks for its first free owners at once,
+    and an owner asked for by several goes to the first of them.  What a category
+    may ask for depends on earlier ones only, so after k rounds the first k are
+    settled; rounds end when none changes.  Others can take at most each x
+    categories owners from a category, so no more of its owners are ever looked
+    at.  Each round reads and writes small tables; the plan does not grow.
     """
-    taken, out = None, None
-    for c in categories:
-        d = df.where(F.col(category) == c)
-        if taken is not None:
-            d = d.join(taken, owner, "left_anti")
-        d = ranked(d, [owner], order).where("rn = 1").drop("rn").orderBy(*order).limit(each)
-        out = d if out is None else out.unionByName(d)
-        now = d.select(owner)
-        taken = now if taken is None else taken.unionByName(now)
-    return out
+    names = df.columns
+    place = F.array_position(F.lit(categories), F.col(category))
+    d = ranked(df.where(place > 0).withColumn("_c", place), ["_c", owner], order).where("rn = 1").drop("rn")
+    some = stored(ranked(d, ["_c"], order, "_r").where(F.col("_r") <= each * len(categories)), "candidates")
+    picks, before = some.where("false"), None
+    for _ in range(len(categories) + 1):
+        first = picks.groupBy(F.col(owner).alias("_o")).agg(F.min("_c").alias("_t"))
+        free = some.join(F.broadcast(first), F.col(owner).eqNullSafe(F.col("_o")), "left").where("_t IS NULL OR _t >= _c").drop("_o", "_t")  # at most each x categories owners
+        now = stored(ranked(free, ["_c"], [F.col("_r")]).where(F.col("rn") <= each).drop("rn"), "picks")
+        found = {tuple(r) for r in now.select("_c", "_r").collect()}  # at most each x categories pairs of numbers
+        picks, settled, before = now, found == before, found
+        if settled:
+            break
+    return picks.orderBy("_c", "_r").select(*names)
 
 
 def early_exit(df: DataFrame, good: Column, n: int) -> DataFrame:

@@ -357,14 +357,25 @@ def offset_breaks(t):
     return sampling.broken_offsets(d, "grp", ["k"], "start", "stop").select("k", "start", "stop")
 
 
-@query("unique_picks", """
-WITH o AS (SELECT o_orderpriority AS c, o_custkey AS w, o_orderkey AS k FROM orders),
-a0 AS (SELECT w, min(k) AS k FROM o WHERE c = '1-URGENT' GROUP BY w ORDER BY 2 LIMIT 3), b0 AS (SELECT w, min(k) AS k FROM o WHERE c = '2-HIGH' AND w NOT IN (SELECT w FROM a0) GROUP BY w ORDER BY 2 LIMIT 3),
-c0 AS (SELECT w, min(k) AS k FROM o WHERE c = '3-MEDIUM' AND w NOT IN (SELECT w FROM a0 UNION ALL SELECT w FROM b0) GROUP BY w ORDER BY 2 LIMIT 3)
-SELECT '1-URGENT' AS c, w, k FROM a0 UNION ALL SELECT '2-HIGH', w, k FROM b0 UNION ALL SELECT '3-MEDIUM', w, k FROM c0""")
+def _picks_sql(names: list[str], each: int) -> str:
+    """Each category's picks as a table that leaves out the owners of all tables before it."""
+    tables, before = [], []
+    for k, name in enumerate(names):
+        free = "".join(f" AND w NOT IN (SELECT w FROM a{j})" for j in before)
+        tables.append(f"a{k} AS (SELECT w, min(k) AS k FROM o WHERE c = '{name}'{free} GROUP BY w ORDER BY 2 LIMIT {each})")
+        before.append(k)
+    shown = " UNION ALL ".join(f"SELECT '{name}' AS c, w, k FROM a{k}" for k, name in enumerate(names))
+    return f"WITH o AS (SELECT o_orderpriority AS c, o_custkey % 60 AS w, o_orderkey AS k FROM orders), {', '.join(tables)} {shown}"
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("unique_picks", _picks_sql(PRIORITIES, 11))
 def unique_picks(t):
-    d = t("orders").select(F.col("o_orderpriority").alias("c"), F.col("o_custkey").alias("w"), F.col("o_orderkey").alias("k"))
-    return sampling.unique_picks(d, "c", "w", [F.col("k")], 3, ["1-URGENT", "2-HIGH", "3-MEDIUM"])
+    """Eleven owners for each of five priorities from sixty owners, so that later ones find most of them taken."""
+    d = t("orders").select(F.col("o_orderpriority").alias("c"), (F.col("o_custkey") % 60).alias("w"), F.col("o_orderkey").alias("k"))
+    return sampling.unique_picks(d, "c", "w", [F.col("k")], 11, PRIORITIES)
 
 
 @query("seeded_shuffle", """

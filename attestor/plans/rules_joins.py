@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions import hashing as h
 from attestor.functions import vectors as v
-from attestor.operators import joins, policy, rules
+from attestor.operators import joins, policy, rules, similarity
 from attestor.plans.registry import query
 
 
@@ -142,8 +142,18 @@ def default_lookup_join(t):
 WITH p AS (SELECT a.label, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id)
 SELECT label, count(*) AS pairs, round(avg(d), 5) AS mean_dot, max(d) AS best FROM p GROUP BY label""")
 def pairs_within_group(t):
-    p = joins.pairs_within(t("embeddings"), ["label"], "vec_id", ["embedding"]).withColumn("d", F.round(v.dot("embedding_l", "embedding_r"), 6))
-    return p.groupBy("label").agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 5).alias("mean_dot"), F.max("d").alias("best"))
+    """Count, mean and greatest dot product of all pairs of a label, without writing pairs."""
+    e = t("embeddings")
+    d = similarity.pair_figures(e, "label", "vec_id", "embedding").join(similarity.best_dot(e, "label", "vec_id", "embedding"), "label")
+    return d.select("label", "pairs", F.round("mean_dot", 5).alias("mean_dot"), F.round("best", 6).alias("best"))
+
+
+@query("pairs_of_a_conversation", """
+SELECT a.conv_id AS conv_id, a.turn AS turn_l, b.turn AS turn_r, a.role = b.role AS same_role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn < b.turn""")
+def pairs_of_a_conversation(t):
+    """Pairs themselves, where groups are small by their nature."""
+    p = joins.pairs_within(t("conversations"), ["conv_id"], "turn", ["role"])
+    return p.select("conv_id", "turn_l", "turn_r", (F.col("role_l") == F.col("role_r")).alias("same_role"))
 
 
 @query("hamming_near_duplicates", """
