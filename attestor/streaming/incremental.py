@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from attestor.functions.numeric import col
 from attestor.operators.joins import pending
+from attestor.session import removed
 from attestor.sources.io import exists
 
 
@@ -79,40 +80,76 @@ def append_samples(stream: DataFrame, path: str, checkpoint: str, once: bool = T
 
 
 def upsert_stream(stream: DataFrame, keys: list[str], order: list[str], path: str, checkpoint: str, buckets: int = 64):
-    """Keep the last row of each key in a state of hash buckets; a micro-batch rewrites the buckets that it touches.
+    """Keep the last row of each key in a state of hash buckets; a micro-batch rewrites the buckets that it touches."""
+    return stream.writeStream.foreachBatch(lambda batch, epoch: merge_batch(batch, epoch, keys, order, path, buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: Marks that are kept: a repeated batch needs the one before it, a reader the one it has just read.
+KEPT_MARKS = 3
+
+
+def merge_batch(batch: DataFrame, epoch: int, keys: list[str], order: list[str], path: str, buckets: int = 64) -> None:
+    """Merge a micro-batch into the state under ``path``.
 
     Each batch writes to a folder of its own, then a mark that names the folder
     of every bucket.  A batch that is repeated starts from the mark of the batch
-    before it and leaves the folders of its first attempt alone.
+    before it and leaves the folders of its first attempt alone.  Marks older
+    than the last ``KEPT_MARKS`` go, and with them the folders that only they name,
+    so neither files nor the time of a batch grow with the number of batches.
     """
     from attestor.operators.sampling import last_wins
 
-    schema = stream.schema
-
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark, at = batch.sparkSession, _marks(batch.sparkSession, path, epoch)
-        tagged = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in tagged.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-        old = [at[str(b)] for b in touched if str(b) in at]
-        state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
-        new = f"{path}/v{epoch}-{uuid.uuid4().hex}"
-        merged = last_wins(state.unionByName(batch), keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-        merged.write.partitionBy("_bucket").parquet(new)
-        at |= {str(b): f"{new}/_bucket={b}" for b in touched}
-        mark = json.dumps({"epoch": epoch, "buckets": at})
-        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/marks/{epoch:012d}-{uuid.uuid4().hex}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    schema = batch.schema
+    spark, at = batch.sparkSession, _marks(batch.sparkSession, path, epoch)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    tagged = batch.withColumn("_bucket", bucket)
+    touched = [r[0] for r in tagged.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+    old = [at[str(b)] for b in touched if str(b) in at]
+    state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+    new = f"{path}/v{epoch}-{uuid.uuid4().hex}"
+    merged = last_wins(state.unionByName(batch), keys, order).withColumn("_bucket", bucket)
+    merged.write.partitionBy("_bucket").parquet(new)
+    at |= {str(b): f"{new}/_bucket={b}" for b in touched}
+    mark = json.dumps({"epoch": epoch, "buckets": at})
+    spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/marks/{epoch:012d}-{uuid.uuid4().hex}")
+    _trimmed(spark, path)
+
+
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
+def _trimmed(spark: SparkSession, path: str) -> None:
+    """Delete old marks and the folders that none of the others names."""
+    marks = _listed(spark, f"{path}/marks")
+    if len(marks) <= 2 * KEPT_MARKS:  # now and then is enough
+        return
+    keep = marks[-KEPT_MARKS:]
+    named = {b.removeprefix(path + "/").split("/")[0] for b in _all_buckets(spark, path, keep)}
+    for m in marks[:-KEPT_MARKS]:
+        removed(spark, f"{path}/marks/{m}")
+    newest = max(int(m.split("-")[0]) for m in keep)
+    for folder in _listed(spark, path):
+        if folder.startswith("v") and folder not in named and int(folder[1:].split("-")[0]) < newest:
+            removed(spark, f"{path}/{folder}")
+
+
+def _all_buckets(spark: SparkSession, path: str, marks: list[str]) -> list[str]:
+    rows = spark.read.text([f"{path}/marks/{m}" for m in marks]).select(F.from_json("value", "epoch long, buckets map<string,string>").alias("m"))
+    return [x for r in rows.collect() for x in r.m.buckets.values()]  # at most KEPT_MARKS x buckets names
 
 
 def _marks(spark: SparkSession, path: str, before: int | None = None) -> dict[str, str]:
     """The folder of each bucket by the last whole mark, or the last one of a batch before ``before``."""
-    if not exists(spark, f"{path}/marks"):
+    marks = [m for m in _listed(spark, f"{path}/marks") if before is None or int(m.split("-")[0]) < before]
+    if not marks:
         return {}
-    rows = spark.read.text(f"{path}/marks/*").select(F.from_json("value", "epoch long, buckets map<string,string>").alias("m"), F.col("_metadata.file_modification_time").alias("t"))
-    rows = rows if before is None else rows.where(F.col("m.epoch") < before)
-    last = rows.orderBy(F.desc("m.epoch"), F.desc("t")).select("m.buckets").first()
-    return dict(last[0]) if last else {}
+    last = marks[-1].split("-")[0]  # a repeated batch leaves several marks, of which the latest counts
+    rows = spark.read.text([f"{path}/marks/{m}" for m in marks if m.split("-")[0] == last]).select(F.from_json("value", "epoch long, buckets map<string,string>").alias("m"), F.col("_metadata.file_modification_time").alias("t"))
+    found = rows.orderBy(F.desc("t")).select("m.buckets").first()
+    return dict(found[0]) if found else {}
 
 
 def current(spark: SparkSession, path: str, schema) -> DataFrame:
