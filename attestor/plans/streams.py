@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.plans.registry import query
-from attestor.streaming import incremental
+from attestor.session import scratch
+from attestor.streaming import incremental, live
 
 
 @query("tumbling_event_counts", """
@@ -45,3 +46,44 @@ def retry_ladder(t):
     d = last_wins(e, ["user_id"], ["ts", "event_id"]).join(e.groupBy("user_id").agg((F.count("*") % 3).cast("int").alias("c")), "user_id")
     d = d.select(F.when(F.col("event_type") == "click", "ok").otherwise("failed").alias("status"), F.get(F.lit(incremental.LADDER), "c").alias("attempt"))
     return d.groupBy(incremental.next_attempt("status", "attempt").alias("next_attempt")).agg(F.count("*").alias("n"))
+
+
+def _in_batches(t, d, schema: str, name: str, cuts: int = 3):
+    """The rows as a stream of micro-batches in order of ts, each a file written after the one before."""
+    path = scratch(d.sparkSession, name)
+    ends = d.agg(F.percentile_approx("ts", [k / cuts for k in range(1, cuts)]).alias("q")).first().q or []
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = d if low is None else d.where(F.col("ts") > F.lit(low))
+        (part if high is None else part.where(F.col("ts") <= F.lit(high))).coalesce(1).write.mode("append").parquet(path)
+    return d.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _final(stream, key: str, schema: str, name: str):
+    """The last row of each key when all micro-batches are worked off."""
+    spark = stream.sparkSession
+    state = scratch(spark, name)
+    live.run_to_end(stream, [key], state, scratch(spark, f"{name}-checkpoint"))
+    return incremental.current(spark, state, schema + ", _epoch long")
+
+
+@query("live_progress", """
+WITH k AS (SELECT user_id, CAST(props->>'$.k' AS DOUBLE) AS e, row_number() OVER (PARTITION BY user_id ORDER BY ts, CAST(props->>'$.k' AS DOUBLE)) AS i FROM events),
+n AS (SELECT *, lead(e) OVER (PARTITION BY user_id ORDER BY i) AS next FROM k)
+SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS samples, sum(e) FILTER (WHERE next IS NULL OR next < e) AS elapsed, count(*) FILTER (WHERE next < e) AS restarts, max(e) AS peak FROM n GROUP BY 1""")
+def live_progress(t):
+    """Progress of each user's clock, which goes back at restarts, as state of a stream."""
+    d = t("events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.from_json("props", "k double")["k"].alias("elapsed"))
+    stream = _in_batches(t, d, "run string, ts timestamp, elapsed double", "clocks")
+    return _final(live.progress(stream), "run", live.PROGRESS, "progress").select("run", "samples", "elapsed", "restarts", "peak")
+
+
+@query("live_retries", """
+WITH e AS (SELECT user_id, event_type = 'click' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, CASE WHEN event_type = 'click' THEN 'ok' ELSE 'x' END) AS i FROM events),
+u AS (SELECT user_id, count(*) AS n, min(i) FILTER (WHERE ok) AS p FROM e GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS item, least(n, coalesce(p, 3), 3) AS attempts, CASE WHEN p <= 3 OR n >= 3 THEN NULL WHEN n = 1 THEN 'format' ELSE 'code' END AS attempt, CASE WHEN p <= 3 THEN 'ok' WHEN n >= 3 THEN 'exhausted' ELSE 'pending' END AS status FROM u""")
+def live_retries(t):
+    """Each user's events as outcomes of attempts, as state of a stream; nothing times out."""
+    status = F.when(F.col("event_type") == "click", "ok").otherwise("x")
+    d = t("events").select(F.col("user_id").cast("string").alias("item"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
+    stream = _in_batches(t, d, "item string, ts timestamp, status string", "outcomes")
+    return _final(live.retries(stream, "10000 days"), "item", live.RETRIES, "retries").select("item", "attempts", "attempt", "status")
