@@ -105,10 +105,9 @@ def direction_clusters(df: DataFrame, group: str, order: str, vector: str, clust
 
 
 def listwise_loss(logits, positive, valid) -> Column:
-    """Minus the log of the probability mass on the positive places; null without one."""
-    p = F.zip_with(log_softmax(logits, valid), F.zip_with(col(positive), col(valid), lambda y, m: y & m), lambda x, y: F.when(y, F.exp(x)).otherwise(0.0))
-    mass = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
-    return bound(mass, lambda m: F.when(m > 0, -F.log(m)))
+    """Cross entropy to the uniform distribution over the positive places: minus the mean of their log-softmax; null without one."""
+    p = F.zip_with(log_softmax(logits, valid), F.zip_with(col(positive), col(valid), lambda y, m: y & m), lambda x, y: F.when(y, x))
+    return bound(F.array_compact(p), lambda x: F.when(F.size(x) > 0, -F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x)))
 
 
 def symmetric_kl(left, right, valid) -> Column:

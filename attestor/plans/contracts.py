@@ -456,7 +456,7 @@ def json_ids(t):
 @query("listwise_losses", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), x AS (SELECT vec_id, unnest(v) AS a, unnest(list_reverse(v)) AS b, generate_subscripts(v, 1) - 1 AS i FROM e),
 y AS (SELECT *, i % 3 <> 2 AS ok FROM x), z AS (SELECT vec_id, ln(sum(exp(a)) FILTER (WHERE ok)) AS la, ln(sum(exp(b)) FILTER (WHERE ok)) AS lb FROM y GROUP BY 1)
-SELECT y.vec_id AS vec_id, round(-ln(sum(exp(a - la)) FILTER (WHERE ok AND i % 4 = 0)), 6) AS loss, round(sum((exp(a - la) - exp(b - lb)) * ((a - la) - (b - lb))) FILTER (WHERE ok) / 2, 6) AS divergence FROM y JOIN z ON y.vec_id = z.vec_id GROUP BY 1""")
+SELECT y.vec_id AS vec_id, round(-avg(a - la) FILTER (WHERE ok AND i % 4 = 0), 6) AS loss, round(sum((exp(a - la) - exp(b - lb)) * ((a - la) - (b - lb))) FILTER (WHERE ok) / 2, 6) AS divergence FROM y JOIN z ON y.vec_id = z.vec_id GROUP BY 1""")
 def listwise_losses(t):
     n = F.sequence(F.lit(0), F.size("embedding") - 1)
     d = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"), F.reverse(F.col("embedding").cast("array<double>")).alias("b"), F.transform(n, lambda i: i % 3 != 2).alias("ok"), F.transform(n, lambda i: i % 4 == 0).alias("y"))

@@ -188,6 +188,10 @@ def test_kmeans_and_losses(spark):
     r = row.select(models.listwise_loss("a", "y", "m").alias("l"), models.symmetric_kl("a", "b", "m").alias("k"), models.symmetric_kl("a", "a", "m").alias("z")).first()
     p = math.e / (1 + math.e)
     assert math.isclose(r.l, -math.log(p)) and math.isclose(r.k, (p - (1 - p)) * 1.0) and r.z == 0
+    several = spark.createDataFrame([([2.0, 1.0, 0.5], [True, False, True], [True, True, True]), ([1.0], [False], [True])], "a array<double>, y array<boolean>, m array<boolean>")
+    found = [r.l for r in several.select(models.listwise_loss("a", "y", "m").alias("l")).collect()]
+    total = math.log(sum(math.exp(x) for x in (2.0, 1.0, 0.5)))
+    assert math.isclose(found[0], total - (2.0 + 0.5) / 2) and found[1] is None  # each positive counts, not their mass together
     shuffled = models.shuffled_features(d.withColumn("owner", F.col("k") % 3), "k", "owner", "v", bucket_rows=1_000)
     assert shuffled.count() == 5
 
