@@ -34,8 +34,9 @@ def agreement(votes: DataFrame, a: str, b: str, image: str | None = None, adjudi
     """
     sets = sets or [[]]
     columns = sorted({c for s in sets for c in s})
-    # one pass over the votes; every grouping starts from these counts, whose shuffle is reused
+    # two aggregates over the votes; every grouping starts from these, whose shuffles are reused
     counts = votes.groupBy(*columns, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("n"), *([F.sum(F.col(adjudicated).cast("int")).alias("adj")] if adjudicated else []))
+    seen = votes.groupBy(*columns, F.col(image).alias("_image")).agg(F.count("*").alias("_n")) if image else None
     out = None
     for s in sets:
         d = counts.groupBy(*s, "_a", "_b").agg(F.sum("n").alias("n"), *([F.sum("adj").alias("adj")] if adjudicated else []))
@@ -45,7 +46,7 @@ def agreement(votes: DataFrame, a: str, b: str, image: str | None = None, adjudi
         chance = left.join(right, [*s, "label"]).groupBy(*s).agg(F.sum(F.col("l") * F.col("r")).alias("c"))
         t = total.join(chance, s, "left") if s else total.crossJoin(chance)
         if image:
-            im = votes.groupBy(*s).agg(F.count_distinct(image).alias("images"))
+            im = seen.groupBy(*s).agg(F.count_distinct("_image").alias("images"))
             t = t.join(im, s) if s else t.crossJoin(im)
         raw, by_chance = F.col("same") / F.col("rows"), F.coalesce("c", F.lit(0)) / (F.col("rows") * F.col("rows"))
         t = t.select(

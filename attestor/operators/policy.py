@@ -80,8 +80,11 @@ def best_static(rows: DataFrame, parent: str, group: str, id_: str, value: str)
 def family_best(rows: DataFrame, families: DataFrame, groups: DataFrame, group: str, family: str, value: str) -> DataFrame:
     """Best value in each family (a table with that column) for each group; a family without a candidate counts 0.
 
-    Families are a few names, so each group meets all of them.
+    The names of the families, a few, travel as one array, which each group's
+    row unfolds; there is no grid to join.
     """
-    grid = groups.select(group).distinct().crossJoin(families.select(family).distinct())
-    best = rows.groupBy(group, family).agg(F.max(value).alias(value))
-    return grid.join(best, [group, family], "left").withColumn(value, F.coalesce(value, F.lit(0)))
+    names = F.broadcast(families.agg(F.array_sort(F.collect_set(family)).alias("_names")))  # one row
+    best = rows.groupBy(group, family).agg(F.max(value).alias("_v")).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(family, "_v"))).alias("_best"))
+    d = groups.select(group).distinct().join(best, group, "left").crossJoin(names)
+    d = d.select(group, F.explode("_names").alias(family), "_best")
+    return d.select(group, family, F.coalesce(F.try_element_at("_best", F.col(family)), F.lit(0)).alias(value))

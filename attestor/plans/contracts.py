@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from attestor.functions import geometry as g
@@ -19,22 +20,39 @@ def _at(df, name: str) -> str:
 
 
 @query("strict_lines", """
-WITH c AS (SELECT c_custkey % 11 AS m, c_custkey AS k FROM customer)
-SELECT CASE m WHEN 0 THEN 'missing=["name"], extra=["surname"]' WHEN 1 THEN 'missing=["name"], extra=[]' WHEN 2 THEN 'record must be an object' WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'value of the wrong type' WHEN 5 THEN 'record must be an object' ELSE 'sound' END AS problem,
-count(*) AS n, sum(k) FILTER (WHERE m > 5) AS keys FROM c GROUP BY 1""")
+WITH c AS (SELECT c_nationkey AS f, c_custkey AS k, c_custkey % 11 AS m, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS i, coalesce(sum(CASE WHEN c_custkey % 11 = 6 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS blanks FROM customer)
+SELECT f AS file, CASE m WHEN 0 THEN 'missing=["name"], extra=["surname"]' WHEN 1 THEN 'missing=["name"], extra=[]' WHEN 2 THEN 'record must be an object' WHEN 3 THEN 'invalid JSON' WHEN 4 THEN 'value of the wrong type' WHEN 5 THEN 'record must be an object' ELSE 'sound' END AS problem,
+count(*) AS n, CAST(sum(i + blanks) AS BIGINT) AS lines, CAST(max(i + blanks) AS BIGINT) AS last_line FROM c GROUP BY 1, 2""")
 def strict_lines(t):
-    """Customers as JSON lines, some of them broken in several ways, read strictly; blank lines are passed over."""
+    """Customers as JSON lines, a file for each nation, some of them broken in several ways, read strictly; blank lines count in line numbers and are passed over."""
     c = t("customer")
     whole = F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
     m = F.col("c_custkey") % 11
     line = F.when(m == 0, F.to_json(F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("surname")))).when(m == 1, F.to_json(F.struct(F.col("c_custkey").alias("id"))))
     line = line.when(m == 2, "[1, 2]").when(m == 3, "no json").when(m == 4, F.to_json(F.struct(F.lit("x").alias("id"), F.col("c_name").alias("name")))).when(m == 5, "17").otherwise(whole)
     path = _at(c, "lines")
-    c.select(F.concat(line, F.when(m == 6, F.lit("\n   ")).otherwise("")).alias("value")).write.text(path)
-    rows, problems = io.strict_jsonl(c.sparkSession, path, "id long, name string")
-    good = io.clean(rows.join(problems.select(F.col("line").alias("_source_line")).where("false"), "_source_line", "left_anti")).where("id IS NOT NULL")
-    bad = problems.groupBy("problem").agg(F.count("*").alias("n"), F.lit(None).cast("long").alias("keys"))
-    return bad.unionByName(good.agg(F.lit("sound").alias("problem"), F.count("*").alias("n"), F.sum("id").alias("keys")))
+    rows = c.select("c_nationkey", "c_custkey", F.concat(line, F.when(m == 6, F.lit("\n   ")).otherwise("")).alias("value"))
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").select("c_nationkey", "value").write.partitionBy("c_nationkey").text(path)
+    _, problems = io.strict_jsonl(c.sparkSession, f"{path}/*", "id long, name string")
+    bad = problems.select("file", "problem", "line")
+    good = io.raw_lines(c.sparkSession, f"{path}/*").join(bad, ["file", "line"], "left_anti").select("file", F.lit("sound").alias("problem"), "line")
+    every = bad.unionByName(good).withColumn("file", F.regexp_extract("file", r"c_nationkey=(\d+)", 1).cast("int"))
+    return every.groupBy("file", "problem").agg(F.count("*").alias("n"), F.sum("line").alias("lines"), F.max("line").alias("last_line"))
+
+
+@query("jsonl_lines", """
+SELECT s_suppkey AS k, '{"acctbal":' || s_acctbal || ',"k":' || s_suppkey || ',"name":"' || s_name || '","nation":' || coalesce(CASE WHEN s_nationkey <> 3 THEN CAST(s_nationkey AS VARCHAR) END, 'null') || '}' AS raw, true AS follows FROM supplier""")
+def jsonl_lines(t):
+    """The lines that the sink writes: keys in order, nulls written, rows in the order of their key within and between files."""
+    d = t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.when(F.col("s_nationkey") != 3, F.col("s_nationkey")).alias("nation"), F.col("s_acctbal").alias("acctbal"))
+    path = _at(d, "sorted")
+    io.write_jsonl(d, path, ["k"])
+    lines = io.raw_lines(d.sparkSession, path).withColumn("k", F.get_json_object("raw", "$.k").cast("long"))
+    ends = lines.groupBy("file").agg(F.min("k").alias("low"), F.max("k").alias("high"))  # one row for each file
+    before = F.lag("high").over(Window.orderBy("file"))
+    lines = lines.join(ends.select("file", F.coalesce(before < F.col("low"), F.lit(True)).alias("apart")), "file")
+    here = F.coalesce(F.lag("k").over(Window.partitionBy("file").orderBy("line")) < F.col("k"), F.lit(True))
+    return lines.select("k", "raw", (here & F.col("apart")).alias("follows"))
 
 
 @query("jsonl_round_trip", """
@@ -404,11 +422,12 @@ def phrase_edits(t):
 
 
 @query("parsed_answers", """
-SELECT kind, count(*) AS n FROM (SELECT CASE c_custkey % 7 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'clear' WHEN 2 THEN 'ambiguous' WHEN 3 THEN 'clear' WHEN 4 THEN NULL WHEN 5 THEN NULL ELSE 'clear' END AS kind FROM customer) GROUP BY 1""")
+WITH x AS (SELECT role, trim(lower(text), ' .,:;!*-_' || chr(9) || chr(10) || chr(13)) AS x FROM conversations), f AS (SELECT role, x, list_distinct(regexp_extract_all(x, '\\b(that|this|ce|der)\\b', 1)) AS f FROM x)
+SELECT role, CASE WHEN x = 't' THEN 'that' WHEN x IN ('that', 'this', 'ce', 'der') THEN x WHEN len(f) = 1 THEN f[1] END AS kind, count(*) AS n FROM f GROUP BY 1, 2""")
 def parsed_answers(t):
-    answers = F.lit([" Ambiguous. ", "CLEAR!", "A", "b", "either ambiguous or clear", "no idea", "it is **clear**, yes"])
-    d = t("customer").select(s.binary_label(answers[(F.col("c_custkey") % 7).cast("int")], ["ambiguous", "clear"], {"a": "ambiguous", "b": "clear"}).alias("kind"))
-    return d.groupBy("kind").agg(F.count("*").alias("n"))
+    """The one label that a turn's text is or names, for whole texts in four languages."""
+    d = t("conversations").select("role", s.binary_label("text", ["that", "this", "ce", "der"], {"t": "that"}).alias("kind"))
+    return d.groupBy("role", "kind").agg(F.count("*").alias("n"))
 
 
 @query("same_texts", """
