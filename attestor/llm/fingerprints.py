@@ -6,9 +6,12 @@ window is an anchor depends on nothing outside it, so a passage has the same
 anchors wherever it stands, and of ``k - s`` windows in a row at least one is an
 anchor.  The fingerprint holds all anchors with their positions.  Two texts are
 matched by position: anchors of equal hash are paired one to one in order of
-position, and the likeness is the Jaccard similarity of the texts' anchors, each
-as often as it stands, counted from the pairs.  Pairs of equal shift that
-overlap make up a passage, words that both texts have.
+position; pairs of equal shift at most ``k`` words apart make up a passage, words
+that both texts have.  The likeness is the share of anchors in passages that
+follow each other in both texts: reading the pairs of all passages in the order
+of the first text, those count that lie beyond all before them in the second
+(or, read backwards, before all after them, whichever are more).  So a text
+whose passages were moved about is less like than one that was cut or edited.
 
 Defined results: null text counts as empty; an empty fingerprint is '' and is
 like another empty one to 1.0 and like any other to 0.0; a text of fewer than
@@ -94,20 +97,38 @@ def matches(a: Column, b: Column) -> Column:
     return F.when(F.arrays_overlap(*hashes), found).otherwise(F.array().cast("array<struct<at:int,shift:int>>"))
 
 
-def likeness(a: Column, b: Column, pairs: Column) -> Column:
-    """Paired anchors over all anchors of both texts, a pair counted once."""
-    both = F.size(pairs)
-    either = F.size(a) + F.size(b) - both
-    return F.when(either == 0, 1.0).otherwise(both / either).cast("double")
+def passages(pairs: Column, k: int = K) -> Column:
+    """array<array<struct<shift:int, at:int>>>: pairs of one shift, each at most ``k`` words from the one before."""
+    order = F.sort_array(F.transform(pairs, lambda x: F.struct(x["shift"].alias("shift"), x["at"].alias("at"))))
+    return runs_of(order, lambda x, before: (x["shift"] != before["shift"]) | (x["at"] - before["at"] > k), lambda r: r)
+
+
+def rising(found: Column) -> Column:
+    """How many numbers exceed all before them."""
+    start = F.struct(F.lit(-(1 << 31) + 1).alias("top"), F.lit(0).alias("n"))
+    step = lambda s, x: F.struct(F.greatest(s["top"], x).alias("top"), (s["n"] + (x > s["top"]).cast("int")).alias("n"))
+    return F.aggregate(found, start, step, lambda s: s["n"])
+
 
+def in_order(a: Column, b: Column, found: Column) -> Column:
+    """Pairs that follow each other in both texts, of passages of two pairs or more; a single pair counts where a text has no other anchor."""
+    alone = (F.size(a) == 1) | (F.size(b) == 1)
+    pairs = F.flatten(F.filter(found, lambda r: alone | (F.size(r) > 1)))
+    there = F.transform(F.sort_array(F.transform(pairs, lambda x: F.struct(x["at"].alias("at"), x["shift"].alias("shift")))), lambda x: x["at"] + x["shift"])
+    return let(there, lambda t: F.greatest(rising(t), rising(F.transform(F.reverse(t), lambda x: -x))))
 
-def passage(pairs: Column, text: Column, k: int = K) -> Column:
+
+def likeness(a: Column, b: Column, found: Column) -> Column:
+    """Anchors paired in order over all anchors of both texts, a pair counted once."""
+    return let(in_order(a, b, found), lambda both: F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(both / (F.size(a) + F.size(b) - both)).cast("double"))
+
+
+def passage(found: Column, text: Column, k: int = K) -> Column:
     """Words of the longest passage: a stretch of the first text that pairs of one shift cover without a gap."""
-    order = F.sort_array(F.transform(pairs, lambda x: F.struct(x["shift"].alias("shift"), x["at"].alias("at"))))
-    spans = runs_of(order, lambda x, before: (x["shift"] != before["shift"]) | (x["at"] - before["at"] > k), lambda r: F.element_at(r, -1)["at"] - r[0]["at"])
+    spans = F.transform(found, lambda r: F.element_at(r, -1)["at"] - r[0]["at"])
     # only a text of one anchor can be shorter than k
-    width = F.when(F.size(pairs) == 1, F.least(F.size(words(text)), F.lit(k))).otherwise(k)
-    return F.when(F.size(pairs) == 0, 0).otherwise(F.array_max(spans) + width).cast("long")
+    width = F.when((F.size(found) == 1) & (F.array_max(spans) == 0), F.least(F.size(words(text)), F.lit(k))).otherwise(k)
+    return F.when(F.size(found) == 0, 0).otherwise(F.array_max(spans) + width).cast("long")
 
 
 def place(doc_id: Column, text: Column) -> Column:
@@ -181,7 +202,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = d.select("doc_id", "text", n.cast("long").alias("n_chars"), "next_text", edited.alias("edited"))
     # anchors are made here, not before the rows move: texts are smaller than their anchors
     d = d.withColumns({"fp": anchors(F.col("text")), "next_fp": anchors(F.col("next_text")), "edited_fp": anchors(F.col("edited"))})
-    d = d.withColumns({"with_edited": matches(F.col("fp"), F.col("edited_fp")), "with_next": matches(F.col("fp"), F.col("next_fp"))})
+    d = d.withColumns({"with_edited": passages(matches(F.col("fp"), F.col("edited_fp"))), "with_next": passages(matches(F.col("fp"), F.col("next_fp")))})
     return d.select(
         "doc_id",
         "n_chars",
