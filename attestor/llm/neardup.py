@@ -52,6 +52,8 @@ COORDS, SMALL, DEPTH = 64, 256, 4
 CANDIDATE = 40
 #: Rows and bytes of a block, rows of one of differences, bytes of small groups aimed at for each task, and columns of a dense piece.
 BLOCK, BLOCK_BYTES, EDIT_BLOCK, TASK_BYTES, DENSE = 512, 16 << 20, 256, 1 << 19, 1 << 13
+#: Blocks of a large group that meet all its blocks in one part of their join.
+SPAN_ROWS = 64
 #: Sets of a large group from whose shingles its base is taken.
 SAMPLE = 64
 #: The threshold as numerator and denominator.
@@ -429,14 +431,18 @@ def shared_links(sets: DataFrame) -> DataFrame:
     sets = written(sets, "ordered")
     size = F.octet_length("edits") / 8
     per = written(sets.groupBy("component", "t", "block").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.max(size).alias("size")), "spans")
-    a, b = (per.select("component", "t", *[F.col(x).alias(f"{x}_{s}") for x in ("block", "low", "high", "size")]) for s in "ab")
-    pairs = a.join(b, ["component", "t"]).where(
+    # the blocks of a component meet in parts: each block is on one side in one part, and on the other side in all
+    parts = per.groupBy("component").agg(F.ceil(F.count("*") / SPAN_ROWS).alias("parts"))
+    per = per.join(parts, "component")
+    a, b = (per.select("component", "t", "parts", *[F.col(x).alias(f"{x}_{s}") for x in ("block", "low", "high", "size")]) for s in "ab")
+    a = a.withColumn("part", F.pmod(F.xxhash64("block_a", "t"), F.col("parts"))).drop("parts")
+    b = b.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    pairs = a.join(b, ["component", "t", "part"]).where(
         (F.col("block_a") <= F.col("block_b")) & (F.col("high_a") + F.col("high_b") > F.col("t")) & (F.col("low_a") + F.col("low_b") - F.col("t") <= (P + Q) * F.least("size_a", "size_b"))
     )
-    task = F.xxhash64("component", "block_a", "block_b").alias("task")
     both = F.when(F.col("block_a") == F.col("block_b"), F.array(F.struct(F.col("block_a").alias("block"), F.lit(3).alias("side"))))
     both = both.otherwise(F.array(F.struct(F.col("block_a").alias("block"), F.lit(1).alias("side")), F.struct(F.col("block_b").alias("block"), F.lit(2).alias("side"))))
-    tasks = written(pairs.select("component", task, F.inline(both)), "tasks")
+    tasks = written(pairs.select("component", "block_a", "block_b", F.inline(both)), "tasks")
 
     def run(table: pa.Table) -> pa.Table:
         keys, side, c, t = table["key"].to_pylist(), table["side"].to_numpy(), table["c"].to_numpy(), table["t"].to_numpy()
@@ -451,8 +457,8 @@ def shared_links(sets: DataFrame) -> DataFrame:
         give_back()
         return link_table(out)
 
-    d = sets.join(tasks, ["component", "block"]).select("task", "side", "key", "c", "t", "edits")
-    return d.groupBy("task").applyInArrow(run, "key binary, n long, other binary")
+    d = sets.join(tasks, ["component", "block"]).select("component", "block_a", "block_b", "side", "key", "c", "t", "edits")
+    return d.groupBy("component", "block_a", "block_b").applyInArrow(run, "key binary, n long, other binary")
 
 
 def links(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
