@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -62,3 +63,43 @@ def test_sums_equal_a_loop(spark):
         x = bias + sum(weights[h].astype(float).sum(0) / max(1, sizes[0] - n + 1) for n, h in zip(language.ORDERS, hashed))
         want = language.softmax(x).max() if n_letters[0] else 0
         assert abs(got[r[0]] - want) < 1e-6
+
+
+def test_ftrl_against_a_plain_loop():
+    """Follow-the-regularised-leader, one coordinate at a time, from the closed form of its minimum."""
+    draw = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        at = np.append(np.sort(draw.choice(12, size=4, replace=False)), 12)
+        rows.append((at, np.append(draw.random(4), 1.0), k % 3))
+    for l1, l2 in language.PENALTIES:
+        w = {}
+        z, n = {}, {}
+        for _ in range(language.EPOCHS):
+            for at, value, y in rows:
+                for i in at.tolist():
+                    for c in range(3):
+                        zi, ni = z.get((i, c), 0.0), n.get((i, c), 0.0)
+                        # argmin of z w + |w| l1 + w^2 ((beta + sqrt n) / alpha + l2) / 2
+                        w[i, c] = 0.0 if abs(zi) <= l1 else -(zi - math.copysign(l1, zi)) / ((language.BETA + math.sqrt(ni)) / language.ALPHA + l2)
+                s = [sum(v * w[i, c] for i, v in zip(at.tolist(), value.tolist())) for c in range(3)]
+                e = [math.exp(x - max(s)) for x in s]
+                for i, v in zip(at.tolist(), value.tolist()):
+                    for c in range(3):
+                        g = v * (e[c] / sum(e) - (c == y))
+                        ni = n.get((i, c), 0.0)
+                        z[i, c] = z.get((i, c), 0.0) + g - (math.sqrt(ni + g * g) - math.sqrt(ni)) / language.ALPHA * w[i, c]
+                        n[i, c] = ni + g * g
+        found = language.ftrl(rows, 3, 12, l1, l2)
+        assert all(math.isclose(found[i, c], x, abs_tol=1e-9) for (i, c), x in w.items())
+
+
+def test_temperature_is_the_likeliest_of_its_grid():
+    draw = np.random.default_rng(4)
+    logits = draw.standard_normal((200, 3)) * 5
+    y = (logits + draw.gumbel(size=(200, 3)) * 3).argmax(1)  # a temperature of about 3
+
+    def loss(t):
+        return -sum(math.log(math.exp(r[k] / t) / sum(math.exp(v / t) for v in r) + 1e-12) for r, k in zip(logits.tolist(), y.tolist()))
+    t = language.temperature(logits, y)
+    assert 2 < t < 4.5 and loss(t) <= min(loss(t * f) for f in (0.8, 0.95, 1.05, 1.25)) + 1e-9
