@@ -184,7 +184,7 @@ def forbidden_keys(t):
 
 @query("forbidden_json_keys", """
 WITH j AS (SELECT '{"a": [1, ' || props || ', [{"' || event_type || '": {"b": ' || props || '}}]], "t": "\\"k\\": {"}' AS j FROM events)
-SELECT DISTINCT 'record' || regexp_replace(substr(x.fullkey, 2), '\[\d+\]', '[]', 'g') AS key FROM j, json_tree(j.j) AS x WHERE contains(lower(CAST(x.key AS VARCHAR)), 'k')""")
+SELECT DISTINCT 'record' || regexp_replace(substr(x.fullkey, 2), '\\[\\d+\\]', '[]', 'g') AS key FROM j, json_tree(j.j) AS x WHERE contains(lower(CAST(x.key AS VARCHAR)), 'k')""")
 def forbidden_json_keys(t):
     """Names within JSON texts of any shape, with their paths."""
     j = F.concat(F.lit('{"a": [1, '), "props", F.lit(', [{"'), "event_type", F.lit('": {"b": '), "props", F.lit('}}]], "t": "\\"k\\": {"}'))
