@@ -25,11 +25,14 @@ def one_per_group(df: DataFrame, group: str, parts: list[str], seed, n: int | No
 
 
 def first_n(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
-    """The first n rows of each group; the query fails if a group has fewer."""
-    w = Window.partitionBy(group)
-    d = ranked(df, [group], [F.col(c) for c in order]).withColumn("_n", F.count("*").over(w))
+    """The first n rows of each group; the query fails if a group has fewer.
+
+    Rows beyond the nth are dropped before the shuffle; what is left is counted.
+    """
+    d = ranked(df, [group], [F.col(c) for c in order]).where(F.col("rn") <= n)
+    d = d.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
     short = F.raise_error(F.concat(F.lit("too few rows in "), F.col(group).cast("string"))).cast("boolean")
-    return d.where(F.when(F.col("_n") >= n, F.col("rn") <= n).otherwise(short)).drop("_n", "rn")
+    return d.where(F.when(F.col("_n") >= n, F.lit(True)).otherwise(short)).drop("_n", "rn")
 
 
 def top_k_by_priority(df: DataFrame, group: str, key: list[str], priority: list[str], k: int) -> DataFrame:
@@ -56,17 +59,20 @@ def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
 
 def round_robin(df: DataFrame, bin_: str, order: list[Column], n: int) -> DataFrame:
     """Draw from the bins in turn until n rows are taken; exhausted bins are passed over."""
-    return ranked(df, [bin_], order).orderBy("rn", bin_).limit(n)
+    return ranked(df, [bin_], order).where(F.col("rn") <= n).orderBy("rn", bin_).limit(n)  # no bin gives more than n
 
 
 def fixed_per_stratum(df: DataFrame, stratum: Column, sizes: dict[str, int], order: list[Column]) -> DataFrame:
-    """Exactly so many rows of each stratum; the query fails if one is short."""
+    """Exactly so many rows of each stratum; the query fails if one is short, also if it has no row at all."""
     want = F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv])
     d = df.withColumn("stratum", stratum).where(F.col("stratum").isin(*sizes))
-    d = ranked(d, ["stratum"], order).withColumn("_n", F.count("*").over(Window.partitionBy("stratum")))
-    w = F.element_at(want, F.col("stratum"))
-    short = F.raise_error(F.concat(F.lit("too few rows in stratum "), F.col("stratum"))).cast("boolean")
-    return d.where(F.when(F.col("_n") >= w, F.col("rn") <= w).otherwise(short)).drop("_n")
+    d = ranked(d, ["stratum"], order).where(F.col("rn") <= max(sizes.values()))  # drops rows before the shuffle
+    d = d.where(F.col("rn") <= F.element_at(want, F.col("stratum")))
+    named = df.sparkSession.createDataFrame([(k, n) for k, n in sizes.items()], "_s string, _w int")
+    found = named.join(d.groupBy("stratum").agg(F.count("*").alias("_n")), F.col("_s") == F.col("stratum"), "left")
+    short = F.raise_error(F.concat(F.lit("too few rows in stratum "), F.col("_s"))).cast("boolean")
+    whole = found.where(F.when(F.coalesce("_n", F.lit(0)) >= F.col("_w"), F.lit(True)).otherwise(short)).select("_s")
+    return d.join(F.broadcast(whole), F.col("stratum") == F.col("_s")).drop("_s")  # one row for each name given
 
 
 def offsets(df: DataFrame, group: str, order: list[str], size: str) -> DataFrame:

@@ -57,3 +57,12 @@ def test_picks_against_one_after_another(spark, seed):
     df = spark.createDataFrame(rows, "c string, w int, k int")
     assert [tuple(r) for r in sampling.unique_picks(df, "c", "w", [F.desc("k")], 4, names).collect()] == expected
     assert sampling.unique_picks(df.where("false"), "c", "w", [F.desc("k")], 4, names).count() == 0
+
+
+def test_strata_that_are_short_or_absent(spark):
+    df = spark.createDataFrame([("a", k) for k in range(5)] + [("b", 9)], "s string, k int")
+    pick = lambda sizes: sorted((r.s, r.k) for r in sampling.fixed_per_stratum(df, F.col("s"), sizes, [F.desc("k")]).collect())
+    assert pick({"a": 2, "b": 1}) == [("a", 3), ("a", 4), ("b", 9)]
+    for sizes in ({"a": 2, "b": 2}, {"a": 1, "gone": 1}):
+        with pytest.raises(Exception, match="too few rows in stratum"):
+            pick(sizes)
