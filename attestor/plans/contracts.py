@@ -192,16 +192,16 @@ def forbidden_json_keys(t):
 
 
 @query("exactly_once", """
-SELECT CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS key, CAST(coalesce(n, 0) AS VARCHAR) AS detail FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 8 = 0 GROUP BY 1) ON o_custkey = c_custkey WHERE n IS NULL OR n <> 1 OR c_custkey IS NULL""")
+SELECT CAST(coalesce(c_custkey, o_custkey) AS VARCHAR) AS key, CAST(coalesce(n, 0) AS VARCHAR) AS detail FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE n IS NULL OR n <> 1 OR c_custkey IS NULL""")
 def exactly_once(t):
-    d = t("orders").where("o_orderkey % 8 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    d = t("orders").select(F.col("o_custkey").alias("c_custkey"))
     return rules.exactly_once(d, t("customer"), "orders", "c_custkey").select("key", "detail")
 
 
 @query("same_parent", """
-SELECT CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS key, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey % 5 <> c_nationkey % 5 AND l_linenumber < 3 GROUP BY 1""")
+SELECT CAST(l_orderkey AS VARCHAR) || ':' || l_linenumber AS key, count(*) AS n FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE s_nationkey % 5 <> c_nationkey % 5 GROUP BY 1""")
 def same_parent(t):
-    d = t("lineitem").where("l_linenumber < 3").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    d = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
     d = d.select("l_orderkey", "l_linenumber", (F.col("s_nationkey") % 5).alias("a"), (F.col("c_nationkey") % 5).alias("b"))
     return rules.same_parent(d, "lineitem", ["l_orderkey", "l_linenumber"], "a", "b").groupBy("key").agg(F.count("*").alias("n"))
 
@@ -348,17 +348,16 @@ def suppressed_boxes(t):
 
 
 @query("closest_unions", """
-WITH d AS (SELECT p_size AS img, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) - 1 AS INTEGER) AS ord, CAST(p_partkey % 60 AS INTEGER) AS x, CAST(p_partkey % 43 AS INTEGER) AS y, round(p_retailprice / 3000, 6) AS score FROM part),
-e AS (SELECT * FROM d WHERE ord < 9), p AS (SELECT a.img AS img, a.ord AS i, b.ord AS j, least(a.x, b.x) AS x1, least(a.y, b.y) AS y1, greatest(a.x, b.x) + 12 AS x2, greatest(a.y, b.y) + 9 AS y2, least(a.score, b.score) AS score,
+WITH d AS (SELECT p_partkey // 9 AS img, CAST(p_partkey % 9 AS INTEGER) AS ord, CAST(p_partkey % 60 AS INTEGER) AS x, CAST(p_partkey % 43 AS INTEGER) AS y, round(p_retailprice / 3000, 6) AS score FROM part),
+e AS (SELECT * FROM d), p AS (SELECT a.img AS img, a.ord AS i, b.ord AS j, least(a.x, b.x) AS x1, least(a.y, b.y) AS y1, greatest(a.x, b.x) + 12 AS x2, greatest(a.y, b.y) + 9 AS y2, least(a.score, b.score) AS score,
 sqrt(pow((2 * a.x - 2 * b.x) / 2.0 / 80, 2) + pow((2 * a.y - 2 * b.y) / 2.0 / 60, 2)) AS dist FROM e a JOIN e b ON a.img = b.img AND a.ord < b.ord),
 q AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY dist, -score, i, j) AS rn FROM p WHERE (x2 - x1) * (y2 - y1) < 0.85 * 80 * 60)
 SELECT img, i, j, x1, y1, x2, y2, score FROM q WHERE rn <= 2""")
 def closest_unions(t):
-    """The two closest pairs of detections of each image, after those whose union is nearly the whole image are left out."""
+    """The two closest pairs of detections of each image, nine parts each, after those whose union is nearly the whole image are left out."""
     k = F.col("p_partkey")
-    d = sampling.ranked(t("part"), ["p_size"], [k]).where("rn <= 9")
     x, y = (k % 60).cast("int"), (k % 43).cast("int")
-    d = d.select(F.col("p_size").alias("img"), (F.col("rn") - 1).cast("int").alias("ord"), F.array(x, y, x + 12, y + 9).alias("box"), F.round(F.col("p_retailprice") / 3000, 6).alias("score"))
+    d = t("part").select(F.floor(k / 9).alias("img"), (k % 9).cast("int").alias("ord"), F.array(x, y, x + 12, y + 9).alias("box"), F.round(F.col("p_retailprice") / 3000, 6).alias("score"))
     images = d.select("img").distinct().select("img", F.lit(80).alias("width"), F.lit(60).alias("height"))
     v = views.evidence_views(images, d, "img").where("view_family = 'relation_union'")
     b, n = F.get("boxes", F.lit(0)), F.col("grounding_indices")
@@ -483,10 +482,10 @@ def listwise_losses(t):
 
 
 @query("built_contexts", """
-WITH k AS (SELECT item_id, unnest(['sparse', 'enriched', 'paraphrase', 'saturated']) AS kind, unnest([NULL, 'sparse', 'enriched', 'enriched']) AS ref, unnest([substr(text, 1, 10), substr(text, 1, 20), reverse(substr(text, 1, 20)), text]) AS caption FROM benchmark)
+WITH k AS (SELECT item_id, unnest(['sparse', 'enriched', 'paraphrase', 'saturated']) AS kind, unnest([NULL, 'sparse', 'enriched', 'enriched']) AS ref, unnest([lower(text), text || ' And more.', reverse(text), text]) AS caption FROM benchmark)
 SELECT 'ctx_' || substr(sha256(item_id || chr(31) || kind), 1, 16) AS context_id, kind AS context_kind, caption AS initial_caption, CASE WHEN ref IS NOT NULL THEN 'ctx_' || substr(sha256(item_id || chr(31) || ref), 1, 16) END AS reference_context_id FROM k""")
 def built_contexts(t):
-    d = t("benchmark").select("item_id", F.substring("text", 1, 10).alias("a"), F.substring("text", 1, 20).alias("b"), F.reverse(F.substring("text", 1, 20)).alias("c"), F.col("text").alias("d"))
+    d = t("benchmark").select("item_id", F.lower("text").alias("a"), F.concat("text", F.lit(" And more.")).alias("b"), F.reverse("text").alias("c"), F.col("text").alias("d"))
     return views.constructed_contexts(d, "item_id", "a", "b", "c", "d").drop("item_id")
 
 

@@ -232,9 +232,12 @@ def interaction_features(t):
 
 
 @query("symmetric_margin", """
-SELECT vec_id, round((CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE)) / 2, 6) AS margin, CASE WHEN (CAST(embedding[1] AS DOUBLE) - CAST(embedding[2] AS DOUBLE)) / 2 >= 0 THEN 'ambiguous' ELSE 'unambiguous' END AS label FROM embeddings""")
+WITH x AS (SELECT vec_id, (list_sum(list_transform(embedding[1:32], lambda y: y::DOUBLE)) - list_sum(list_transform(embedding[33:64], lambda y: y::DOUBLE))) / 2 AS m FROM embeddings)
+SELECT vec_id, round(m, 6) AS margin, CASE WHEN m >= 0 THEN 'ambiguous' ELSE 'unambiguous' END AS label FROM x""")
 def symmetric_margin(t):
-    m = v.symmetric_margin(F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double"))
+    """Margins of both halves of each vector as those of two code orders."""
+    half = lambda k: F.aggregate(F.slice("embedding", k, 32), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    m = v.symmetric_margin(half(1), half(33))
     return t("embeddings").select("vec_id", F.round(m, 6).alias("margin"), F.when(m >= 0, "ambiguous").otherwise("unambiguous").alias("label"))
 
 
