@@ -9,18 +9,18 @@ from attestor.functions.geometry import center_score
 from attestor.functions.numeric import col, ratio
 
 
-def action_metrics(fact_count="fact_count") -> dict[str, Column]:
-    """Nine figures of an action from its label columns; a rate without a denominator is null."""
-    new, bad, again = F.size("new_supported_fact_ids"), F.size("contradicted_claim_ids"), F.size("repeated_fact_ids")
+def action_metrics(fact_count="fact_count", size=F.size) -> dict[str, Column]:
+    """Nine figures of an action from its label columns, lists or, with ``size=F.col``, their sizes; a rate without a denominator is null."""
+    new, bad, again = size("new_supported_fact_ids"), size("contradicted_claim_ids"), size("repeated_fact_ids")
     return {
         "delta_coverage": ratio(new, fact_count),
         "new_correct_count": new.cast("double"),
-        "uncovered_fact_recall": ratio(new, F.size("eligible_missing_fact_ids")),
+        "uncovered_fact_recall": ratio(new, size("eligible_missing_fact_ids")),
         "invalid_claim_count": bad.cast("double"),
         "invalid_claim_rate": ratio(bad, new + bad),
         "repeat_count": again.cast("double"),
         "repeat_rate": ratio(again, new + again),
-        "unknown_claim_count": F.size("unknown_claim_ids").cast("double"),
+        "unknown_claim_count": size("unknown_claim_ids").cast("double"),
         "pixel_cost": F.col("pixel_cost").cast("double"),
     }
 
@@ -28,18 +28,19 @@ def action_metrics(fact_count="fact_count") -> dict[str, Column]:
 METRICS = ["delta_coverage", "new_correct_count", "uncovered_fact_recall", "invalid_claim_count", "invalid_claim_rate", "repeat_count", "repeat_rate", "unknown_claim_count", "pixel_cost"]
 
 
-def _place(id_, *keys) -> Column:
+def place(id_, *keys) -> Column:
+    """What candidates are ordered by: the keys, then the id."""
     return F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(keys)], col(id_).alias("id"))
 
 
 def largest_id_wins(id_, *keys) -> Column:
     """Aggregate: id of the greatest keys; of equals the largest id."""
-    return F.max_by(col(id_), _place(id_, *keys))
+    return F.max_by(col(id_), place(id_, *keys))
 
 
 def smallest_id_wins(id_, *keys) -> Column:
     """Aggregate: id of the least keys; of equals the smallest id."""
-    return F.min_by(col(id_), _place(id_, *keys))
+    return F.min_by(col(id_), place(id_, *keys))
 
 
 def first_wins(id_, score, order) -> Column:
@@ -64,9 +65,9 @@ def chosen(rows: DataFrame, group: list[str], id_: str, policies: dict | None =
     return d.unpivot(group, list(policies), "method", id_)
 
 
-def expected_random(rows: DataFrame, group: list[str]) -> DataFrame:
-    """Mean figures of a random choice; rates are ratios of means, not means of ratios."""
-    d = rows.groupBy(*group).agg(*[F.avg(m).alias(m) for m in METRICS])
+def expected_random(rows: DataFrame, group: list[str], *more: Column) -> DataFrame:
+    """Mean figures of a random choice, and ``more`` aggregates; rates are ratios of means, not means of ratios."""
+    d = rows.groupBy(*group).agg(*[F.avg(m).alias(m) for m in METRICS], *more)
     n, bad, again = F.col("new_correct_count"), F.col("invalid_claim_count"), F.col("repeat_count")
     return d.withColumns({"invalid_claim_rate": ratio(bad, n + bad), "repeat_rate": ratio(again, n + again)})
 
