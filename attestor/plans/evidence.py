@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions import hashing as h
 from attestor.operators import attribution, bundle, derive, models, views
 from attestor.plans.registry import query
+from attestor.session import stored
 from attestor.sources import images
 
 #: Customers are images, their early orders contexts, the others candidates that were observed once; line numbers are an image's facts.
@@ -22,10 +23,10 @@ claims AS (SELECT k AS candidate_id, k || '/' || n AS claim_id, CASE WHEN n = 7
 
 
 def evidence(t) -> dict:
-    """The tables that derivation reads."""
+    """The tables that derivation reads; lines meet orders once, in a table on the way."""
     o = t("orders").select(F.col("o_orderkey").cast("string").alias("k"), F.col("o_custkey").cast("string").alias("image_id"), (F.col("o_orderpriority") < "3").alias("early"), F.round("o_totalprice").cast("int").alias("cost"), F.col("o_orderstatus").alias("kind"))
-    lines = t("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.min("l_discount").alias("discount"), F.count("*").alias("rows"))
-    ol = o.join(lines, "k").withColumn("fact_id", F.concat_ws("-", "image_id", "n"))
+    lines = t("lineitem").select(F.col("l_orderkey").cast("string").alias("k"), F.col("l_linenumber").alias("n"), "l_returnflag", "l_linestatus", "l_discount").repartition("k").groupBy("k", "n").agg(F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"), F.min("l_discount").alias("discount"), F.count("*").alias("rows"))
+    ol = stored(o.select("k", "image_id", "early").join(lines, "k"), "order_lines").withColumn("fact_id", F.concat_ws("-", "image_id", "n"))
     votes = F.array("flag", "status")
     final = F.when(F.col("rows") > 1, "settled")
     late, early = ol.where(~F.col("early")), ol.where("early")
