@@ -66,19 +66,23 @@ def hamming_pairs(left: DataFrame, right: DataFrame, id_: str, h: str, most: int
     apart a few thousand hashes; so up to ``2^bits / 4`` distinct ones meet on
     single bands, and more on pairs.  Distinct hashes are compared, each once,
     however many rows have them; a pair that shares several keys is taken at the
-    first.  Only rows whose hash has a partner are joined back.
+    first, which bits of the difference tell.  A task has some 500,000 keys of
+    each side.  Joins are merged, as sizes after distinct() and filters are
+    guesses.  Only rows whose hash has a partner are joined back.
     """
     same = left is right
     a = left.select(F.col(h).alias("h_l")).distinct()
     b = a.select(F.col("h_l").alias("h_r")) if same else right.select(F.col(h).alias("h_r")).distinct()
-    few = a.count() <= (1 << width // (most + 1)) // 4
+    count = a.count()
+    few = count <= (1 << width // (most + 1)) // 4
     n, parts = (most + 1, [(k,) for k in range(most + 1)]) if few else (most + 2, [(i, j) for i in range(most + 2) for j in range(i + 1, most + 2)])
-    keys = lambda c: bands(c, width, parts, n)
-    d = a.withColumn("b", F.explode(keys("h_l"))).join(b.withColumn("b", F.explode(keys("h_r"))), "b")
-    d = d.withColumn("distance", F.bit_count(F.col("h_l").bitwiseXOR(F.col("h_r")))).where(F.col("distance") <= most)
-    agree = F.zip_with(keys("h_l"), keys("h_r"), lambda x, y: x == y)
-    d = d.where(F.array_position(agree, True) - 1 == F.col("b.k")).select("h_l", "h_r", "distance")
-    d = d.join(left.select(F.col(id_).alias("id_l"), F.col(h).alias("h_l")), "h_l").join(right.select(F.col(id_).alias("id_r"), F.col(h).alias("h_r")), "h_r")
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), count * len(parts) // 500_000)
+    met = lambda d, c: d.select(c, F.inline(bands(c, width, parts, n))).repartition(tasks, "k", "v")
+    d = met(a, "h_l").join(met(b, "h_r").hint("merge"), ["k", "v"]).withColumn("x", F.col("h_l").bitwiseXOR(F.col("h_r")))
+    d = d.withColumn("distance", F.bit_count("x")).where(F.col("distance") <= most)
+    first = F.coalesce(*[F.when(key["v"] == 0, k) for k, key in enumerate(bands("x", width, parts, n)[k] for k in range(len(parts)))])
+    d = d.where(first == F.col("k")).select("h_l", "h_r", "distance")
+    d = d.join(left.select(F.col(id_).alias("id_l"), F.col(h).alias("h_l")).hint("merge"), "h_l").join(right.select(F.col(id_).alias("id_r"), F.col(h).alias("h_r")).hint("merge"), "h_r")
     return (d.where("id_l < id_r") if upper else d).select("id_l", "id_r", "distance")
 
 
