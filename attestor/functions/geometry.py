@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestor.functions.numeric import col
+from attestor.functions.vectors import bound
 
 
 def area(box) -> Column:
@@ -108,7 +109,7 @@ def visibility_group(visible) -> Column:
 
 
 def patches(box, crop: int = 224, side: int = 14) -> Column:
-    """Numbers of the patches of a square grid whose centre lies in a box; if none does, the patch nearest to its centre, moved into the grid."""
+    """Numbers of the patches of a square grid whose centre lies in a box; if none does, the patch nearest to its centre, moved into the grid.  Columns and rows are told apart, and the box is worked out once."""
     b, step = col(box), crop / side
     every = F.sequence(F.lit(0), F.lit(side * side - 1))
 
@@ -121,10 +122,18 @@ def patches(box, crop: int = 224, side: int = 14) -> Column:
     def within(x):
         return F.least(F.greatest(x, F.lit(0.0)), F.lit(float(crop)))
 
-    inside = F.filter(every, lambda p: (cx(p) >= b[0]) & (cx(p) < b[2]) & (cy(p) >= b[1]) & (cy(p) < b[3]))
-    mx, my = within((b[0] + b[2]) / 2.0), within((b[1] + b[3]) / 2.0)
-    nearest = F.array_min(F.transform(every, lambda p: F.struct((F.pow(cx(p) - mx, 2) + F.pow(cy(p) - my, 2)).alias("d"), p.alias("p"))))["p"]
-    return F.when(F.size(inside) > 0, inside).otherwise(F.array(nearest))
+    def along(low, high):
+        return F.filter(F.sequence(F.lit(0), F.lit(side - 1)), lambda k: ((k + 0.5) * step >= low) & ((k + 0.5) * step < high))
+
+    def nearest(m):
+        return F.array_min(F.transform(every, lambda p: F.struct((F.pow(cx(p) - m[0], 2) + F.pow(cy(p) - m[1], 2)).alias("d"), p.alias("p"))))["p"]
+
+    def of(b):
+        inside = bound(along(b[0], b[2]), lambda xs: F.flatten(F.transform(along(b[1], b[3]), lambda y: F.transform(xs, lambda x: y * side + x))))
+        middle = F.array(within((b[0] + b[2]) / 2.0), within((b[1] + b[3]) / 2.0))
+        return bound(inside, lambda i: F.when(F.size(i) > 0, i).otherwise(F.array(bound(middle, nearest))))
+
+    return bound(b, of)
 
 
 def feature_vector(boxes, width, height) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from attestor.functions import geometry as g
 from attestor.functions import hashing as h
 from attestor.functions import strings as s
+from attestor.functions.vectors import bound
 from attestor.operators import joins, metrics, models, rules, sampling, views
 from attestor.plans.registry import query
 from attestor.session import scratch
@@ -460,7 +461,7 @@ def cropped_boxes(t):
     k = F.col("p_partkey")
     d = t("part").select(k.alias("k"), (300 + k % 200).cast("int").alias("w"), (400 - k % 90).cast("int").alias("h"), F.array(*[x.cast("int") for x in (k % 120, F.col("p_size"), k % 120 + 90, F.col("p_size") + 60)]).alias("b"))
     d = d.withColumn("c", g.center_crop("b", "w", "h"))
-    kept = F.size(F.filter(g.patches("c.box"), lambda p: ((p % 14 + 0.5) * 16 >= F.col("c.box")[0]) & ((p % 14 + 0.5) * 16 < F.col("c.box")[2]) & ((F.floor(p / 14) + 0.5) * 16 >= F.col("c.box")[1]) & ((F.floor(p / 14) + 0.5) * 16 < F.col("c.box")[3])))
+    kept = bound(F.col("c.box"), lambda b: F.size(F.filter(g.patches(b), lambda p: ((p % 14 + 0.5) * 16 >= b[0]) & ((p % 14 + 0.5) * 16 < b[2]) & ((F.floor(p / 14) + 0.5) * 16 >= b[1]) & ((F.floor(p / 14) + 0.5) * 16 < b[3]))))
     features = g.feature_vector(F.array("b"), "w", "h")
     return d.select("k", F.round(F.col("c.box")[0], 6).alias("x1"), F.round(F.col("c.box")[3], 6).alias("y2"), F.round("c.visible", 6).alias("visible"), g.visibility_group("c.visible").alias("kind"), kept.cast("long").alias("patches"), F.round(features[4], 9).alias("share"))
 
