@@ -43,13 +43,17 @@ def evidence_views(images: DataFrame, detections: DataFrame, key: str = "image_i
     families = F.array(F.struct(F.lit("grounded_entity").alias("view_family"), F.col("box").alias("b")), F.struct(F.lit("grounded_entity_padded").alias("view_family"), g.padded("box", "width", "height").alias("b")))
     single = d.select(key, "ord", "score", F.inline(families))
     single = single.select(key, F.lit("bbox").alias("kind"), F.array("b").alias("boxes"), "view_family", F.array("ord").alias("grounding_indices"), F.col("score").alias("proposal_score"))
-    left = d.select(key, "width", "height", *[F.col(c).alias("l_" + c) for c in ("ord", "box", "score")])
-    right = d.select(key, *[F.col(c).alias("r_" + c) for c in ("ord", "box", "score")])
-    p = left.join(right, key).where("l_ord < r_ord").withColumn("b", g.union("l_box", "r_box"))
-    p = p.where(g.area("b") < largest * F.col("width") * F.col("height")).withColumn("score", F.least("l_score", "r_score"))
-    order = [g.center_distance("l_box", "r_box", "width", "height"), -F.col("score"), F.col("l_ord"), F.col("r_ord")]
-    p = p.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rn") <= unions)
-    pair = p.select(key, F.lit("bbox").alias("kind"), F.array("b").alias("boxes"), F.lit("relation_union").alias("view_family"), F.array("l_ord", "r_ord").alias("grounding_indices"), F.col("score").alias("proposal_score"))
+    each = detections.groupBy(key).agg(F.collect_list(F.struct("ord", "box", "score")).alias("all")).join(size.hint("merge"), key)  # an image's detections, which are few
+    few = lambda pairs: F.slice(F.array_sort(pairs), 1, unions)
+
+    def paired(x, y):
+        low = F.least(x["score"], y["score"])
+        return F.struct(g.center_distance(x["box"], y["box"], F.col("width"), F.col("height")).alias("d"), (-low).alias("s"), x["ord"].alias("i"), y["ord"].alias("j"), g.union(x["box"], y["box"]).alias("b"), low.alias("score"))
+
+    fits = lambda x, y: (x["ord"] < y["ord"]) & (g.area(g.union(x["box"], y["box"])) < largest * F.col("width") * F.col("height"))
+    closest = few(F.flatten(F.transform("all", lambda x: few(F.transform(F.filter("all", lambda y: fits(x, y)), lambda y: paired(x, y))))))
+    p = each.select(key, F.inline(closest))
+    pair = p.select(key, F.lit("bbox").alias("kind"), F.array("b").alias("boxes"), F.lit("relation_union").alias("view_family"), F.array("i", "j").alias("grounding_indices"), F.col("score").alias("proposal_score"))
     none = F.array().cast("array<int>")
     whole = F.struct(F.lit("bbox").alias("kind"), F.array(F.array(F.lit(0), F.lit(0), F.col("width"), F.col("height"))).alias("boxes"), F.lit("full_image").alias("view_family"))
     stop = F.struct(F.lit("stop").alias("kind"), F.array().cast("array<array<int>>").alias("boxes"), F.lit("stop").alias("view_family"))
@@ -73,25 +77,31 @@ def interventions(captions: DataFrame, boxes: DataFrame, most: int = 4) -> DataF
     exactly one box, and with a control phrase whose box does not overlap its
     own.  Each row has the caption with the target deleted, generalised, and in
     full, with the first control deleted, and the first other caption that
-    does not mention the target.
+    does not mention the target.  Lines and boxes are dealt by image once and
+    merged, whatever the planner takes their size to be: a row holds its image's
+    captions and boxes.
     """
-    p = captions.select("image_id", "caption_index", s.parse_inline("line").alias("p")).select("image_id", "caption_index", "p.text", F.posexplode("p.phrases").alias("k", "ph"))
-    p = p.select("image_id", "caption_index", "text", "k", "ph.*").withColumn("times", F.count("*").over(Window.partitionBy("image_id", "caption_index", "id")))
-    p = p.join(boxes.where(F.size("boxes") == 1).select("image_id", F.col("name").alias("id"), F.col("boxes")[0].alias("box")), ["image_id", "id"])
-    v = p.where((F.col("times") == 1) & ~F.array_contains("types", "notvisual") & (s.word_count("phrase") >= 2))
-    controls = v.select("image_id", "caption_index", *[F.col(c).alias("q_" + c) for c in ("id", "k", "phrase", "box", "start", "stop")])
-    d = v.join(controls, ["image_id", "caption_index"]).where((F.col("id") != F.col("q_id")) & ~g.overlaps("box", "q_box"))
-    region = F.struct(F.col("q_k").alias("k"), F.col("q_id").alias("id"), F.col("q_box").alias("box"), F.col("q_phrase").alias("phrase"), F.col("q_start").alias("start"), F.col("q_stop").alias("stop"))
-    d = d.groupBy("image_id", "caption_index", "text", "k", "id", "types", "phrase", "start", "stop", "box").agg(F.array_sort(F.collect_list(region)).alias("controls"))
+    lines = captions.select("image_id", "caption_index", "line").repartition("image_id").select("image_id", "caption_index", s.parse_inline("line").alias("p"))
+    every = lines.groupBy("image_id").agg(F.collect_list(F.struct("caption_index", "p.text", "p.phrases")).alias("every"))  # an image's captions and boxes, which are few
+    single = boxes.where(F.size("boxes") == 1).select("image_id", "name", F.col("boxes")[0].alias("box")).repartition("image_id")
+    single = single.groupBy("image_id").agg(F.collect_set(F.struct("name", "box")).alias("single"))
+    d = every.join(single.hint("merge"), "image_id").select("image_id", "every", "single", F.inline("every"))
+    once = lambda ph: F.size(F.filter("phrases", lambda x: x["id"] == ph["id"])) == 1
+    placed = lambda ph, k: F.transform(F.filter("single", lambda b: b["name"] == ph["id"]), lambda b: F.struct(k.alias("k"), *[ph[c].alias(c) for c in ("id", "types", "phrase", "start", "stop")], b["box"].alias("box")))
+    fit = lambda ph: once(ph) & ~F.array_contains(ph["types"], "notvisual") & (s.word_count(ph["phrase"]) >= 2)
+    d = d.select("image_id", "every", "caption_index", "text", F.flatten(F.transform("phrases", lambda ph, k: F.when(fit(ph), placed(ph, k)).otherwise(F.slice(placed(ph, k), 1, 0)))).alias("v"))
+    d = d.select("image_id", "every", "caption_index", "text", "v", F.inline("v"))
+    apart = lambda q: (q["id"] != F.col("id")) & ~g.overlaps(F.col("box"), q["box"])
+    region = lambda q: F.struct(*[q[c].alias(c) for c in ("k", "id", "box", "phrase", "start", "stop")])
+    d = d.withColumn("controls", F.array_sort(F.transform(F.filter("v", apart), region))).where(F.size("controls") > 0).drop("v")
     w, c = F.split("text", " "), F.col("controls")[0]
     d = d.withColumns({"tminus": s.delete_words(w, "start", "stop"), "tcontrol": s.delete_words(w, c["start"], c["stop"])})
     d = d.where((s.word_count("tminus") >= 3) & ~s.contains_phrase("tminus", "phrase"))
     put = F.concat_ws(" ", F.nullif(F.array_join(F.slice(w, F.lit(1), F.col("start")), " "), F.lit("")), s.generalise("phrase", "types"), F.nullif(F.array_join(F.slice(w, F.col("stop") + 1, F.greatest(F.size(w) - F.col("stop"), F.lit(0))), " "), F.lit("")))
     d = d.withColumn("tmatched", put)
-    other = captions.select("image_id", F.col("caption_index").alias("o_index"), s.parse_inline("line").alias("o")).select("image_id", "o_index", F.col("o.text").alias("o_text"), F.col("o.phrases.id").alias("o_ids"))
-    hits = d.select("image_id", "caption_index", "k", "id", "phrase").join(other, "image_id").where((F.col("o_index") != F.col("caption_index")) & ~F.array_contains("o_ids", F.col("id")) & ~s.contains_phrase("o_text", "phrase"))
-    hits = hits.groupBy("image_id", "caption_index", "k").agg(F.min_by("o_text", "o_index").alias("tnatural"))
-    d = d.join(hits, ["image_id", "caption_index", "k"], "left")
+    other = lambda o: (o["caption_index"] != F.col("caption_index")) & ~F.array_contains(o["phrases"]["id"], F.col("id")) & ~s.contains_phrase(o["text"], F.col("phrase"))
+    first = F.array_min(F.transform(F.filter("every", other), lambda o: F.struct(o["caption_index"].alias("i"), o["text"].alias("text"))))
+    d = d.withColumn("tnatural", first["text"]).drop("every")
     d = d.withColumn("rn", F.row_number().over(Window.partitionBy("image_id").orderBy("caption_index", "k"))).where(F.col("rn") <= most)
     regions = F.concat(F.array(F.struct("id", "box", "phrase")), F.transform("controls", lambda x: F.struct(x["id"].alias("id"), x["box"].alias("box"), x["phrase"].alias("phrase"))))
     return d.select("image_id", "caption_index", "tminus", "tmatched", "tnatural", F.col("text").alias("tplus"), "tcontrol", F.col("phrase").alias("target_phrase"), regions.alias("regions"))
