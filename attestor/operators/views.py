@@ -81,9 +81,10 @@ def interventions(captions: DataFrame, boxes: DataFrame, most: int = 4) -> DataF
     merged, whatever the planner takes their size to be: a row holds its image's
     captions and boxes.
     """
-    lines = captions.select("image_id", "caption_index", "line").repartition("image_id").select("image_id", "caption_index", s.parse_inline("line").alias("p"))
+    tasks = int(captions.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # lines are short and parsing is slow: parts are not put together
+    lines = captions.select("image_id", "caption_index", "line").repartition(tasks, "image_id").select("image_id", "caption_index", s.parse_inline("line").alias("p"))
     every = lines.groupBy("image_id").agg(F.collect_list(F.struct("caption_index", "p.text", "p.phrases")).alias("every"))  # an image's captions and boxes, which are few
-    single = boxes.where(F.size("boxes") == 1).select("image_id", "name", F.col("boxes")[0].alias("box")).repartition("image_id")
+    single = boxes.where(F.size("boxes") == 1).select("image_id", "name", F.col("boxes")[0].alias("box")).repartition(tasks, "image_id")
     single = single.groupBy("image_id").agg(F.collect_set(F.struct("name", "box")).alias("single"))
     d = every.join(single.hint("merge"), "image_id").select("image_id", "every", "single", F.inline("every"))
     once = lambda ph: F.size(F.filter("phrases", lambda x: x["id"] == ph["id"])) == 1
