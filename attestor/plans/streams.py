@@ -48,21 +48,25 @@ def retry_ladder(t):
     return d.groupBy(incremental.next_attempt("status", "attempt").alias("next_attempt")).agg(F.count("*").alias("n"))
 
 
-def _in_batches(t, d, schema: str, name: str, cuts: int = 3):
-    """The rows as a stream of micro-batches in order of ts, each a file written after the one before."""
-    path = scratch(d.sparkSession, name)
+def _in_batches(d, cuts: int = 3):
+    """The rows in order of ts, as many parts as there are cuts."""
     ends = d.agg(F.percentile_approx("ts", [k / cuts for k in range(1, cuts)]).alias("q")).first().q or []
     for low, high in zip([None, *ends], [*ends, None]):
         part = d if low is None else d.where(F.col("ts") > F.lit(low))
-        (part if high is None else part.where(F.col("ts") <= F.lit(high))).coalesce(1).write.mode("append").parquet(path)
-    return d.sparkSession.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        yield part if high is None else part.where(F.col("ts") <= F.lit(high))
 
 
-def _final(stream, key: str, schema: str, name: str):
-    """The last row of each key when all micro-batches are worked off."""
-    spark = stream.sparkSession
-    state = scratch(spark, name)
-    live.run_to_end(stream, [key], state, scratch(spark, f"{name}-checkpoint"))
+def _final(d, operator, key: str, schema: str, name: str):
+    """The last row of each key when all rows are worked off.
+
+    The stream goes on from its checkpoint whenever the next rows are there, so
+    a micro-batch is all the files of one part, however many tasks write them.
+    """
+    spark = d.sparkSession
+    path, state, checkpoint = (scratch(spark, f"{name}{end}") for end in ("-rows", "", "-checkpoint"))
+    for part in _in_batches(d):
+        part.write.mode("append").parquet(path)
+        live.run_to_end(operator(spark.readStream.schema(d.schema).parquet(path)), [key], state, checkpoint)
     return incremental.current(spark, state, schema + ", _epoch long")
 
 
@@ -73,8 +77,7 @@ SELECT CAST(user_id AS VARCHAR) AS run, count(*) AS samples, sum(e) FILTER (WHER
 def live_progress(t):
     """Progress of each user's clock, which goes back at restarts, as state of a stream."""
     d = t("events").select(F.col("user_id").cast("string").alias("run"), F.col("ts").cast("timestamp").alias("ts"), F.from_json("props", "k double")["k"].alias("elapsed"))
-    stream = _in_batches(t, d, "run string, ts timestamp, elapsed double", "clocks")
-    return _final(live.progress(stream), "run", live.PROGRESS, "progress").select("run", "samples", "elapsed", "restarts", "peak")
+    return _final(d, live.progress, "run", live.PROGRESS, "progress").select("run", "samples", "elapsed", "restarts", "peak")
 
 
 @query("live_retries", """
@@ -85,5 +88,4 @@ def live_retries(t):
     """Each user's events as outcomes of attempts, as state of a stream; nothing times out."""
     status = F.when(F.col("event_type") == "click", "ok").otherwise("x")
     d = t("events").select(F.col("user_id").cast("string").alias("item"), F.col("ts").cast("timestamp").alias("ts"), status.alias("status"))
-    stream = _in_batches(t, d, "item string, ts timestamp, status string", "outcomes")
-    return _final(live.retries(stream, "10000 days"), "item", live.RETRIES, "retries").select("item", "attempts", "attempt", "status")
+    return _final(d, lambda stream: live.retries(stream, "10000 days"), "item", live.RETRIES, "retries").select("item", "attempts", "attempt", "status")

@@ -102,13 +102,16 @@ def merge_batch(batch: DataFrame, epoch: int, keys: list[str], order: list[str],
     schema = batch.schema
     spark, at = batch.sparkSession, _marks(batch.sparkSession, path, epoch)
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    tagged = batch.withColumn("_bucket", bucket)
-    touched = [r[0] for r in tagged.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    old = [at[str(b)] for b in touched if str(b) in at]
-    state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
-    new = f"{path}/v{epoch}-{uuid.uuid4().hex}"
-    merged = last_wins(state.unionByName(batch), keys, order).withColumn("_bucket", bucket)
-    merged.write.partitionBy("_bucket").parquet(new)
+    batch = batch.persist()
+    try:
+        touched = [r[0] for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+        old = [at[str(b)] for b in touched if str(b) in at]
+        state = spark.read.schema(schema).parquet(*old) if old else spark.createDataFrame([], schema)
+        new = f"{path}/v{epoch}-{uuid.uuid4().hex}"
+        merged = last_wins(state.unionByName(batch), keys, order).withColumn("_bucket", bucket)
+        merged.write.partitionBy("_bucket").parquet(new)
+    finally:
+        batch.unpersist()
     at |= {str(b): f"{new}/_bucket={b}" for b in touched}
     mark = json.dumps({"epoch": epoch, "buckets": at})
     spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(f"{path}/marks/{epoch:012d}-{uuid.uuid4().hex}")

@@ -7,6 +7,7 @@ import threading
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -15,10 +16,31 @@ from attestor.session import ship
 from attestor.streaming.incremental import LADDER
 
 RETRIES = "item string, attempts long, attempt string, status string"
-_RETRY_STATE = "attempts long, step long, status string, deadline long"
+_RETRY_STATE = "items array<string>, attempts array<long>, steps array<long>, statuses array<string>, deadlines array<long>"
 PROGRESS = "run string, samples long, elapsed double, restarts long, peak double"
 _PROGRESS_STATE = "samples long, carried double, last double, restarts long, peak double, at long"
 
+#: Groups of the state, fixed for the life of a stream: a group costs Python milliseconds in each
+#: micro-batch that touches it, so keys share groups by hash and each has its own entry there.
+BUCKETS = 1024
+
+
+def _by_bucket(rows: DataFrame, key: str, buckets: int):
+    key_text = F.col(key).cast("string")
+    return rows.withColumn(key, key_text).withColumn("_bucket", F.pmod(F.xxhash64(key_text), F.lit(buckets))).groupBy("_bucket")
+
+
+def _held(state) -> dict[str | None, tuple]:
+    """A group's entries by key, from parallel arrays of which the first holds the keys."""
+    if not state.exists:
+        return {}
+    keys, *columns = state.get
+    return dict(zip(keys, zip(*columns)))
+
+
+def _keep(state, held: dict[str | None, tuple]) -> None:
+    state.update((list(held), *map(list, zip(*held.values()))))
+
 
 def advanced(state: tuple, status: str | None, at: int, patience: int) -> tuple:
     """(attempts, step, status, deadline) after an outcome at ``at`` (ms); a null status is an attempt that timed out.
@@ -42,14 +64,14 @@ def _retry_row(item: str, state: tuple) -> dict:
     return {"item": item, "attempts": state[0], "attempt": LADDER[state[1]] if state[2] == "pending" else None, "status": state[2]}
 
 
-def retries(outcomes: DataFrame, patience: str = "10 minutes", late: str = "1 minute") -> DataFrame:
+def retries(outcomes: DataFrame, patience: str = "10 minutes", late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
     """The retry ladder as live state: for each item its attempts, the attempt to make next, and its status.
 
     ``outcomes`` has item, ts and status ('ok' or a failure).  An attempt without
     an outcome within ``patience`` of the one before has timed out; a timer,
     driven by the watermark, notices it without a further row.  Rows are taken in
     the order of ts within a micro-batch.  State is in the checkpoint, so a
-    restarted stream goes on where it was.
+    restarted stream goes on where it was; items share ``buckets`` groups of it.
     """
     import pandas as pd
 
@@ -58,21 +80,25 @@ def retries(outcomes: DataFrame, patience: str = "10 minutes", late: str = "1 mi
     wait = int(pd.Timedelta(patience).total_seconds() * 1000)
 
     def step(key, frames, state):
-        if state.hasTimedOut:
-            now = advanced(state.get, None, state.get[3], wait)
-        else:
+        held, found, mark = _held(state), {}, state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
             rows = pd.concat(frames).sort_values(["ts", "status"])
-            times = (rows["ts"].astype("datetime64[ms]").astype("int64")).tolist()
-            now = state.get if state.exists else (0, 0, "pending", times[0] + wait)
-            for at, status in zip(times, rows["status"].tolist()):
-                now = advanced(now, status or "failed", at, wait)
-        now = tuple(int(x) if isinstance(x, (int, float)) else x for x in now)
-        state.update(now)
-        if now[2] == "pending":
-            state.setTimeoutTimestamp(max(now[3], state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([_retry_row(key[0], now)])
-
-    d = outcomes.withWatermark("ts", late).select("item", "ts", "status").groupBy("item")
+            times = rows["ts"].astype("datetime64[ms]").astype("int64").tolist()
+            for item, at, status in zip(rows["item"].tolist(), times, rows["status"].tolist()):
+                now = held[item] if item in held else (0, 0, "pending", at + wait)
+                held[item] = found[item] = advanced(now, status or "failed", at, wait)
+        for item, now in held.items():
+            while now[2] == "pending" and now[3] < mark:
+                now = found[item] = advanced(now, None, now[3], wait)
+        held |= found
+        _keep(state, held)
+        pending = [now[3] for now in held.values() if now[2] == "pending"]
+        if pending:
+            state.setTimeoutTimestamp(max(min(pending), mark + 1))
+        if found:
+            yield pd.DataFrame([_retry_row(item, now) for item, now in found.items()])
+
+    d = _by_bucket(outcomes.withWatermark("ts", late).select("item", "ts", "status"), "item", buckets)
     return d.applyInPandasWithState(step, RETRIES, _RETRY_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -105,8 +131,6 @@ def progress(samples: DataFrame) -> DataFrame:
 
 def run_to_end(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
     """Work off what a stream has now and keep the last row of each key under ``path`` (read it with ``incremental.current``)."""
-    from pyspark.sql import functions as F
-
     from attestor.streaming.incremental import merge_batch
 
     def merge(batch: DataFrame, epoch: int) -> None:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from attestor.plans import streams
 from attestor.streaming import incremental, live
 
 START = datetime(2024, 1, 1)
@@ -47,6 +48,33 @@ def test_retries_equal_a_loop_across_restarts(spark, tmp_path):
     assert {s for *_, s in found.values()} >= {"ok", "pending", "timed out"}
 
 
+def test_items_share_groups_of_the_state(spark, tmp_path):
+    draw = random.Random(5)
+    rows = [(None if k % 30 == 0 else f"i{k % 30}", START + timedelta(seconds=draw.randrange(3_000)), draw.choice(["ok", "x", "x", None])) for k in range(75)]
+    rows += [("clock", START + timedelta(seconds=s), "x") for s in (3_001, 9_000, 20_000)]
+    for stream in batches(spark, rows, "item string, ts timestamp, status string", f"{tmp_path}/in", 3):
+        live.run_to_end(live.retries(stream, "600 seconds", "1 second", buckets=4), ["item"], f"{tmp_path}/state", f"{tmp_path}/checkpoint")
+    assert 0 < spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() <= 4  # not one for each item
+    found = {r.item: (r.attempts, r.attempt, r.status) for r in incremental.current(spark, f"{tmp_path}/state", live.RETRIES + ", _epoch long").collect()}
+    assert set(found) == {r[0] for r in rows}
+    for item in found:
+        own = sorted((int((r[1] - START).total_seconds()), r[2] or "x") for r in rows if r[0] == item)
+        now = (0, 0, "pending", own[0][0] + 600)
+        for at, status in own:
+            now = live.advanced(now, status, at, 600)
+        while now[2] == "pending" and now[3] < 19_999:  # the last watermark
+            now = live.advanced(now, None, now[3], 600)
+        assert found[item] == (now[0], incremental.LADDER[now[1]] if now[2] == "pending" else None, now[2]), item
+
+
+def test_rows_of_a_part_are_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    d = spark.range(0, 90, 1, 4).selectExpr("cast(id % 5 as string) AS run", "timestamp_seconds(id * 37 % 90) AS ts", "cast(id * 37 % 90 AS double) AS elapsed")
+    found = {r.run: (r.samples, r.elapsed) for r in streams._final(d, live.progress, "run", live.PROGRESS, "p").collect()}
+    assert found == {str(k): (18, max(float(i * 37 % 90) for i in range(90) if i % 5 == k)) for k in range(5)}
+    assert len(list((tmp_path / "p-rows").glob("*.parquet"))) == 12  # 3 parts of 4 tasks
+
+
 def test_progress_over_restarts(spark, tmp_path):
     rows, clock = [], 0.0
     for k in range(40):
@@ -83,6 +111,20 @@ def test_watch_until_the_run_ends(spark, tmp_path):
     assert spark.read.json(f"{tmp_path}/out").count() == len(rows)  # an ended run gives no further sample
 
 
+def test_a_batch_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    rows = spark.range(20).select(counted("id").alias("k"), F.col("id").alias("v"))
+    incremental.merge_batch(rows, 0, ["k"], ["v"], f"{tmp_path}/state", 4)
+    assert incremental.current(spark, f"{tmp_path}/state", "k long, v long").count() == 20
+    assert seen.value == 20
+
+
 def test_state_does_not_grow_with_batches(spark, tmp_path):
     schema, path = "k long, v long", f"{tmp_path}/state"
     for epoch in range(12):
