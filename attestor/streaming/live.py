@@ -18,7 +18,7 @@ from attestor.streaming.incremental import LADDER
 RETRIES = "item string, attempts long, attempt string, status string"
 _RETRY_STATE = "items array<string>, attempts array<long>, steps array<long>, statuses array<string>, deadlines array<long>"
 PROGRESS = "run string, samples long, elapsed double, restarts long, peak double"
-_PROGRESS_STATE = "samples long, carried double, last double, restarts long, peak double, at long"
+_PROGRESS_STATE = "runs array<string>, samples array<long>, carried array<double>, last array<double>, restarts array<long>, peaks array<double>"
 
 #: Groups of the state, fixed for the life of a stream: a group costs Python milliseconds in each
 #: micro-batch that touches it, so keys share groups by hash and each has its own entry there.
@@ -102,31 +102,34 @@ def retries(outcomes: DataFrame, patience: str = "10 minutes", late: str = "1 mi
     return d.applyInPandasWithState(step, RETRIES, _RETRY_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
-def progressed(state: tuple, elapsed: float, at: int) -> tuple:
-    """(samples, carried, last, restarts, peak, at) after a sample; a clock that goes back has been restarted."""
-    samples, carried, last, restarts, peak, _ = state
+def progressed(state: tuple, elapsed: float) -> tuple:
+    """(samples, carried, last, restarts, peak) after a sample; a clock that goes back has been restarted."""
+    samples, carried, last, restarts, peak = state
     again = elapsed < last
-    return samples + 1, carried + last if again else carried, elapsed, restarts + again, max(peak, elapsed), at
+    return samples + 1, carried + last if again else carried, elapsed, restarts + again, max(peak, elapsed)
 
 
-def progress(samples: DataFrame) -> DataFrame:
+def progress(samples: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """For each run the samples so far, the time spent over all its restarts, their number, and the longest stretch.
 
     ``samples`` has run, ts and elapsed, the time since the run's last start.
+    Runs share ``buckets`` groups of the state.
     """
     import pandas as pd
 
     ship(samples.sparkSession)
 
     def step(key, frames, state):
+        held, found = _held(state), {}
         rows = pd.concat(frames).sort_values(["ts", "elapsed"])
-        now = state.get if state.exists else (0, 0.0, 0.0, 0, 0.0, 0)
-        for elapsed in rows["elapsed"].tolist():
-            now = progressed(now, float(elapsed), 0)
-        state.update((int(now[0]), float(now[1]), float(now[2]), int(now[3]), float(now[4]), 0))
-        yield pd.DataFrame([{"run": key[0], "samples": now[0], "elapsed": now[1] + now[2], "restarts": now[3], "peak": now[4]}])
+        for run, elapsed in zip(rows["run"].tolist(), rows["elapsed"].tolist()):
+            now = held[run] if run in held else (0, 0.0, 0.0, 0, 0.0)
+            held[run] = found[run] = progressed(now, float(elapsed))
+        _keep(state, held)
+        yield pd.DataFrame([{"run": run, "samples": n, "elapsed": carried + last, "restarts": restarts, "peak": peak} for run, (n, carried, last, restarts, peak) in found.items()])
 
-    return samples.select("run", "ts", "elapsed").groupBy("run").applyInPandasWithState(step, PROGRESS, _PROGRESS_STATE, "update", GroupStateTimeout.NoTimeout)
+    d = _by_bucket(samples.select("run", "ts", "elapsed"), "run", buckets)
+    return d.applyInPandasWithState(step, PROGRESS, _PROGRESS_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
 def run_to_end(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:

@@ -88,6 +88,21 @@ def test_progress_over_restarts(spark, tmp_path):
     assert found == {"a": (40, spent, 3, max(a)), "b": (40, 39.0, 0, 39.0)}
 
 
+def test_runs_share_groups_of_the_state(spark, tmp_path):
+    draw = random.Random(7)
+    rows = [(None if k % 25 == 0 else f"r{k % 25}", START + timedelta(seconds=k), float(draw.randrange(50))) for k in range(150)]
+    for stream in batches(spark, rows, "run string, ts timestamp, elapsed double", f"{tmp_path}/in", 3):
+        live.run_to_end(live.progress(stream, buckets=4), ["run"], f"{tmp_path}/state", f"{tmp_path}/checkpoint")
+    assert 0 < spark.read.format("statestore").load(f"{tmp_path}/checkpoint").count() <= 4  # not one for each run
+    found = {r.run: (r.samples, r.elapsed, r.restarts, r.peak) for r in incremental.current(spark, f"{tmp_path}/state", live.PROGRESS + ", _epoch long").collect()}
+    want = {}
+    for run in {r[0] for r in rows}:
+        own = [r[2] for r in rows if r[0] == run]
+        back = [x for x, y in zip(own, own[1:]) if y < x]
+        want[run] = (len(own), sum(back) + own[-1], len(back), max(own))
+    assert found == want
+
+
 def test_watch_until_the_run_ends(spark, tmp_path):
     run = tmp_path / "run"
     run.mkdir()
